@@ -223,3 +223,29 @@ def components(edges: DataFrame) -> DataFrame:
         label = written(jumped)
         if not label.where("component != was").limit(1).count():
             return label.select("node", "component")
+
+
+def sequence_hashes(items: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of items[start:end], of any lengths."""
+    power, inverse = _powers(_BASES[seed % 2], len(items))
+    sums = np.zeros(len(items) + 1, np.uint64)
+    np.cumsum(items * power[: len(items)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def signed(x: np.ndarray):
+    """Unsigned hashes as Spark's longs."""
+    import pyarrow as pa
+
+    return pa.array(x.view(np.int64), pa.int64())
+
+
+def lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets (from 0) of an Arrow list column of numbers; null lists are empty."""
+    flat = column.flatten()
+    at = column.offsets.to_numpy().astype(np.int64)
+    at = at - at[0]
+    if column.null_count:  # flatten() leaves out what null lists hold
+        size = np.where(np.asarray(column.is_null()), 0, np.diff(at))
+        at = np.concatenate(([0], np.cumsum(size)))
+    return flat.to_numpy(zero_copy_only=False), at

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from groundspark.llm.bpe import byte_bpe
 from groundspark.llm.classifier import classified
 from groundspark.llm.common import documents
+from groundspark.llm.jaccard import similar_groups
 from groundspark.llm.media import media_columns
 from groundspark.llm.mixing import MIX_SQL, mixed_words
 from groundspark.llm.pii import personal_data
 from groundspark.llm.rules import quality_rules
+from groundspark.llm.substring import deduplicated_words
+from groundspark.llm.suffix import deduplicated_bytes
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_words(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated_words(documents(spark, sf_dir))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated_bytes(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
@@ -33,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir))
 
@@ -44,8 +59,11 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_media": op9_media,
     "op10_classifier": op10_classifier,
 }
