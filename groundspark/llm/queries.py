@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from groundspark.llm.bpe import byte_bpe
 from groundspark.llm.classifier import classified
 from groundspark.llm.common import documents
 from groundspark.llm.jaccard import similar_groups
+from groundspark.llm.lines import deduplicated_lines
 from groundspark.llm.media import media_columns
 from groundspark.llm.mixing import MIX_SQL, mixed_words
 from groundspark.llm.pii import personal_data
@@ -44,6 +46,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = deduplicated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return lines.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_media": op9_media,
     "op10_classifier": op10_classifier,
