@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from groundspark.plans import retrieval
+from groundspark.plans import evaluation, retrieval, texts
 
-FAMILIES = (retrieval,)
+FAMILIES = (retrieval, texts, evaluation)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 SQL = {name: sql for family in FAMILIES for name, sql in family.SQL.items()}

@@ -1,27 +1,109 @@
-"""Retrieval arms: dense, lexical, fused."""
+"""Retrieval arms: dense, lexical, fused, reranked."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundspark.functions.text import bag, nfc, tokens
+from groundspark.functions.vectors import norm, unit
 from groundspark.operators.dense import dense_topk
+from groundspark.operators.lexical import bm25_topk
+from groundspark.operators.ranking import fuse, rerank
+
+DEPTH = 30
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _terms(rows: DataFrame, key: str, name: str) -> DataFrame:
+    return rows.select(F.col(key).alias(name), bag(tokens(nfc(F.coalesce("text", F.lit(""))))).alias("terms"))
 
 
 def q_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    queries = vectors.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    vectors = read(spark, sf_dir, "embeddings")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     top = dense_topk(queries, vectors.select("vec_id", F.col("embedding").alias("v")), 8)
     return top.select("qid", "vec_id", "rank", "score")
 
 
-QUERIES = {"dense_topk": q_dense_topk}
+def q_l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").withColumn("u", unit(F.col("embedding")))
+    return vectors.select("vec_id", F.round(norm(F.col("u")), 5).alias("length"), F.round(F.get("u", F.lit(0)), 5).alias("first"))
+
+
+def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_topk(_terms(read(spark, sf_dir, "benchmark"), "item_id", "qid"), _terms(read(spark, sf_dir, "documents"), "doc_id", "doc_id"), DEPTH)
+
+
+def q_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexical(spark, sf_dir).select("qid", "doc_id", "rank", "score")
+
+
+def _shared_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second arm: documents by the number of distinct query words that they hold."""
+    from groundspark.operators.ranking import rank_by_score
+
+    words = lambda rows, key, name: rows.select(F.col(key).alias(name), F.explode(F.array_distinct(tokens(nfc(F.coalesce("text", F.lit("")))))).alias("w"))
+    q, d = words(read(spark, sf_dir, "benchmark"), "item_id", "qid"), words(read(spark, sf_dir, "documents"), "doc_id", "doc_id")
+    return rank_by_score(q.join(d, "w").groupBy("qid", "doc_id").agg(F.count("*").alias("score")), "qid", "score", "doc_id", DEPTH)
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse({"bm25": _lexical(spark, sf_dir), "words": _shared_words(spark, sf_dir)}, "qid", "doc_id")
+
+
+def q_rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir).select("qid", "doc_id", "rank", "fusion_score", "bm25_rank", "words_rank")
+
+
+def q_hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge scores stand in as labels: quality + 2 * toxic, a missing label counting as 0."""
+    fused = _hybrid(spark, sf_dir)
+    scores = fused.select("qid", "doc_id").join(read(spark, sf_dir, "labels"), "doc_id").select("qid", "doc_id", (F.col("quality") + 2 * F.col("toxic")).alias("score"))
+    return rerank(fused, scores, "qid", "doc_id", DEPTH).select("qid", "doc_id", "rank", "fused_rank", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+_TOKENS = "regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '[0-9]+|[\\p{L}\\p{Nl}\\p{No}]+')"
+_BAG = f"""
+q AS (SELECT item_id AS qid, {_TOKENS} AS u FROM benchmark), d AS (SELECT doc_id, {_TOKENS} AS u FROM documents),
+qb AS (SELECT qid, list_concat(u, [concat_ws('_', u[i], u[i + 1]) FOR i IN range(1, len(u))]) AS terms FROM q),
+db AS (SELECT doc_id, list_concat(u, [concat_ws('_', u[i], u[i + 1]) FOR i IN range(1, len(u))]) AS terms FROM d),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM db) GROUP BY ALL),
+lens AS (SELECT doc_id, len(terms) AS len FROM db), stats AS (SELECT count(*) AS n, avg(len) AS avgdl FROM lens),
+raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, stats GROUP BY term, n),
+idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+qt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(terms) AS term FROM qb) GROUP BY ALL),
+scores AS (SELECT qid, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS score
+  FROM qt JOIN idf USING (term) JOIN tf USING (term) JOIN lens USING (doc_id), stats GROUP BY ALL),
+every AS (SELECT q.qid, d.doc_id, round(coalesce(score, 0), 6) AS score FROM q CROSS JOIN d LEFT JOIN scores s ON s.qid = q.qid AND s.doc_id = d.doc_id),
+bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM every) WHERE rank <= 30)"""
+_HYBRID = f"""{_BAG},
+shared AS (SELECT qid, doc_id, count(*) AS score FROM (SELECT qid, unnest(list_distinct(u)) AS w FROM q) JOIN (SELECT doc_id, unnest(list_distinct(u)) AS w FROM d) USING (w) GROUP BY ALL),
+words AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM shared) WHERE rank <= 30),
+fused AS (SELECT qid, doc_id, round(coalesce(1.0 / (60 + b.rank), 0) + coalesce(1.0 / (60 + w.rank), 0), 6) AS fusion_score, b.rank AS bm25_rank, w.rank AS words_rank
+  FROM bm25 b FULL JOIN words w USING (qid, doc_id)),
+hybrid AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fusion_score DESC, doc_id) AS rank FROM fused)"""
+
+QUERIES = {
+    "dense_topk": q_dense_topk, "l2_normalize": q_l2_normalize, "bm25_topk": q_bm25_topk, "rrf_hybrid": q_rrf_hybrid, "hybrid_rerank": q_hybrid_rerank,
+}
 SQL = {
     "dense_topk": """
 WITH scored AS (
   SELECT q.vec_id AS qid, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings q, embeddings v WHERE q.vec_id < 20),
+  FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT qid, vec_id, rank::INTEGER AS rank, score FROM ranked WHERE rank <= 8
 """,
+    "l2_normalize": """
+SELECT vec_id, 1.0::DOUBLE AS length, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first FROM embeddings
+""",
+    "bm25_topk": f"WITH {_BAG} SELECT qid, doc_id, rank::INTEGER AS rank, score FROM bm25",
+    "rrf_hybrid": f"WITH {_HYBRID} SELECT qid, doc_id, rank::INTEGER AS rank, fusion_score, bm25_rank::INTEGER AS bm25_rank, words_rank::INTEGER AS words_rank FROM hybrid",
+    "hybrid_rerank": f"""WITH {_HYBRID},
+judged AS (SELECT h.qid, h.doc_id, h.rank AS fused_rank, coalesce(l.quality + 2 * l.toxic, 0) / 3.0::DOUBLE AS s FROM hybrid h LEFT JOIN labels l USING (doc_id) WHERE h.rank <= 30)
+SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, fused_rank)::INTEGER AS rank, fused_rank::INTEGER AS fused_rank, round(s, 6)::DOUBLE AS rerank_score FROM judged""",
 }
