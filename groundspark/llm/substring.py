@@ -37,11 +37,11 @@ class Parsed:
         self.start = np.flatnonzero(valid)
         self.anchor = owner[valid]
 
-    def kept_to(self, repeated: np.ndarray) -> None:
-        """Leaves the windows whose anchor is one of those places."""
-        mark = np.zeros(len(self.words), bool)
-        mark[repeated] = True
-        own = mark[self.anchor]
+    def anchor_hash(self) -> np.ndarray:
+        return self.gram[self.anchor] >> np.uint64(8)
+
+    def kept_to(self, own: np.ndarray) -> None:
+        """Leaves those windows."""
         self.start, self.anchor = self.start[own], self.anchor[own]
 
     def blocks(self) -> tuple[np.ndarray, np.ndarray]:
@@ -60,15 +60,20 @@ def _anchors(window: int):
             for lo, hi in slices(offsets):
                 p = Parsed(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], window, (0,))
                 first, _ = p.blocks()
-                at = p.anchor[first]
-                doc = p.words.doc[at]
-                yield pa.RecordBatch.from_arrays(
-                    [signed(p.gram[at] >> np.uint64(8)), pa.array(dids[lo + doc]), pa.array((at - p.words.first[doc]).astype(np.int32))], ["anchor", "did", "at"]
-                )
+                doc, anchor, n = counted(p.words.doc[p.start[first]], p.anchor_hash()[first])
+                yield pa.RecordBatch.from_arrays([signed(anchor), pa.array(dids[lo + doc]), pa.array(n)], ["anchor", "did", "n"])
 
     return run
 
 
+def counted(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct keys, in order of their first places, and how often each occurs in it."""
+    _, at, n = np.unique(mixed(key ^ mixed(doc.astype(np.uint64))), return_index=True, return_counts=True)
+    order = np.argsort(at)
+    at = at[order]
+    return doc[at], key[at], n[order].astype(np.int32)
+
+
 def _first_in_text(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Which entries are the first of their key in their text."""
     out = np.zeros(len(key), bool)
@@ -86,13 +91,12 @@ def _member(doc: np.ndarray, key: np.ndarray, values: np.ndarray, offsets: np.nd
 def _candidates(batch: pa.RecordBatch, window: int):
     """Parsed texts of a batch, cut down to windows with repeated anchors."""
     data, offsets = text_bytes(batch.column("text"))
-    places, cut = lists(batch.column("anchors"))
+    values, cut = lists(batch.column("anchors"))
     for lo, hi in slices(offsets):
         if cut[lo] == cut[hi]:
             continue
         p = Parsed(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], window)
-        of = np.repeat(np.arange(hi - lo), np.diff(cut[lo : hi + 1]))
-        p.kept_to(p.words.first[of] + places[cut[lo] : cut[hi]])
+        p.kept_to(_member(p.words.doc[p.start], p.anchor_hash(), values, cut, lo, hi))
         yield lo, hi, p
 
 
@@ -203,9 +207,9 @@ def deduplicated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), full_text().alias("text"))
     late = F.lit(2**63 - 1) - F.shiftrightunsigned(F.xxhash64("text"), 24)
     base = base.select(F.coalesce("doc_id", late).alias("did"), "doc_id", "text")
-    anchors = base.select("did", "text").mapInArrow(_anchors(window), "anchor long, did long, at int")
-    repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    places = anchors.join(repeated, "anchor").groupBy("did").agg(F.collect_list("at").alias("anchors"))
+    anchors = base.select("did", "text").mapInArrow(_anchors(window), "anchor long, did long, n int")
+    repeated = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    places = anchors.select("anchor", "did").join(repeated, "anchor").groupBy("did").agg(F.collect_list("anchor").alias("anchors"))
     found = base.join(places, "did", "left")
     new_blocks = _earliest(found.where("anchors is not null").mapInArrow(_blocks(window), "h1 long, h2 long, did long"), "new_blocks")
     found = found.join(new_blocks, "did", "left")

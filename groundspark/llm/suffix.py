@@ -14,14 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import PIECE, full_text, lists, prepare, row_key, signed, slices, span_hashes, text_bytes, window_argmin
+from groundspark.llm.common import PIECE, full_text, lists, mixed, prepare, row_key, signed, slices, span_hashes, text_bytes, window_argmin, written
+from groundspark.llm.substring import counted
 
 LENGTH, ANCHOR = 400, 200
-#: Segments of one index block; anchors with more are counted string by string, pre-aggregated, which is exact too.
-MOST = 4096
+#: Documents at one index block (about 12 MB); anchors in more are counted string by string, pre-aggregated, which is
+#: exact too.
+MOST = 20_000
 #: Segments whose blocks are built together.
 PACK = 1500
 
@@ -47,15 +50,17 @@ def _anchors(length: int, anchor: int):
             rids = np.asarray(batch.column("rid"))
             for lo, hi in slices(offsets):
                 base = offsets[lo : hi + 1] - offsets[lo]
-                last = -1
+                at, keys = [], []
                 for _, owner, gram in windows(data[offsets[lo] : offsets[hi]], base, length, anchor):
-                    new = np.concatenate(([True], owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, bool)
-                    if len(owner) and owner[0] == last:
-                        new[0] = False
-                    last = owner[-1] if len(owner) else last
-                    at = owner[new]
-                    doc = np.searchsorted(base, at, "right") - 1
-                    yield pa.RecordBatch.from_arrays([signed(gram[new] >> np.uint64(8)), pa.array(rids[lo + doc]), pa.array((at - base[doc]).astype(np.int64))], ["anchor", "rid", "at"])
+                    new = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
+                    if len(new) and at and len(at[-1]) and at[-1][-1] == owner[0]:  # pieces share it
+                        new = new[1:]
+                    at.append(owner[new])
+                    keys.append(gram[new] >> np.uint64(8))
+                if at:
+                    doc = np.searchsorted(base, np.concatenate(at), "right") - 1
+                    doc, key, n = counted(doc, np.concatenate(keys))
+                    yield pa.RecordBatch.from_arrays([signed(key), pa.array(rids[lo + doc]), pa.array(n)], ["anchor", "rid", "n"])
 
     return run
 
@@ -71,9 +76,16 @@ def _owned(batch: pa.RecordBatch, length: int, anchor: int, hot: bool):
             continue
         base = offsets[lo : hi + 1] - offsets[lo]
         of = np.repeat(np.arange(hi - lo), np.diff(cut[lo : hi + 1]))[wanted]
-        mark = np.zeros(base[-1] + 1, bool)
-        mark[base[of] + np.where(own < 0, -1 - own, own)[wanted]] = True
-        parts = [(s[m], o[m], g[m]) for s, o, g in windows(data[offsets[lo] : offsets[hi]], base, length, anchor) if len(o) and (m := mark[o]).any()]
+        own = np.where(own < 0, -1 - own, own)[wanted]
+        parts = []
+        for start, owner, gram in windows(data[offsets[lo] : offsets[hi]], base, length, anchor):
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
+            doc = np.searchsorted(base, owner[first], "right") - 1
+            key = lambda d, h: mixed(h ^ mixed(d.astype(np.uint64)))
+            held = np.isin(key(doc, gram[first] >> np.uint64(8)), key(of, own.view(np.uint64)))
+            m = np.repeat(held, np.diff(np.append(first, len(owner))))
+            if m.any():
+                parts.append((start[m], owner[m], gram[m]))
         if not parts:
             continue
         start, owner, gram = (np.concatenate([p[k] for p in parts]) for k in range(3))
@@ -89,18 +101,37 @@ def _segments(length: int, anchor: int):
             rids = np.asarray(batch.column("rid"))
             for data, lo, base, doc, gram, owner, start, count in _owned(batch, length, anchor, False):
                 body = [data[s : s + n - 1 + length].tobytes() for s, n in zip(start.tolist(), count.tolist(), strict=True)]
+                # A segment that its text repeats is repeated as a whole: one goes to the index, twice; the others are runs already.
+                seen: dict[tuple, int] = {}
+                lead = owner - start
+                times = np.ones(len(body), np.int64)
+                for k, key in enumerate(zip(doc.tolist(), gram.tolist(), lead.tolist(), body, strict=True)):
+                    if (first := seen.setdefault(key, k)) != k:
+                        body[k], times[k], times[first] = None, count[k], 2
+                        gram[k] = mixed(gram[k : k + 1] + np.uint64(k))[0]  # spreads runs over tasks
                 for k in range(0, len(body), 2000):
                     c = slice(k, k + 2000)
                     yield pa.RecordBatch.from_arrays(
-                        [signed(gram[c]), pa.array(rids[lo + doc[c]]), pa.array(start[c] - base[doc[c]]), pa.array(owner[c] - start[c]), pa.array(body[c], pa.binary())],
-                        ["anchor", "rid", "at", "lead", "body"],
+                        [signed(gram[c]), pa.array(rids[lo + doc[c]]), pa.array(start[c] - base[doc[c]]), pa.array(lead[c]), pa.array(times[c]), pa.array(body[c], pa.binary())],
+                        ["anchor", "rid", "at", "lead", "times", "body"],
                     )
 
     return run
 
 
 def _hot_windows(length: int, anchor: int):
+    """A task's distinct windows at hot anchors, with how often it has each; given out whenever there are many."""
+
+    def counted_up(held: list[tuple]) -> tuple:
+        h1, h2, rid, at, n = (np.concatenate([x[k] for x in held]) for k in range(5))
+        order = np.lexsort((h2, h1))
+        h1, h2 = h1[order], h2[order]
+        new = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
+        return h1[new], h2[new], rid[order][new], at[order][new], np.add.reduceat(n[order], new)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        made = lambda x: pa.RecordBatch.from_arrays([signed(x[0]), signed(x[1]), *(pa.array(c) for c in x[2:])], ["h1", "h2", "rid", "at", "n"])
         for batch in batches:
             rids = np.asarray(batch.column("rid"))
             for data, lo, base, doc, _, _, start, count in _owned(batch, length, anchor, True):
@@ -111,7 +142,13 @@ def _hot_windows(length: int, anchor: int):
                     for a in range(0, len(data), PIECE):  # bounded memory for long texts
                         m = (at >= a) & (at < a + PIECE)
                         keys[k][m] = span_hashes(data[a : a + PIECE + length], at[m] - a, at[m] - a + length, k)
-                yield pa.RecordBatch.from_arrays([signed(keys[0]), signed(keys[1]), pa.array(rids[lo + d]), pa.array(at - base[d])], ["h1", "h2", "rid", "at"])
+                held.append(counted_up([(*keys, rids[lo + d], at - base[d], np.ones(len(at), np.int64))]))
+            if held:
+                held = [counted_up(held)]
+                if len(held[0][0]) > 200_000:
+                    yield made(held.pop())
+        if held:
+            yield made(held.pop())
 
     return run
 
@@ -158,8 +195,8 @@ def _index(length: int, anchor: int):
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
         distinct: dict[tuple, list[int]] = {}
-        for k, (a, _, _, lead, body) in enumerate(rows):
-            distinct.setdefault((a, lead, body), []).append(k)
+        for k, (a, _, _, lead, times, body) in enumerate(rows):
+            distinct.setdefault((a, lead, body), []).extend([k] * times)
         keys = sorted(distinct)
         groups = np.cumsum([k and keys[k][0] != keys[k - 1][0] for k in range(len(keys))])
         repeated = repeated_windows([k[2] for k in keys], [k[1] for k in keys], groups, length, width)
@@ -170,7 +207,7 @@ def _index(length: int, anchor: int):
             if len(distinct[key]) > 1:
                 own = np.ones(n, bool)
             turns = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0])))).tolist()
-            for k in distinct[key]:
+            for k in dict.fromkeys(distinct[key]):
                 for s, e in zip(turns[::2], turns[1::2], strict=True):
                     out[0].append(rows[k][1])
                     out[1].append(rows[k][2] + s)
@@ -180,7 +217,10 @@ def _index(length: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("anchor", "rid", "at", "lead", "body")), strict=True):
+            runs = batch.filter(batch.column("body").is_null())
+            yield pa.RecordBatch.from_arrays([runs.column("rid"), runs.column("at"), pc.add(runs.column("at"), runs.column("times"))], ["rid", "start", "end"])
+            whole = batch.filter(batch.column("body").is_valid())
+            for row in zip(*(whole.column(k).to_pylist() for k in ("anchor", "rid", "at", "lead", "times", "body")), strict=True):
                 if len(held) >= PACK and row[0] != held[-1][0]:
                     yield block(held)
                     held = []
@@ -233,17 +273,18 @@ def deduplicated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCH
     prepare(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), full_text().alias("text"))
     base = base.select(row_key("doc_id", "text").alias("rid"), "doc_id", "text")
-    anchors = base.select("rid", "text").mapInArrow(_anchors(length, anchor), "anchor long, rid long, at long")
-    repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > most).alias("hot"))
-    place = F.when(F.col("hot"), -1 - F.col("at")).otherwise(F.col("at"))
-    places = anchors.join(repeated, "anchor").groupBy("rid").agg(F.collect_set(place).alias("anchors"))
+    anchors = base.select("rid", "text").mapInArrow(_anchors(length, anchor), "anchor long, rid long, n int")
+    anchors = written(anchors)
+    repeated = anchors.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).where("n > 1").select("anchor", (F.col("docs") > most).alias("hot"))
+    key = F.when(F.col("hot"), -1 - F.col("anchor")).otherwise(F.col("anchor"))
+    places = anchors.select("anchor", "rid").join(repeated, "anchor").groupBy("rid").agg(F.collect_set(key).alias("anchors"))
     found = base.join(places, "rid", "left")
     own = found.where("anchors is not null")
-    segments = own.mapInArrow(_segments(length, anchor), "anchor long, rid long, at long, lead long, body binary")
+    segments = own.mapInArrow(_segments(length, anchor), "anchor long, rid long, at long, lead long, times long, body binary")
     runs = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index(length, anchor), "rid long, start long, end long")
     runs = runs.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-    hot = own.where(F.exists("anchors", lambda a: a < 0)).mapInArrow(_hot_windows(length, anchor), "h1 long, h2 long, rid long, at long")
-    single = hot.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("rid").alias("rid"), F.max("at").alias("at")).where("n = 1")
+    hot = own.where(F.exists("anchors", lambda a: a < 0)).mapInArrow(_hot_windows(length, anchor), "h1 long, h2 long, rid long, at long, n long")
+    single = hot.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("rid").alias("rid"), F.max("at").alias("at")).where("n = 1")
     single = single.groupBy("rid").agg(F.collect_set("at").alias("single"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return found.join(runs, "rid", "left").join(single, "rid", "left").mapInArrow(_removed(length, anchor), out)
