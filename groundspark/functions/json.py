@@ -10,9 +10,10 @@ FENCE = "(?s)```(?:json)?\\s*(.*?)```"
 
 def json_body(raw: Column) -> Column:
     """The JSON in an answer: itself, the first fenced block, the widest braces, or else the raw text."""
-    text = F.trim(F.regexp_replace(raw, "^\\s+|\\s+$", ""))
+    bare = lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")
+    text = bare(raw)
     fenced, braces = F.regexp_extract(text, FENCE, 1), F.regexp_extract(text, "(?s)(\\{.*\\})", 1)
-    pick = lambda x: F.when(F.trim(x) != "", F.trim(x))
+    pick = lambda x: F.when(bare(x) != "", bare(x))
     return F.when(text.rlike("^[\\[{]"), text).otherwise(F.coalesce(pick(fenced), pick(braces), text))
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed: letters and digits as the tokenizer sees them, on Java and RE2 alike.
 TOKEN = r"[0-9]+|[\p{L}\p{Nl}\p{No}]+"
@@ -15,7 +16,7 @@ SPACE = r"(?U)[\s\x1C-\x1F]"
 CHARS_PER_TOKEN = 3.5
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode NFC, which Spark has no function for; null stays null."""
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))

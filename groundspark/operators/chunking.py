@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAST, MOST, OVERLAP = 120, 600, 0.15
 _SENTENCE = re.compile("[.!?]+[\"'”’)\\]]*\\s+")
@@ -81,7 +82,7 @@ def overlapping_parts(text: str, most: int = MOST, share: float = OVERLAP) -> li
     return out
 
 
-@F.pandas_udf("array<struct<s:int,e:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))
 def split_oversize(texts: pd.Series) -> pd.Series:
     """Parts of clauses that are too long for a chunk; the only step of chunking that leaves the JVM."""
     return texts.map(lambda t: [] if t is None else [{"s": s, "e": e} for s, e in overlapping_parts(t)])
