@@ -195,7 +195,11 @@ def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     x = rest.select("token", F.col("did").alias("a"), F.col("n").alias("n1"), F.col("e").alias("e1"), F.col("c").alias("c1"))
     y = rest.select("token", F.col("did").alias("b"), F.col("n").alias("n2"), F.col("e").alias("e2"), F.col("c").alias("c2"))
     apart = (F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _possible(F.col("n1"), F.col("e1"), F.col("n2"), F.col("e2"), similarity)
-    more = x.join(y, (x["token"] == y["token"]) & apart).select("a", "b").distinct()
+    met_in = x.join(y, (x["token"] == y["token"]) & apart).groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("c"))
+    # Past the shorter reach of the two prefixes, which share c, a document has at most its shingles after its prefix.
+    after = lambda n: F.ceil(F.col(n) * similarity / 100) - 1
+    enough = (100 + similarity) * (F.col("c") + F.greatest(after("n1"), after("n2"))) >= similarity * (F.col("n1") + F.col("n2"))
+    more = met_in.where(enough).select("a", "b").distinct()
     seen = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(more.join(seen, ["a", "b"], "left_anti"))
     links = first_links
