@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from groundspark.llm.common import full_text, prepare
 
 #: Bytes of text whose distinct pieces are encoded together.
-CHUNK = 24 << 20
+CHUNK = 8 << 20
 #: Longer pieces (in bytes) are merged by a heap, as the fold takes time with the square of a piece's length.
 LONG = 128
 #: Fixed: white space by Unicode, which Java's \s leaves out.

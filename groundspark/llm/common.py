@@ -203,26 +203,28 @@ def window_argmin(x: np.ndarray, width: int) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the least node that a path of edges (a, b) reaches.
 
-    Least neighbours by pre-aggregated minima, then pointer jumping; each round is written to the shared folder, so
+    Each round hooks nodes to their least neighbour by pre-aggregated minima, jumps once, and contracts the edges, which
+    shrink from round to round; the rounds' maps are joined at the end. Each round is written to the shared folder, so
     that no lineage grows and a lost executor costs one round at most. Nulls don't link; an empty table gives none.
     """
-    edges = edges.select("a", "b").where("a is not null and b is not null and a != b")
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    while True:
-        near = (
-            both.join(label.select(F.col("node").alias("b"), "component"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        step = written(
-            label.join(near, "node", "left").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        )
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        jumped = step.join(jump, "component", "left").select("node", F.least("component", "root").alias("component"), "was")
-        label = written(jumped)
-        if not label.where("component != was").limit(1).count():
-            return label.select("node", "component")
+    edges = written(edges.where("a is not null and b is not null and a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    maps = []
+    while edges.limit(1).count():
+        ends = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        hooked = written(ends.groupBy(F.col("e.a").alias("node")).agg(F.min("e.b").alias("near")).select("node", F.least("node", "near").alias("root")))
+        above = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        jumped = written(hooked.join(above, "root").select("node", F.col("next").alias("root")))
+        maps.append(jumped)
+        of = lambda end: jumped.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))  # noqa: E731, B023
+        moved = edges.join(of("a"), "a").join(of("b"), "b").where("ra != rb")
+        edges = written(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    if not maps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = maps.pop()
+    while maps:
+        last = out.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        out = maps.pop().join(last, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+    return written(out.select("node", F.col("root").alias("component")))
 
 
 def sequence_hashes(items: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
