@@ -21,8 +21,8 @@ def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
     postings = docs.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = stats.first()["n"]
-    avgdl = stats.first()["avgdl"] or 1.0
+    n, avgdl = stats.first()
+    avgdl = avgdl or 1.0
     idf = df.select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     floor = EPSILON * (idf.agg(F.avg("idf")).first()[0] or 0.0)
     wanted = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
