@@ -2,8 +2,9 @@
 
 The global order (a hash, with frequent shingles last) is cut: a document's first shingles, as many as a partner must
 meet, give candidates; the order's FRAGMENTS then count partial overlaps of each candidate pair separately, and the
-counts are summed per pair. Groups of near copies are never expanded into all pairs: each shingle's documents are first
-held against one leader, and only pairs that those links leave in different components are compared after that.
+counts are summed per pair. Groups of near copies are never expanded into all pairs: the documents of each class of
+shingles are held against one leader at a time, and only pairs that those links leave in different components are
+compared after that.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 from groundspark.llm.common import Words, components, full_text, grams, mixed, prepare, sequence_hashes, slices, text_bytes, written
 
 SHINGLE, SIMILARITY, FRAGMENTS = 5, 75, 8
+#: At most so many turns in which each class of shingles has a leader, before all documents that are left in different
+#: components are compared. Fewer when those pairs are no more than the posts, or when few of a turn's pairs link; the
+#: result is the same.
+LEADERS = 4
 #: Shingles that go last in the global order, at most: those most frequent by counts within a task's documents. They
 #: set the order only, which changes how many candidates there are, never a result.
 FREQUENT = 50_000
@@ -140,8 +145,9 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) that are similar, by partial overlaps summed per pair."""
-    left = texts.select(F.col("did").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("did").alias("b"), F.col("text").alias("right"))
+    left, right = (  # only the texts of some pair are shuffled
+        texts.select(F.col("did").alias(k), F.col("text").alias(side)).join(pairs.select(k).distinct(), k, "left_semi") for k, side in (("a", "left"), ("b", "right"))
+    )
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     counted = both.mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, fragment int, partial long")
     summed = counted.groupBy("a", "b").agg(F.sum("partial").alias("common"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.count("*").alias("rows"))
@@ -155,6 +161,52 @@ def _possible(n1: Column, e1: Column, n2: Column, e2: Column, similarity: int) -
     return 100 * most >= similarity * (n1 + n2 - most)
 
 
+def _classes(met: DataFrame, similarity: int) -> DataFrame:
+    """Posts (class, weight, did, n, e) of prefix shingles (token, did, n, at) that several documents hold.
+
+    Shingles that the same documents hold form one class, whose weight is their number, so that a passage costs one
+    post a document. e is how many of a document's n shingles can be in an intersection with a holder of the class:
+    shingles before a shared one that no other prefix holds can't be.
+    """
+    turn = F.row_number().over(Window.partitionBy("did").orderBy("at"))
+    e = F.col("n") - F.greatest(F.col("at") - turn + 1, F.lit(0))
+    posts = written(met.withColumn("e", e).where(100 * F.col("e") >= similarity * F.col("n")).select("token", "did", "n", "e"))
+    same = posts.groupBy("token").agg(
+        F.sum(F.shiftright(F.xxhash64("did"), 24)).alias("s1"), F.bit_xor(F.xxhash64(F.lit("second"), "did")).alias("s2"), F.count("*").alias("m")
+    )
+    of = same.where("m > 1").select("token", F.xxhash64("s1", "s2", "m").alias("class"))
+    return posts.join(of, "token").groupBy("class", "did", "n").agg(F.count("*").alias("weight"), F.min("e").alias("e"))
+
+
+def _leader_pairs(posts: DataFrame, turn: int, similarity: int, seen: DataFrame | None) -> DataFrame:
+    """(a, b), a < b: each class's leader of this turn with the class's documents in other components than its own."""
+    share = F.floor(F.col("e") * 20 / F.col("n")) * (1 << 44)
+    ranked = posts.withColumn("rank", share + F.shiftrightunsigned(F.xxhash64(F.lit(turn), "did"), 20))
+    first = F.max_by(F.struct("did", "n", "e", "c"), "rank").alias("x")
+    leader = ranked.groupBy("class").agg(first).select("class", *(F.col(f"x.{k}").alias(f"{k}_1") for k in ("did", "n", "e", "c")))
+    met = posts.join(leader, "class").where("c != c_1").where(_possible(F.col("n"), F.col("e"), F.col("n_1"), F.col("e_1"), similarity))
+    pairs = met.select(F.least("did", "did_1").alias("a"), F.greatest("did", "did_1").alias("b")).distinct()
+    return pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
+
+
+def _pairs_apart(posts: DataFrame) -> int:
+    """How many pairs of one class are in different components, counted without making them."""
+    by = posts.groupBy("class", "c").agg(F.count("*").alias("m")).groupBy("class").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
+    return by.agg(F.sum(F.col("all") * F.col("all") - F.col("own"))).first()[0] or 0
+
+
+def _apart_pairs(posts: DataFrame, similarity: int) -> DataFrame:
+    """(a, b), a < b: all documents in different components whose shared prefix shingles leave room for the similarity."""
+    x = posts.select("class", "weight", F.col("did").alias("a"), F.col("n").alias("n1"), F.col("e").alias("e1"), F.col("c").alias("c1"))
+    y = posts.select("class", F.col("did").alias("b"), F.col("n").alias("n2"), F.col("e").alias("e2"), F.col("c").alias("c2"))
+    apart = (F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _possible(F.col("n1"), F.col("e1"), F.col("n2"), F.col("e2"), similarity)
+    met_in = x.join(y, (x["class"] == y["class"]) & apart).groupBy("a", "b", "n1", "n2").agg(F.sum("weight").alias("shared"))
+    # Past the shorter reach of the two prefixes, which share so many, a document has at most its shingles after its prefix.
+    after = lambda n: F.ceil(F.col(n) * similarity / 100) - 1
+    room = (100 + similarity) * (F.col("shared") + F.greatest(after("n1"), after("n2"))) >= similarity * (F.col("n1") + F.col("n2"))
+    return met_in.where(room).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """One row for each row of docs (doc_id, text): n_shingles, component_id and did (doc_id, or a stand-in for null).
 
@@ -177,34 +229,24 @@ def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     distinct = texts.join(sets.select(F.col("rep").alias("did")), "did", "left_semi")
     tokens = distinct.mapInArrow(_prefixes(frequent, similarity), "token long, did long, n int, at int")
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    met = written(tokens.join(shared, "token"))
-    # Shingles before a shared one that no other prefix holds can't be in an intersection: e is what can.
-    turn = F.row_number().over(Window.partitionBy("did").orderBy("at"))
-    posts = met.withColumn("e", F.col("n") - F.greatest(F.col("at") - turn + 1, F.lit(0))).where(100 * F.col("e") >= similarity * F.col("n"))
-    rank = F.floor(F.col("e") * 1000 / F.col("n")) * (1 << 44) + F.shiftrightunsigned(F.xxhash64("did"), 20)
-    posts = written(posts.select("token", "did", "n", "e", rank.alias("rank")))
-    leader = posts.groupBy("token").agg(F.max_by("did", "rank").alias("a"), F.max_by("n", "rank").alias("n_a"), F.max_by("e", "rank").alias("e_a"), F.count("*").alias("m")).where("m > 1")
-    to_leader = posts.withColumnRenamed("did", "b").join(leader, "token").where("a != b").where(_possible(F.col("n"), F.col("e"), F.col("n_a"), F.col("e_a"), similarity))
-    first_pairs = written(to_leader.select("a", "b").distinct())
-    first_links = written(_verified(first_pairs, texts, similarity))
-
-    label = components(first_links)
-    placed = posts.join(label.withColumnRenamed("node", "did"), "did", "left").withColumn("c", F.coalesce("component", "did")).drop("component", "rank")
-    split = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    rest = written(placed.join(split, "token"))
-    x = rest.select("token", F.col("did").alias("a"), F.col("n").alias("n1"), F.col("e").alias("e1"), F.col("c").alias("c1"))
-    y = rest.select("token", F.col("did").alias("b"), F.col("n").alias("n2"), F.col("e").alias("e2"), F.col("c").alias("c2"))
-    apart = (F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _possible(F.col("n1"), F.col("e1"), F.col("n2"), F.col("e2"), similarity)
-    met_in = x.join(y, (x["token"] == y["token"]) & apart).groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("c"))
-    # Past the shorter reach of the two prefixes, which share c, a document has at most its shingles after its prefix.
-    after = lambda n: F.ceil(F.col(n) * similarity / 100) - 1
-    enough = (100 + similarity) * (F.col("c") + F.greatest(after("n1"), after("n2"))) >= similarity * (F.col("n1") + F.col("n2"))
-    more = met_in.where(enough).select("a", "b").distinct()
-    seen = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(more.join(seen, ["a", "b"], "left_anti"))
-    links = first_links
+    posts = written(_classes(tokens.join(shared, "token"), similarity))
+
+    size = posts.count()
+    links, seen, placed = None, None, posts.withColumn("c", F.col("did"))
+    for turn in range(LEADERS):
+        pairs = written(_leader_pairs(placed, turn, similarity, seen))
+        found = written(_verified(pairs, texts, similarity))
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        label = components(links).withColumnRenamed("node", "did")
+        known = posts.join(label, "did", "left").withColumn("c", F.coalesce("component", "did")).drop("component")
+        split = known.groupBy("class").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("class")
+        placed = written(known.join(split, "class"))
+        if 20 * found.count() <= pairs.count() or _pairs_apart(placed) <= size:
+            break
+    more = written(_apart_pairs(placed, similarity).join(seen, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        links = first_links.unionByName(written(_verified(more, texts, similarity)))
+        links = links.unionByName(written(_verified(more, texts, similarity)))
 
     component = components(links)
     named = sets.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
