@@ -61,6 +61,10 @@ class Vocabulary:
             F.from_json(said([base64.b64encode(t).decode() for t in self.tokens]), "array<binary>"),
         )
 
+    def byte_pairs(self) -> np.ndarray:
+        """Ranks of the merges of two bytes, by 256 * a + b."""
+        return np.array([self.pairs.get((a, b), _NONE) for a in self.bytes for b in self.bytes], np.int64)
+
     def merged(self, ids: list[int]) -> list[int]:
         """All merges of one long piece, lowest rank first and then leftmost, by a heap over a linked list."""
         n = len(ids)
@@ -90,8 +94,8 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def fold_merges(ids: Column, keys: Column, values: Column) -> Column:
-    """Ids of a piece's bytes (array<int>) folded to its tokens.
+def fold_merges(state: Column, keys: Column, values: Column) -> Column:
+    """A piece's bytes (array<long>, as first_states gives them) folded to the ids of its tokens.
 
     Each element of the state packs the rank of its merge with the next one, the byte where it starts and its id, so
     that the least element is the leftmost merge of lowest rank.
@@ -102,9 +106,6 @@ def fold_merges(ids: Column, keys: Column, values: Column) -> Column:
         found = F.get(F.get(values, at), F.array_position(F.get(keys, at), left * 65536 + right).cast("int") - 1)
         return F.coalesce(found.cast("long"), F.lit(_NONE)) * (1 << _RANK_AT)
 
-    def start(x: Column, i: Column) -> Column:
-        return rank(x.cast("long"), F.get(ids, i + 1).cast("long")) + F.shiftleft(i.cast("long"), _POSITION_AT) + x
-
     def merge(state: Column, _: Column) -> Column:
         def at(least: Column, p: Column) -> Column:
             token = F.shiftright(least, _RANK_AT)
@@ -120,8 +121,8 @@ def fold_merges(ids: Column, keys: Column, values: Column) -> Column:
 
         return _let(F.array_min(state), if_any)
 
-    steps = F.slice(ids, F.lit(2), F.size(ids))
-    return F.aggregate(steps, F.transform(ids, start), merge, lambda s: F.transform(s, lambda e: e.bitwiseAND(_ID).cast("int")))
+    steps = F.slice(state, F.lit(2), F.size(state))
+    return F.aggregate(steps, state, merge, lambda s: F.transform(s, lambda e: e.bitwiseAND(_ID).cast("int")))
 
 
 def java_pattern(pattern: str) -> str:
@@ -129,12 +130,21 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace("[^\\s", f"[^{_SPACE}").replace("\\S", f"[^{_SPACE}]").replace("\\s", f"[{_SPACE}]")
 
 
-_CHUNK = "doc_id array<long>, n array<int>, at array<int>, words array<array<int>>, known array<array<int>>"
+_CHUNK = "doc_id array<long>, n array<int>, at array<int>, words array<array<long>>, known array<array<int>>"
 _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def first_states(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The fold's state for pieces' bytes before any merge; pairs: ranks of two adjacent bytes' merges, by 256 * a + b."""
+    rank = np.full(len(data), _NONE, np.int64)
+    rank[:-1] = pairs[data[:-1].astype(np.int64) * 256 + data[1:]]
+    rank[offsets[1:] - 1] = _NONE
+    at = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    return (rank << _RANK_AT) + (at << _POSITION_AT) + ids[data]
+
+
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
 
 
 def _row(column: pa.Array) -> pa.Array:
@@ -142,9 +152,10 @@ def _row(column: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
 
 
-def _chunked(byte_ids: list[int], pattern: str, long_pieces):
-    """Documents' pieces by chunk: distinct ones as ids of bytes, and where in the documents they are."""
-    lut = np.array(byte_ids, np.int32)
+def _chunked(vocabulary: Vocabulary, pattern: str, long_pieces):
+    """Documents' pieces by chunk: distinct ones as first states, and where in the documents they are."""
+    lut = np.array(vocabulary.bytes, np.int64)
+    pairs = vocabulary.byte_pairs()
 
     def chunk(docs: list, counts: list, pieces: list) -> pa.RecordBatch:
         coded = pa.concat_arrays(pieces).dictionary_encode()
@@ -157,10 +168,11 @@ def _chunked(byte_ids: list[int], pattern: str, long_pieces):
         place = np.where(short, np.cumsum(short) - 1, short.sum() + np.cumsum(~short) - 1).astype(np.int32)
         kept = np.repeat(short, size)
         merged = [long_pieces(lut[data[offsets[i] : offsets[i + 1]]].tolist()) for i in np.flatnonzero(~short)]
+        ends = np.concatenate(([0], np.cumsum(size[short], dtype=np.int64)))
         known = pa.array(merged, pa.list_(pa.int32()))
         at = pa.array(place[coded.indices.to_numpy(zero_copy_only=False)], pa.int32())
         columns = [pa.concat_arrays(docs), pa.array(np.concatenate(counts), pa.int32()), at,
-                   _lists(lut[data[kept]], np.concatenate(([0], np.cumsum(size[short])))), known]
+                   _lists(first_states(data[kept], ends, lut, pairs), ends), known]
         return pa.RecordBatch.from_arrays([_row(c) for c in columns], ["doc_id", "n", "at", "words", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +238,7 @@ def encoded_chunks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         F.when(~odd, F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0))).alias("pieces"),
         F.when(odd, F.col("text")).alias("rest"),
     )
-    chunks = pieces.mapInArrow(_chunked(vocabulary.bytes, pattern, lambda ids: shared.value.merged(ids)), _CHUNK)
+    chunks = pieces.mapInArrow(_chunked(vocabulary, pattern, lambda ids: shared.value.merged(ids)), _CHUNK)
     words = F.concat(F.transform("words", lambda w: fold_merges(w, keys, values)), F.col("known"))
     folded = chunks.select("doc_id", "n", "at", words.alias("words"))
     decoded = F.transform("words", lambda ids: F.aggregate(ids, F.lit(b""), lambda out, i: F.concat(out, F.get(tokens, i))))
