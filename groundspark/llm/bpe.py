@@ -1,32 +1,34 @@
-"""Byte-level BPE: ranked merges as a fold of Spark's higher-order functions over the bytes of distinct pieces.
+"""Byte-level BPE: ranked merges as a fold of Spark's higher-order functions over the bytes of distinct words.
 
-A task cuts its documents into chunks and finds each chunk's distinct pieces once; Spark folds the merges over them
-with the ranks as a literal; the encoded pieces are put back in document order. Nothing is shuffled.
+Documents are written in chunks, as codes of each chunk's distinct words. The corpus's distinct words are folded once
+each, with the ranks as a literal; their ids go back to the chunks that hold the words, and decoding concatenates the
+bytes of ids. Words grow more slowly than texts, so the fold takes a smaller share the larger the input is.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import full_text, prepare
+from groundspark.llm.common import full_text, prepare, written
 
-#: Bytes of text whose distinct pieces are encoded together.
-CHUNK = 8 << 20
+#: Bytes of text whose words are coded together: what a task holds beside its batch.
+CHUNK = 16 << 20
 #: Longer pieces (in bytes) are merged by a heap, as the fold takes time with the square of a piece's length.
 LONG = 128
 #: Fixed: white space by Unicode, which Java's \s leaves out.
 _SPACE = "\\t-\\r\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
-_NONE, _RANK_AT, _POSITION_AT, _BUCKETS = 1 << 17, 37, 17, 1 << 17
+_NONE, _RANK_AT, _POSITION_AT = 1 << 17, 37, 17
 _LOW, _ID = (1 << _RANK_AT) - 1, (1 << _POSITION_AT) - 1
+_PLACE = _LOW - _ID
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,19 +49,25 @@ class Vocabulary:
             (ranks[t[:i]], ranks[t[i:]]): rank for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
         }
 
-    def buckets(self) -> tuple[Column, Column, Column]:
-        """The merges as a literal hash map (arrays of keys and of ranks by bucket), and the tokens as a literal."""
-        keys: list[list[int]] = [[] for _ in range(_BUCKETS)]
-        values: list[list[int]] = [[] for _ in range(_BUCKETS)]
-        for (a, b), rank in self.pairs.items():
-            keys[(a * 31337 + b) % _BUCKETS].append(a * 65536 + b)
-            values[(a * 31337 + b) % _BUCKETS].append(rank)
+    def table(self) -> tuple[Column, Column]:
+        """The merges as literals: where the row of each left id begins, and rows laid over each other where they have gaps.
+
+        The place of (a, b) is begins[a] + b; what stands there carries its own pair, so that another pair is told from it.
+        """
+        rows: dict[int, list[int]] = {}
+        for a, b in self.pairs:
+            rows.setdefault(a, []).append(b)
+        free = np.ones(4 * len(self.pairs) + len(self.tokens), bool)
+        begins, entries = [0] * len(self.tokens), np.zeros(len(free) + len(self.tokens), np.int64)
+        for a, bs in sorted(rows.items(), key=lambda row: (-len(row[1]), row[0])):
+            own = np.array(bs)
+            at = a
+            while not free[(places := own + at % (len(free) - len(self.tokens)))].all():
+                at += 7919
+            begins[a], free[places] = int(at % (len(free) - len(self.tokens))), False
+            entries[places] = [(a << 16 | b) << _POSITION_AT | self.pairs[a, b] for b in bs]
         said = lambda x: F.lit(json.dumps(x, separators=(",", ":")))
-        return (
-            F.from_json(said(keys), "array<array<bigint>>"),
-            F.from_json(said(values), "array<array<int>>"),
-            F.from_json(said([base64.b64encode(t).decode() for t in self.tokens]), "array<binary>"),
-        )
+        return F.from_json(said(begins), "array<int>"), F.from_json(said(entries.tolist()), "array<bigint>")
 
     def byte_pairs(self) -> np.ndarray:
         """Ranks of the merges of two bytes, by 256 * a + b."""
@@ -94,34 +102,33 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def fold_merges(state: Column, keys: Column, values: Column) -> Column:
+def fold_merges(state: Column, begins: Column, entries: Column) -> Column:
     """A piece's bytes (array<long>, as first_states gives them) folded to the ids of its tokens.
 
     Each element of the state packs the rank of its merge with the next one, the byte where it starts and its id, so
-    that the least element is the leftmost merge of lowest rank.
+    that the least element is the leftmost merge of lowest rank. What stands at another pair's place differs from the
+    pair in its upper bits, and counts as no merge.
     """
 
     def rank(left: Column, right: Column) -> Column:
-        at = (left * 31337 + right).bitwiseAND(_BUCKETS - 1).cast("int")
-        found = F.get(F.get(values, at), F.array_position(F.get(keys, at), left * 65536 + right).cast("int") - 1)
-        return F.coalesce(found.cast("long"), F.lit(_NONE)) * (1 << _RANK_AT)
+        found = F.get(entries, F.get(begins, left.cast("int")) + right.cast("int"))
+        pair = F.shiftleft(left, _POSITION_AT + 16) + F.shiftleft(right, _POSITION_AT)
+        return F.shiftleft(F.least(found.bitwiseXOR(pair), F.lit(_NONE)), _RANK_AT)
 
     def merge(state: Column, _: Column) -> Column:
         def at(least: Column, p: Column) -> Column:
-            token = F.shiftright(least, _RANK_AT)
-            body = F.shiftleft(F.shiftright(least, _POSITION_AT).bitwiseAND((1 << 20) - 1), _POSITION_AT) + token
-            new = F.struct(body.alias("a"), F.get(state, p + 1).bitwiseAND(_ID).alias("b"))
-            old = F.struct(F.get(state, p - 2).bitwiseAND(_LOW).alias("a"), token.alias("b"))
-            near = F.transform(F.when(p > 1, F.array(old, new)).otherwise(F.array(new)), lambda x: rank(x["a"].bitwiseAND(_ID), x["b"]) + x["a"])
-            n = F.size(state)
-            return F.concat(F.slice(state, F.lit(1), F.greatest(p - 2, F.lit(0))), near, F.slice(state, p + 2, n))
+            token, before = F.shiftright(least, _RANK_AT), F.get(state, p - 2)
+            new = rank(token, F.get(state, p + 1).bitwiseAND(_ID)) + least.bitwiseAND(_PLACE) + token
+            old = rank(before.bitwiseAND(_ID), token) + before.bitwiseAND(_LOW)
+            rest = F.slice(state, p + 2, F.lit(1 << 20))
+            return F.when(p > 1, F.concat(F.slice(state, F.lit(1), p - 2), F.array(old, new), rest)).otherwise(F.concat(F.array(new), rest))
 
         def if_any(least: Column) -> Column:
             return F.when(least < (_NONE << _RANK_AT), _let(F.array_position(state, least).cast("int"), lambda p: at(least, p))).otherwise(state)
 
         return _let(F.array_min(state), if_any)
 
-    steps = F.slice(state, F.lit(2), F.size(state))
+    steps = F.slice(state, F.lit(2), F.lit(1 << 20))
     return F.aggregate(steps, state, merge, lambda s: F.transform(s, lambda e: e.bitwiseAND(_ID).cast("int")))
 
 
@@ -130,8 +137,27 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace("[^\\s", f"[^{_SPACE}").replace("\\S", f"[^{_SPACE}]").replace("\\s", f"[{_SPACE}]")
 
 
-_CHUNK = "doc_id array<long>, n array<int>, at array<int>, words array<array<long>>, known array<array<int>>"
-_OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_CHUNK = "chunk long, doc_id long, at binary, k int, word binary"
+_ENCODED = "doc_id long, ids array<int>, decoded binary"
+
+
+def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Numbers up to 2**28 as bytes of 7 bits, the last of each under 128: a binary value for each range between cuts."""
+    size = 1 + (values > 127) + (values > 16383) + (values > 2097151)
+    ends = np.concatenate(([0], np.cumsum(size)))
+    out = np.empty(ends[-1], np.uint8)
+    for k in range(4):
+        has = np.flatnonzero(size > k)
+        out[ends[has] + k] = (values[has] >> (7 * k) & 127) | np.where(size[has] > k + 1, 128, 0)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends[cuts].astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    if not len(data):
+        return np.zeros(0, np.int64)
+    start = np.concatenate(([0], np.flatnonzero(data < 128)[:-1] + 1))
+    within = np.arange(len(data)) - np.repeat(start, np.diff(np.append(start, len(data))))
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * within), start)
 
 
 def first_states(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -147,36 +173,36 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
 
 
-def _row(column: pa.Array) -> pa.Array:
-    """One row that holds the whole column as its list."""
-    return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
-
-
-def _chunked(vocabulary: Vocabulary, pattern: str, long_pieces):
-    """Documents' pieces by chunk: distinct ones as first states, and where in the documents they are."""
-    lut = np.array(vocabulary.bytes, np.int64)
-    pairs = vocabulary.byte_pairs()
-
-    def chunk(docs: list, counts: list, pieces: list) -> pa.RecordBatch:
-        coded = pa.concat_arrays(pieces).dictionary_encode()
-        words = coded.dictionary.cast(pa.binary())
-        _, offsets, data = words.buffers()
-        offsets = np.frombuffer(offsets, np.int32)[: len(words) + 1] if len(words) else np.zeros(1, np.int32)
-        data = np.frombuffer(data, np.uint8)[: offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-        size = np.diff(offsets)
-        short = size <= LONG
-        place = np.where(short, np.cumsum(short) - 1, short.sum() + np.cumsum(~short) - 1).astype(np.int32)
-        kept = np.repeat(short, size)
-        merged = [long_pieces(lut[data[offsets[i] : offsets[i + 1]]].tolist()) for i in np.flatnonzero(~short)]
-        ends = np.concatenate(([0], np.cumsum(size[short], dtype=np.int64)))
-        known = pa.array(merged, pa.list_(pa.int32()))
-        at = pa.array(place[coded.indices.to_numpy(zero_copy_only=False)], pa.int32())
-        columns = [pa.concat_arrays(docs), pa.array(np.concatenate(counts), pa.int32()), at,
-                   _lists(first_states(data[kept], ends, lut, pairs), ends), known]
-        return pa.RecordBatch.from_arrays([_row(c) for c in columns], ["doc_id", "n", "at", "words", "known"])
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets (from 0) of a binary column without nulls."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)), at - at[0]
+
+
+def _chunked(pattern: str):
+    """Documents' words by chunk: a row for each document (at: its words' places in the chunk's order of frequency), and one for each distinct word."""
+
+    def rows(chunk: int, n: int, **columns) -> pa.RecordBatch:
+        kinds = {"doc_id": pa.int64(), "at": pa.binary(), "k": pa.int32(), "word": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), *(columns.get(c, pa.nulls(n, t)) for c, t in kinds.items())], ["chunk", *kinds])
+
+    def coded(chunk: int, docs: list, counts: list, pieces: list) -> Iterator[pa.RecordBatch]:
+        found = pa.concat_arrays(pieces).dictionary_encode()
+        index = found.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(-np.bincount(index, minlength=len(found.dictionary)), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        cuts = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        ids, at, words = pa.concat_arrays(docs), packed(place[index], cuts), found.dictionary.cast(pa.binary()).take(pa.array(order))
+        for lo in range(0, len(ids), 256):
+            yield rows(chunk, len(ids[lo : lo + 256]), doc_id=ids[lo : lo + 256], at=at[lo : lo + 256])
+        for lo in range(0, len(words), 8192):
+            own = words[lo : lo + 8192]
+            yield rows(chunk, len(own), k=pa.array(np.arange(lo, lo + len(own), dtype=np.int32)), word=own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, counts, pieces, size = [], [], [], 0
+        docs, counts, pieces, size, chunk = [], [], [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             found = batch.column("pieces")
             if found.null_count:
@@ -191,45 +217,63 @@ def _chunked(vocabulary: Vocabulary, pattern: str, long_pieces):
             pieces.append(flat)
             size += flat.nbytes
             if size > 2 * CHUNK:  # pieces' offsets count too
-                yield chunk(docs, counts, pieces)
-                docs, counts, pieces, size = [], [], [], 0
+                yield from coded(chunk, docs, counts, pieces)
+                docs, counts, pieces, size, chunk = [], [], [], 0, chunk + 1
         if docs:
-            yield chunk(docs, counts, pieces)
+            yield from coded(chunk, docs, counts, pieces)
+
+    return run
+
+
+def _states(vocabulary: Vocabulary, long_pieces):
+    """Distinct words with the fold's first state, or their ids where they are long."""
+    lut, pairs = np.array(vocabulary.bytes, np.int64), vocabulary.byte_pairs()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = _binary(batch.column("word"))
+            size = np.diff(offsets)
+            short = size <= LONG
+            ends = np.concatenate(([0], np.cumsum(np.where(short, size, 0))))
+            state = _lists(first_states(data[np.repeat(short, size)], np.unique(ends), lut, pairs), ends)
+            known = [None if ok else long_pieces(lut[data[a:b]].tolist()) for ok, a, b in zip(short.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), state, pa.array(known, pa.list_(pa.int32()))], ["word", "state", "known"])
 
     return run
 
 
-def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            words = batch.column("words").slice(k, 1).flatten()
-            decoded = batch.column("decoded").slice(k, 1).flatten().to_pylist()
-            ids, cut = words.flatten().to_numpy(), words.offsets.to_numpy()
-            cut = cut - cut[0]
-            said = np.array(ids.astype("U6").tolist(), object) if len(ids) else []
-            strings = [",".join(said[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            tokens = np.diff(cut)
-            at = batch.column("at").slice(k, 1).flatten().to_numpy()
-            end = np.cumsum(batch.column("n").slice(k, 1).flatten().to_numpy())
-            rows, lo = ([], [], []), 0
-            for hi in end.tolist():
-                own = at[lo:hi].tolist()
-                rows[0].append(int(tokens[at[lo:hi]].sum()))
-                rows[1].append(hashlib.sha256(",".join([strings[i] for i in own]).encode()).hexdigest())
-                rows[2].append(hashlib.sha256(b"".join([decoded[i] for i in own])).hexdigest())
-                lo = hi
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(k, 1).flatten(), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-
-def encoded_chunks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """One row for each chunk of documents: doc_id, pieces of each document (n), pieces in order (at: places in words),
-    and each distinct piece's ids (words) and bytes as decoded from the ids (decoded)."""
+def _assembled(tokens: list[bytes]):
+    """A chunk's documents with the ids of their words, and the bytes that the ids stand for."""
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        docs, words = docs.combine_chunks(), words.sort_by("k").combine_chunks()
+        ids = words["ids"].chunk(0) if len(words) else pa.array([], pa.list_(pa.int32()))
+        table, out = pa.array(tokens, pa.binary()), []
+        for lo in range(0, len(docs), 64):
+            own = docs.slice(lo, 64).combine_chunks()
+            data, offsets = _binary(own["at"].chunk(0))
+            at = unpacked(data)
+            words_before = np.concatenate(([0], np.cumsum(data < 128)))[offsets]
+            taken = ids.take(pa.array(at))
+            flat = taken.flatten()
+            size = np.concatenate(([0], np.cumsum(np.diff(taken.offsets.to_numpy()))))[words_before].astype(np.int32)
+            decoded, cuts = _binary(table.take(flat))
+            column = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(cuts[size].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(decoded))])
+            out.append(pa.table([own["doc_id"], pa.ListArray.from_arrays(pa.array(size, pa.int32()), flat), column], ["doc_id", "ids", "decoded"]))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, ids, and decoded: the bytes that the ids stand for.
+
+    A null text counts as empty (no ids); a null doc_id is kept; repeated rows get equal results; pieces of any length
+    are encoded; other columns are ignored; an empty table gives none.
+    """
     prepare(docs.sparkSession)
     vocabulary = Vocabulary(read_ranks(ranks_path))
-    keys, values, tokens = vocabulary.buckets()
+    begins, entries = vocabulary.table()
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the vocabulary
     text = full_text()
     odd = F.col("text").rlike("\\p{Cn}")  # a letter of newer Unicode than Java knows
@@ -238,17 +282,20 @@ def encoded_chunks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         F.when(~odd, F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0))).alias("pieces"),
         F.when(odd, F.col("text")).alias("rest"),
     )
-    chunks = pieces.mapInArrow(_chunked(vocabulary, pattern, lambda ids: shared.value.merged(ids)), _CHUNK)
-    words = F.concat(F.transform("words", lambda w: fold_merges(w, keys, values)), F.col("known"))
-    folded = chunks.select("doc_id", "n", "at", words.alias("words"))
-    decoded = F.transform("words", lambda ids: F.aggregate(ids, F.lit(b""), lambda out, i: F.concat(out, F.get(tokens, i))))
-    return folded.select("doc_id", "n", "at", "words", decoded.alias("decoded"))
+    chunks = written(pieces.mapInArrow(_chunked(pattern), _CHUNK), "zstd")
+    held = chunks.where("word is not null").select("word", "chunk", "k").repartition("word")
+    states = held.groupBy("word").agg(F.count("*").alias("n")).select("word").mapInArrow(
+        _states(vocabulary, lambda ids: shared.value.merged(ids)), "word binary, state array<long>, known array<int>")
+    folded = states.select("word", F.coalesce("known", fold_merges(F.col("state"), begins, entries)).alias("ids"))
+    back = held.join(folded, "word").select(F.col("chunk").alias("part"), "k", "ids")
+    texts = chunks.where("word is null").select("chunk", "doc_id", "at")
+    tokens = vocabulary.tokens
+    return texts.groupBy("chunk").cogroup(back.groupBy("part")).applyInArrow(_assembled(tokens), _ENCODED)
 
 
 def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """One row for each row of docs (doc_id, text): the number of tokens, and digests of ids and of the decoded bytes.
-
-    A null text counts as empty (no ids); a null doc_id is kept; repeated rows get equal results; pieces of any length
-    are encoded; other columns are ignored; an empty table gives none.
-    """
-    return encoded_chunks(docs, ranks_path, pattern).mapInArrow(_assembled, _OUT)
+    """For each row of docs (doc_id, text) the number of tokens, and digests of ids and of the decoded bytes (see encoded)."""
+    said = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return encoded(docs, ranks_path, pattern).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
