@@ -225,19 +225,26 @@ def _chunked(pattern: str):
     return run
 
 
+_WORDS = "state array<long>, known array<int>, chunks array<long>, ks array<int>"
+
+
 def _states(vocabulary: Vocabulary, long_pieces):
-    """Distinct words with the fold's first state, or their ids where they are long."""
+    """Each distinct word of a batch, which comes sorted, as the fold's first state (its ids where it is long), and where it is held."""
     lut, pairs = np.array(vocabulary.bytes, np.int64), vocabulary.byte_pairs()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = _binary(batch.column("word"))
+            word = batch.column("word").dictionary_encode()
+            index = word.indices.to_numpy(zero_copy_only=False)
+            data, offsets = _binary(word.dictionary)
             size = np.diff(offsets)
             short = size <= LONG
             ends = np.concatenate(([0], np.cumsum(np.where(short, size, 0))))
             state = _lists(first_states(data[np.repeat(short, size)], np.unique(ends), lut, pairs), ends)
             known = [None if ok else long_pieces(lut[data[a:b]].tolist()) for ok, a, b in zip(short.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), state, pa.array(known, pa.list_(pa.int32()))], ["word", "state", "known"])
+            order, cuts = pa.array(np.argsort(index, kind="stable")), pa.array(np.concatenate(([0], np.cumsum(np.bincount(index, minlength=len(size))))), pa.int32())
+            held = [pa.ListArray.from_arrays(cuts, batch.column(c).take(order)) for c in ("chunk", "k")]
+            yield pa.RecordBatch.from_arrays([state, pa.array(known, pa.list_(pa.int32())), *held], ["state", "known", "chunks", "ks"])
 
     return run
 
@@ -283,11 +290,10 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         F.when(odd, F.col("text")).alias("rest"),
     )
     chunks = written(pieces.mapInArrow(_chunked(pattern), _CHUNK), "zstd")
-    held = chunks.where("word is not null").select("word", "chunk", "k").repartition("word")
-    states = held.groupBy("word").agg(F.count("*").alias("n")).select("word").mapInArrow(
-        _states(vocabulary, lambda ids: shared.value.merged(ids)), "word binary, state array<long>, known array<int>")
-    folded = states.select("word", F.coalesce("known", fold_merges(F.col("state"), begins, entries)).alias("ids"))
-    back = held.join(folded, "word").select(F.col("chunk").alias("part"), "k", "ids")
+    held = chunks.where("word is not null").select("word", "chunk", "k").repartition("word").sortWithinPartitions("word")
+    words = held.mapInArrow(_states(vocabulary, lambda ids: shared.value.merged(ids)), _WORDS)
+    folded = words.select(F.coalesce("known", fold_merges(F.col("state"), begins, entries)).alias("ids"), F.arrays_zip("chunks", "ks").alias("held"))
+    back = folded.select("ids", F.explode("held").alias("h")).select(F.col("h.chunks").alias("part"), F.col("h.ks").alias("k"), "ids")
     texts = chunks.where("word is null").select("chunk", "doc_id", "at")
     tokens = vocabulary.tokens
     return texts.groupBy("chunk").cogroup(back.groupBy("part")).applyInArrow(_assembled(tokens), _ENCODED)
