@@ -27,12 +27,17 @@ def parsed_items(raw: Column, field: str) -> Column:
     return F.when(F.try_parse_json(body).isNotNull(), F.from_json(inside, f"array<{_ITEM}>"))
 
 
-def rerank_scores(raw: Column, n: Column, top: int = 3) -> Column:
-    """map of ordinal (1 to n) to score (0 to top): items that can't be read are left out, the last of one ordinal holds."""
+def rerank_scores(raw: Column, n: Column, top: int = 3, strict: bool = False) -> Column:
+    """map of ordinal (1 to n) to score (0 to top): items that can't be read are left out, the last of one ordinal holds.
+
+    With strict, an answer that is broken or scores no candidate is an error, as a rerank can't go on without one.
+    """
     items = F.transform(parsed_items(raw, "scores"), lambda x: F.struct(x["id"].try_cast("int").alias("id"), x["score"].try_cast("double").cast("int").alias("score")))
     read = F.filter(items, lambda x: x["id"].between(1, n) & x["score"].isNotNull())
     last = F.filter(read, lambda x, i: ~F.exists(F.slice(read, i + 2, F.size(read)), lambda y: y["id"] == x["id"]))
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["id"], F.least(F.greatest(x["score"], F.lit(0)), F.lit(top)))))
+    scores = F.map_from_entries(F.transform(last, lambda x: F.struct(x["id"], F.least(F.greatest(x["score"], F.lit(0)), F.lit(top)))))
+    failed = F.raise_error(F.concat(F.lit("no candidate was scored: "), F.substring(F.coalesce(raw, F.lit("")), 1, 200)))
+    return F.when(F.coalesce(F.size(scores), F.lit(0)) > 0, scores).otherwise(failed) if strict else scores
 
 
 def canonical(**fields: Column) -> Column:

@@ -66,21 +66,25 @@ def scalar(raw: Column) -> Column:
 
 #: Fixed: characters that extraction leaves behind, and what stands for them.
 CHARACTER_FIXES = {
-    "﻿": "", "­": "", "​": "", "‌": "", "‍": "", " ": " ", " ": " ", "‘": "'",
-    "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", "…": "...",
+    "\ufeff": "", "\u00a0": " ", "\u00ad": "",
+    "\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201b": "'",
+    "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u201f": '"',
+    "\u2013": "-", "\u2014": "-", "\u2012": "-", "\u2015": "-",
 }
 
 
 def clean_characters(text: Column) -> Column:
-    one = {k: v for k, v in CHARACTER_FIXES.items() if len(v) == 1}
+    one = {k: v for k, v in CHARACTER_FIXES.items() if v}
     none = [k for k, v in CHARACTER_FIXES.items() if not v]
-    out = F.translate(text, "".join([*one, *none]), "".join(one.values()))
-    return reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), [(k, v) for k, v in CHARACTER_FIXES.items() if len(v) > 1], out)
+    return F.translate(text, "".join([*one, *none]), "".join(one.values()))
 
 
 def squeeze_blanks(text: Column) -> Column:
-    """Runs of blanks as one, no blanks at line ends, at most one empty line in a row."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[ \t]+", " "), "(?m) +$", ""), "\n{3,}", "\n\n")
+    """Runs of blanks as one, nothing blank at line ends, and at most one empty line in a row, at the text's ends too."""
+    out = F.regexp_replace(F.regexp_replace(text, "[ \t]+", " "), "(?U)[^\\S\n]+(?=\n|\\z)", "")
+    for run, left in (("\\A\n+\\z", ""), ("\\A\n{2,}", "\n"), ("\n{2,}\\z", "\n"), ("\n{3,}", "\n\n")):
+        out = F.regexp_replace(out, run, left)
+    return out
 
 
 #: Fixed: Vietnamese letters by base letter; folding keeps offsets, as each letter becomes one.

@@ -11,8 +11,12 @@ from pyspark.sql import types as T
 
 LEAST, MOST, OVERLAP = 120, 600, 0.15
 _SENTENCE = re.compile("[.!?]+[\"'”’)\\]]*\\s+")
-#: Fixed: abbreviations after which a full stop ends no sentence.
-ABBREVIATIONS = ("TP.", "Tp.", "ThS.", "TS.", "PGS.", "GS.", "Nxb.", "tr.", "v.v.")
+#: Fixed: abbreviations after which a full stop ends no sentence, in lower case.
+ABBREVIATIONS = (
+    "tp.", "tt.", "ts.", "ths.", "gs.", "pgs.", "nđ.", "qđ.", "tw.",
+    "đ.", "tr.", "vd.", "v.v.", "stt.", "kt.", "tl.", "kg.", "khcn.",
+)
+_LAST = re.compile(r"\S+$")
 
 
 def tokens_between(s: Column, e: Column) -> Column:
@@ -50,18 +54,18 @@ def packed(clauses: Column, least: int = LEAST, most: int = MOST) -> Column:
     return F.aggregate(clauses, empty, add, finish)
 
 
+def ends_no_sentence(before: str) -> bool:
+    """Whether the mark after `before` follows nothing, an abbreviation, a number or a single capital."""
+    word = _LAST.search(before[-200:])
+    stem = word[0] if word else ""
+    return not stem or f"{stem.lower()}." in ABBREVIATIONS or stem.isdigit() or (len(stem) == 1 and stem.isupper())
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Gap-free spans; blanks after a sentence belong to it. Abbreviations, numbers and single capitals end none."""
-    spans, start = [], 0
-    for m in _SENTENCE.finditer(text):
-        before = text[start : m.start() + 1].split()
-        word = before[-1] if before else ""
-        stem = word.rstrip(".!?")
-        if not word or word in ABBREVIATIONS or stem.isdigit() or (len(stem) == 1 and stem.isupper()):
-            continue
-        spans.append((start, m.end()))
-        start = m.end()
-    return spans + [(start, len(text))] * (start < len(text))
+    """Gap-free spans; blanks after a sentence belong to it."""
+    cuts = [m.end() for m in _SENTENCE.finditer(text) if not ends_no_sentence(text[max(0, m.start() - 200) : m.start()])]
+    edges = [0, *cuts, *([len(text)] if not cuts or cuts[-1] < len(text) else [])]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b]
 
 
 def overlapping_parts(text: str, most: int = MOST, share: float = OVERLAP) -> list[tuple[int, int]]:

@@ -10,7 +10,10 @@ from groundspark.functions.text import strip
 #: Fixed: how statutes mark their parts, tested on a stripped line.
 CHAPTER, SECTION = r"^Chương\s+([IVXLCDM]+|\d+)\s*$", r"^Mục\s+(\d+)\s*$"
 ARTICLE, CLAUSE, POINT = r"^Điều\s+(\d+)\.\s*(.*)$", r"^(\d+)\.\s", r"^[a-zđ]\)\s"
-TAIL = r"^(Nơi nhận|PHỤ LỤC|_{5,})"
+TAIL = r"(?U)^(Nơi nhận|PHỤ LỤC|Phụ lục|Biểu mẫu)\b|^_{5,}"
+#: Fixed: raw text is told by how a line begins, as titles can stand on the same line.
+RAW_HEADINGS = r"^Chương\s+[IVXLCDM]+|^Mục\s+\d+|^Điều\s+(\d+)\."
+RAW_START = r"^(Chương\s+[IVXLCDM]+|Điều\s+1\.)"
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -89,7 +92,7 @@ def scope(numbered: DataFrame) -> DataFrame:
     """Lines from the first chapter or article 1 up to the first tail mark after it."""
     text = strip(F.col("line"))
     whole = Window.partitionBy("doc_id")
-    first = F.min(F.when(text.rlike(CHAPTER) | text.rlike(r"^Điều\s+1\."), F.col("ln"))).over(whole)
+    first = F.min(F.when(text.rlike(RAW_START), F.col("ln"))).over(whole)
     cut = numbered.withColumn("_a", first).where(F.col("_a").isNull() | (F.col("ln") >= F.col("_a")))
     tail = F.min(F.when(strip(F.col("line")).rlike(TAIL), F.col("ln"))).over(whole)
     return cut.withColumn("_z", tail).where(F.col("_z").isNull() | (F.col("ln") < F.col("_z"))).drop("_a", "_z")
@@ -98,8 +101,8 @@ def scope(numbered: DataFrame) -> DataFrame:
 def join_wrapped(numbered: DataFrame) -> DataFrame:
     """(doc_id, ln, line): lines put on the line before them unless blank, structural, or that one is a heading or ends a sentence."""
     text = strip(F.col("line"))
-    heading = text.rlike(CHAPTER) | text.rlike(SECTION) | text.rlike(ARTICLE)
-    typed = numbered.select("doc_id", "ln", text.alias("line"), (kind(F.col("line")) != "text").alias("mark"), heading.alias("heading"))
+    heading = text.rlike(RAW_HEADINGS)
+    typed = numbered.select("doc_id", "ln", text.alias("line"), (heading | text.rlike(r"^\d+\.\s") | text.rlike(POINT)).alias("mark"), heading.alias("heading"))
     order = Window.partitionBy("doc_id").orderBy("ln")
     last = F.lag("line").over(order)
     joins = (F.col("line") != "") & ~F.col("mark") & (last != "") & ~F.lag("heading").over(order) & ~last.rlike("[.;:!?]$")

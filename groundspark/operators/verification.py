@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed: the thresholds that are tried.
 TAU_RETRIEVE = (0.0, 0.34, 0.67, 1.0)
-TAU_GROUND = (0.4, 0.5, 0.6, 0.7, 0.75, 0.9, 1.0)
+TAU_GROUND = (0.0, 0.25, 0.34, 0.5, 0.67, 0.75, 1.0)
 
 
 def citation_problems(claims: Column, n_context: Column) -> Column:
-    """Problems of claims (array of struct text, citations): none at all, one without a citation, an ordinal out of 1..n."""
-    numbered = F.transform(claims, lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i")))
-    bare = F.transform(F.filter(numbered, lambda x: F.size(x["c"]["citations"]) == 0), lambda x: F.format_string("claim %d has no citation", x["i"]))
-    out = lambda c: F.filter(c["citations"], lambda o: (o < 1) | (o > n_context))
-    wrong = F.transform(
-        F.filter(numbered, lambda x: F.size(out(x["c"])) > 0), lambda x: F.format_string("claim %d cites unknown %s", x["i"], F.array_join(out(x["c"]), ","))
-    )
-    return F.when(F.size(claims) == 0, F.array(F.lit("no claims"))).otherwise(F.concat(bare, wrong))
+    """Problems of claims (array of struct text, citations), claim by claim: none at all, one without a citation, each ordinal out of 1..n."""
+    n = n_context.cast("string")
+
+    def of_claim(c: Column, i: Column) -> Column:
+        out = F.filter(c["citations"], lambda o: (o < 1) | (o > n_context))
+        said = F.transform(out, lambda o: F.concat(F.lit("mệnh đề "), (i + 1).cast("string"), F.lit(" trích dẫn ["), o.cast("string"), F.lit("] ngoài danh sách (chỉ có [1]..["), n, F.lit("])")))
+        return F.when(F.size(c["citations"]) == 0, F.array(F.concat(F.lit("mệnh đề "), (i + 1).cast("string"), F.lit(" không có trích dẫn")))).otherwise(said)
+
+    return F.when(F.size(claims) == 0, F.array(F.lit("không có mệnh đề nào"))).otherwise(F.flatten(F.transform(claims, of_claim)))
 
 
 def support_ratio(claims: DataFrame, verdicts: DataFrame, key: list[str]) -> DataFrame:
@@ -29,22 +31,29 @@ def support_ratio(claims: DataFrame, verdicts: DataFrame, key: list[str]) -> Dat
 def answer_outcomes(attempts: DataFrame, grid: DataFrame) -> DataFrame:
     """What the answer machine does at each grid point, from attempts recorded once.
 
-    attempts: qid, attempt (1, 2), top_score (null for arms without a judge), abstained, check_a, ratio (null when not
-    scored). An attempt is accepted when it isn't an abstention, check A holds and ratio >= tau_g; a question abstains at
-    once when top_score < tau_r, when the first attempt abstains, or when no attempt is accepted.
+    attempts: qid, attempt, top_score (null for arms without a judge), abstained, check_a, ratio (null when not scored).
+    Attempts run in turn until one abstains or is accepted (check A holds and ratio >= tau_g); what was recorded after
+    that did not run and counts nowhere. stage tells where a question ends without an answer: at retrieval when
+    top_score < tau_r, at the model when it abstains, else at the check that the last attempt failed.
     """
     each = attempts.join(F.broadcast(grid), how="cross")
     ok = ~F.col("abstained") & F.col("check_a") & (F.coalesce("ratio", F.lit(-1.0)) >= F.col("tau_g"))
-    by = each.groupBy("tau_r", "tau_g", "qid").agg(
+    point = ["tau_r", "tau_g", "qid"]
+    each = each.withColumn("ok", ok)
+    each = each.withColumn("end", F.min(F.when(F.col("ok") | F.col("abstained"), F.col("attempt"))).over(Window.partitionBy(*point)))
+    by = each.where(F.col("end").isNull() | (F.col("attempt") <= F.col("end"))).groupBy(*point).agg(
         F.bool_or(F.col("top_score").isNotNull() & (F.col("top_score") < F.col("tau_r"))).alias("gated"),
-        F.bool_or((F.col("attempt") == 1) & F.col("abstained")).alias("declined"),
-        F.min(F.when(ok, F.col("attempt"))).alias("accepted_at"),
+        F.bool_or("abstained").alias("declined"),
+        F.min(F.when(F.col("ok"), F.col("attempt"))).alias("accepted_at"),
+        F.count("*").alias("n_attempts"),
+        F.max_by("check_a", "attempt").alias("_a"),
         F.min_by("ratio", "attempt").alias("ratio_first"),
         F.max_by(F.col("ratio"), F.when(F.col("ratio").isNotNull(), F.col("attempt"))).alias("ratio_final"),
     )
-    abstains = F.col("gated") | F.col("declined") | F.col("accepted_at").isNull()
-    stage = F.when(F.col("gated"), "retrieve").when(F.col("declined"), "model").when(F.col("accepted_at").isNull(), "check")
-    return by.withColumns({"abstains": abstains, "stage": stage, "retried": ~F.col("gated") & ~F.col("declined") & (F.coalesce("accepted_at", F.lit(2)) > 1)})
+    abstains = F.col("gated") | F.col("accepted_at").isNull()
+    last = F.when(F.col("_a"), "check_b").otherwise("check_a")
+    stage = F.when(F.col("gated"), "retrieve").when(F.col("declined"), "model").when(F.col("accepted_at").isNull(), last)
+    return by.withColumns({"abstains": abstains, "stage": stage, "retried": ~F.col("gated") & (F.col("n_attempts") > 1)}).drop("_a")
 
 
 def abstention(outcomes: DataFrame, keys: list[str], should: str = "should_abstain", does: str = "abstains") -> DataFrame:

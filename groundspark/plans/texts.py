@@ -125,8 +125,10 @@ SQL = {
     "tokenize_bag": f"""WITH t AS (SELECT doc_id, {_T} AS u FROM documents),
 b AS (SELECT doc_id, list_concat(u, [concat_ws('_', u[i], u[i + 1]) FOR i IN range(1, len(u))]) AS terms FROM t)
 SELECT doc_id, len(terms)::BIGINT AS n_terms, sha256(array_to_string(terms, ' ')) AS terms_sha256 FROM b""",
-    "token_estimate": """SELECT doc_id, greatest(1, round(length(coalesce(text, '')) / 3.5))::BIGINT AS n_tokens,
-length(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \\t]+', ' ', 'g'), '(?m) +$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))::BIGINT AS tidy_chars FROM documents""",
+    "token_estimate": f"""WITH {_LINES}, q AS (SELECT doc_id, ln, rtrim(regexp_replace(line, '[ \\t]+', ' ', 'g'), ' ' || chr(9) || chr(11) || chr(12) || chr(13) || chr(160)) AS t FROM numbered),
+k AS (SELECT doc_id, t, t <> '' OR coalesce(lag(t) OVER (PARTITION BY doc_id ORDER BY ln), 'first') <> '' AS kept FROM q),
+n AS (SELECT doc_id, (sum(length(t)) + count(*) - 1)::BIGINT AS tidy_chars FROM k WHERE kept GROUP BY doc_id)
+SELECT doc_id, greatest(1, round(length(coalesce(text, '')) / 3.5))::BIGINT AS n_tokens, tidy_chars FROM documents JOIN n USING (doc_id)""",
     "token_percentiles": """WITH t AS (SELECT lang, greatest(1, round(length(coalesce(text, '')) / 3.5))::BIGINT AS n FROM documents)
 SELECT lang, count(*) AS docs, min(n) AS least, round(quantile_cont(n, 0.25), 4) AS p25, round(quantile_cont(n, 0.5), 4) AS median, round(quantile_cont(n, 0.75), 4) AS p75, max(n) AS most FROM t GROUP BY lang""",
     "word_count": "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'))::BIGINT AS n_words FROM documents",

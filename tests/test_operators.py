@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from groundspark.functions import answers
 from groundspark.functions import json as js
 from groundspark.functions import text as tx
-from groundspark.operators import chunking, intervals, ranking, structure, verification
+from groundspark.operators import chunking, gold, intervals, ranking, structure, verification
 from groundspark.operators.lexical import bm25_topk
 from groundspark.sources import corpus
 
@@ -127,7 +128,7 @@ def test_json_answers(spark):
 def test_citations_and_answer_machine(spark):
     claims = "array(named_struct('text', 'a', 'citations', array(1)), named_struct('text', 'b', 'citations', array(9)))"
     got = spark.range(1).select(verification.citation_problems(F.expr(claims), F.lit(3)).alias("p")).first()["p"]
-    assert got == ["claim 2 cites unknown 9"]
+    assert got == ["mệnh đề 2 trích dẫn [9] ngoài danh sách (chỉ có [1]..[3])"]
     attempts = spark.createDataFrame(
         [("a", 1, 1.0, False, True, 0.5), ("a", 2, 1.0, False, True, 1.0), ("b", 1, 0.0, False, True, 1.0), ("c", 1, None, True, False, None)],
         "qid string, attempt int, top_score double, abstained boolean, check_a boolean, ratio double",
@@ -137,6 +138,60 @@ def test_citations_and_answer_machine(spark):
     assert got[0.5, "a"] == (False, 1) and got[1.0, "a"] == (False, 2) and got[0.5, "b"][0] and got[0.5, "c"][0]
 
 
+def test_attempts_after_the_end_count_nowhere(spark):
+    rows = [("a", 1, 1.0, False, True, 0.6), ("a", 2, 1.0, False, True, 0.9), ("b", 1, 1.0, False, False, None), ("b", 2, 1.0, True, True, None), ("c", 1, 1.0, False, True, 0.1), ("c", 2, 1.0, False, False, None)]
+    attempts = spark.createDataFrame(rows, "qid string, attempt int, top_score double, abstained boolean, check_a boolean, ratio double")
+    got = {r["qid"]: r for r in verification.answer_outcomes(attempts, spark.createDataFrame([(0.5, 0.5)], "tau_r double, tau_g double")).collect()}
+    assert (got["a"]["ratio_final"], got["a"]["accepted_at"], got["a"]["retried"]) == (0.6, 1, False)
+    assert got["b"]["stage"] == "model" and got["c"]["stage"] == "check_a" and got["c"]["ratio_final"] == 0.1
+
+
+def test_citation_problems_go_claim_by_claim(spark):
+    claims = F.expr("array(named_struct('text', 'a', 'citations', array(0, 1, 7)), named_struct('text', 'b', 'citations', cast(array() as array<int>)))")
+    got = spark.range(1).select(verification.citation_problems(claims, F.lit(2)).alias("p")).first()["p"]
+    assert [g[:9] for g in got] == ["mệnh đề 1"] * 2 + ["mệnh đề 2"] and "[0]" in got[0] and "[7]" in got[1]
+
+
+def test_labels_and_context(spark):
+    row = spark.range(1).select(
+        answers.citation_label(F.lit("Luật A"), F.lit(9), F.lit("0"), F.lit(True)).alias("lead"), answers.citation_label(F.lit("Luật A"), F.lit(9), F.lit("0"), F.lit(False)).alias("whole"),
+        answers.citation_label(F.lit("Luật A"), F.lit(9), answers.clause_range(F.lit(1), F.lit(3)), F.lit(False)).alias("range"),
+        answers.context(F.array(F.struct(*(F.lit(v).alias(k) for k, v in {"label": "L", "title": "T", "doc_id": "d", "status": "expired", "effective_to": "2020", "text": " x \n"}.items()))), True).alias("context"),
+    ).first()
+    assert (row["lead"], row["whole"], row["range"]) == ("Điều 9 (đoạn mở đầu) Luật A", "Điều 9 Luật A", "Điều 9 Khoản 1-3 Luật A")
+    assert row["context"] == "[1] L — T\n    văn bản: d · hiệu lực: expired, hết hiệu lực 2020\nx"
+
+
+def test_drafts_and_verdicts(spark):
+    raw = '{"claims": [{"text": " a ", "citations": ["2", "x", 9]}, {"text": ""}, 5]}'
+    assert one(spark, raw, answers.draft(F.col("t")))["claims"][0].asDict() == {"text": "a", "citations": [2, 9]}
+    assert len(one(spark, raw, answers.draft(F.col("t")))["claims"]) == 1
+    assert one(spark, '{"abstain": true, "reason": "r", "claims": [{"text": "a"}]}', answers.draft(F.col("t"))).asDict() == {"abstain": True, "reason": "r", "claims": []}
+    assert one(spark, "[1]", answers.draft(F.col("t"))) is None and one(spark, '{"a', answers.draft(F.col("t"))) is None
+    judged = '[{"claim_id": 1, "supported": true}, {"claim_id": "1", "supported": false, "reason": "no"}, {"claim_id": 4, "supported": true}]'
+    assert [v.asDict() for v in one(spark, judged, answers.verdicts(F.col("t"), F.lit(3)))] == [{"claim_id": 1, "supported": False, "reason": "no"}]
+    with pytest.raises(Exception, match="no candidate was scored"):
+        one(spark, '{"scores": []}', js.rerank_scores(F.col("t"), F.lit(3), strict=True))
+
+
+def test_blanks_characters_and_tail(spark):
+    assert one(spark, "\n\n\na \t b\t\n\n\n\nc\n\n", tx.squeeze_blanks(F.col("t"))) == "\na b\n\nc\n"
+    assert one(spark, "\n\n", tx.squeeze_blanks(F.col("t"))) == ""
+    assert one(spark, "\ufeff\u201ca\u2019\u2015\u00a0b\u00ad", tx.clean_characters(F.col("t"))) == "\"a'- b"
+    body = "Căn cứ\nChương I QUY ĐỊNH\nĐiều 1. A\nPhụ lục: x\nsau"
+    rows = structure.scope(structure.lines(spark.createDataFrame([("d", body)], "doc_id string, body string"))).orderBy("ln").collect()
+    assert [r["line"] for r in rows] == ["Chương I QUY ĐỊNH", "Điều 1. A"]
+
+
+def test_article_selection_keeps_headings_of_kept_articles(spark):
+    rows = [("d", 0, "chapter", None), ("d", 1, "section", None), ("d", 2, "article", 1), ("d", 3, "section", 1), ("d", 4, "article", 2), ("d", 5, "chapter", 2), ("d", 6, "article", 3)]
+    lines = spark.createDataFrame(rows, "doc_id string, ln int, kind string, article_no int")
+    kept = gold.selected_lines(lines, spark.createDataFrame([("d", 2)], "doc_id string, article_no int"))
+    assert sorted(r["ln"] for r in kept.collect()) == [0, 3, 4]
+    audit = gold.article_audit(spark.createDataFrame([("d", 2), ("d", 9)], "doc_id string, article_no int"), lines.where("kind = 'article'")).first()
+    assert (audit["missing"], audit["extra"]) == ([9], [1, 3])
+
+
 def test_cache_stream_records_each_digest_once(spark, tmp_path):
     from groundspark.streaming.cache import record_answers
 
