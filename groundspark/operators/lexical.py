@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.operators.ranking import DIGITS, rank_by_score
+from groundspark.sources.tables import materialized
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -15,21 +16,20 @@ def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
     A repeated query term counts as often as it occurs. A negative idf is replaced by EPSILON times the mean idf of
     all terms, negative ones included, so document frequencies are taken over the whole vocabulary, and only postings
-    of query terms are joined.
+    of query terms are joined. Building the plan writes two tables and brings three numbers to the driver.
     """
-    lengths = docs.select("doc_id", F.size("terms").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    postings = docs.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = stats.first()
-    avgdl = avgdl or 1.0
+    counted = docs.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    postings = materialized(counted)  # terms are made once; all statistics read this table
+    df = materialized(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")))
+    n = docs.select("doc_id").count()
+    avgdl = (df.agg(F.sum("total")).first()[0] or 0) / max(n, 1) or 1.0
     idf = df.select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     floor = EPSILON * (idf.agg(F.avg("idf")).first()[0] or 0.0)
     wanted = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
     idf = idf.join(wanted.select("term").distinct(), "term").withColumn("idf", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))
     weighed = wanted.join(idf, "term")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avgdl))
-    return weighed.join(postings, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("times") * F.col("idf") * tf).alias("score"))
+    return postings.join(weighed, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("times") * F.col("idf") * tf).alias("score"))
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
