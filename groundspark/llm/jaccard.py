@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import Words, components, full_text, grams, mixed, prepare, sequence_hashes, slices, text_bytes, written
+from groundspark.llm.common import Words, components, free_names, full_text, grams, mixed, prepare, sequence_hashes, slices, text_bytes, written
 
 SHINGLE, SIMILARITY, FRAGMENTS = 5, 75, 8
 #: Shingles that go last in the global order, at most: those most frequent by counts within a task's documents. They
@@ -222,7 +222,8 @@ def one_of_each_group(docs: DataFrame, similarity: int = SIMILARITY) -> DataFram
     least = groups.where("did = _component").select("did").distinct()
     columns = docs.columns
     stand_in = F.lit(_LATE) - F.shiftrightunsigned(F.xxhash64(full_text()), 24)
-    mine = docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), stand_in))
-    kept = mine.join(least.withColumnRenamed("did", "_did"), "_did")
-    turn = F.row_number().over(Window.partitionBy("_did").orderBy(F.xxhash64("text")))
-    return kept.withColumn("_turn", turn).where("_turn = 1").select(*columns)
+    did, turn = free_names(docs, "_did", "_turn")
+    mine = docs.withColumn(did, F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    kept = mine.join(least.withColumnRenamed("did", did), did)
+    first = F.row_number().over(Window.partitionBy(did).orderBy(F.xxhash64("text")))
+    return kept.withColumn(turn, first).where(F.col(turn) == 1).select(*(F.col(f"`{c}`") for c in columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import full_text, n_words, prepare, row_key, written
+from groundspark.llm.common import free_names, full_text, n_words, prepare, row_key, written
 
 #: Sources in code point order, null last, take these weights in turn.
 WEIGHTS = (3, 1, 2)
@@ -88,18 +88,18 @@ def mix_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     Words of a cut document are joined by one space. Repeated rows count as one document with as many copies.
     """
     columns = docs.columns
+    name, words, size, turn, part = free_names(docs, "_key", "_taken", "_size", "_first", "_part")
     key = lambda: row_key(F.col("doc_id").cast("long"), F.col("source"), F.col("digest"))
-    taken = mixed_words(docs, seed).groupBy(key().alias("_key")).agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
-    mine = docs.withColumn("_key", row_key(F.col("doc_id").cast("long"), F.col("source"), F.md5(full_text())))
-    joined = mine.join(taken.where("_taken > 0"), "_key")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    joined = joined.withColumn("_first", first).where("_first = 1")
-    rest = (F.col("_taken") % F.col("_size")).cast("int")
-    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
+    taken = mixed_words(docs, seed).groupBy(key().alias(name)).agg(F.sum("taken").alias(words), F.max("size").alias(size)).where(F.col(words) > 0)
+    mine = docs.withColumn(name, row_key(F.col("doc_id").cast("long"), F.col("source"), F.md5(full_text())))
+    joined = mine.join(taken, name).withColumn(turn, F.row_number().over(Window.partitionBy(name).orderBy(name))).where(F.col(turn) == 1)
+    rest = (F.col(words) % F.col(size)).cast("int")
+    whole = F.floor(F.col(words) / F.col(size)).cast("int")
     parts = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.expr("cast(array() as array<int>)")))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1)), F.lit(1), F.greatest("_part", F.lit(1))), " ")
-    out = joined.withColumn("_part", F.explode(parts)).withColumn("text", F.when(F.col("_part") < 0, F.col("text")).otherwise(cut))
-    return out.select(*columns)
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1)), F.lit(1), F.greatest(part, F.lit(1))), " ")
+    out = joined.withColumn(part, F.explode(parts)).withColumn("text", F.when(F.col(part) < 0, F.col("text")).otherwise(cut))
+    return out.select(*(F.col(f"`{c}`") for c in columns))
+
 
 
 MIX_SQL = f"""

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from groundspark.llm import bpe, classifier, jaccard, lines, media, mixing, pii, rules, substring, suffix
 from groundspark.llm.common import components
@@ -93,6 +94,17 @@ def test_mix_meets_targets(docs):
     assert sum(len((r["text"] or "").split()) for r in mixed.collect()) == sum(r["taken"] for r in rows)
 
 
+def test_inner_names_as_input_columns(docs):
+    clash = docs
+    for name in ("_key", "_taken", "_size", "_first", "_part", "_did", "_turn", "size", "taken"):
+        clash = clash.withColumn(name, F.lit(name))
+    for kept in (mixing.mix_documents(clash), jaccard.one_of_each_group(clash)):
+        assert kept.columns == clash.columns
+        rows = kept.collect()
+        assert rows and all(r[name] == name for r in rows for name in clash.columns if name.startswith("_"))
+    assert mixing.mix_documents(clash).count() == mixing.mix_documents(docs).count()
+
+
 def test_near_copies_and_lines(docs):
     got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(docs).collect()}
     assert got[2] == 1 and got[None] == 1 and got[3] == 3 and got[4] == 4 and got[7] == 7
