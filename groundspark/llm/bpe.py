@@ -1,8 +1,9 @@
 """Byte-level BPE: ranked merges as a fold of Spark's higher-order functions over the bytes of distinct words.
 
-Documents are written in chunks, as codes of each chunk's distinct words. The corpus's distinct words are folded once
-each, with the ranks as a literal; their ids go back to the chunks that hold the words, and decoding concatenates the
-bytes of ids. Words grow more slowly than texts, so the fold takes a smaller share the larger the input is.
+Documents are written in chunks, as codes of each chunk's distinct words. Words that many chunks hold are folded once for
+all, up to a fixed number of them; a chunk folds the distinct words that are left, by the same fold with the ranks as a
+literal, in the task that puts its documents together. So no text, word or id is shuffled but for the choice of the common
+words, and work grows in proportion to the input. Decoding concatenates the bytes of ids.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,12 @@ from groundspark.llm.common import full_text, prepare, written
 CHUNK = 16 << 20
 #: Longer pieces (in bytes) are merged by a heap, as the fold takes time with the square of a piece's length.
 LONG = 128
+#: Distinct words in a row of a chunk's words.
+HELD = 1024
+#: Words that are folded once for all chunks, and their bytes at most: the bound of what is broadcast.
+COMMON, SHORT = 1 << 19, 32
+#: Bytes of a row group: so many that a file of chunks has one, as a task has to read all rows of a chunk.
+WHOLE = 1 << 30
 #: Fixed: white space by Unicode, which Java's \s leaves out.
 _SPACE = "\\t-\\r\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 _NONE, _RANK_AT, _POSITION_AT = 1 << 17, 37, 17
@@ -137,7 +145,8 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace("[^\\s", f"[^{_SPACE}").replace("\\S", f"[^{_SPACE}]").replace("\\s", f"[{_SPACE}]")
 
 
-_CHUNK = "chunk long, doc_id long, at binary, k int, word binary"
+_CHUNK = "chunk long, doc_id long, at binary, k int, words array<binary>, often boolean"
+_PART = "chunk long, doc_id long, at binary, k int, places binary, state array<long>, known array<int>"
 _ENCODED = "doc_id long, ids array<int>, decoded binary"
 
 
@@ -181,25 +190,24 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunked(pattern: str):
-    """Documents' words by chunk: a row for each document (at: its words' places in the chunk's order of frequency), and one for each distinct word."""
-
-    def rows(chunk: int, n: int, **columns) -> pa.RecordBatch:
-        kinds = {"doc_id": pa.int64(), "at": pa.binary(), "k": pa.int32(), "word": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), *(columns.get(c, pa.nulls(n, t)) for c, t in kinds.items())], ["chunk", *kinds])
+    """Documents' words by chunk: rows with a chunk's distinct words in the order of frequency, then a row for each document (at: its words' places in that order)."""
 
     def coded(chunk: int, docs: list, counts: list, pieces: list) -> Iterator[pa.RecordBatch]:
         found = pa.concat_arrays(pieces).dictionary_encode()
         index = found.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(-np.bincount(index, minlength=len(found.dictionary)), kind="stable")
+        times = np.bincount(index, minlength=len(found.dictionary))
+        order = np.argsort(-times, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         cuts = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
         ids, at, words = pa.concat_arrays(docs), packed(place[index], cuts), found.dictionary.cast(pa.binary()).take(pa.array(order))
+        twice = int((times > 1).sum())
+        starts = np.array([*range(0, twice, HELD), *range(twice, len(words), HELD)], np.int32)
+        if len(starts):
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, np.int32(len(words)))), words)
+            yield _rows(_CHUNK, chunk, len(starts), k=pa.array(starts), words=lists, often=pa.array(starts < twice))
         for lo in range(0, len(ids), 256):
-            yield rows(chunk, len(ids[lo : lo + 256]), doc_id=ids[lo : lo + 256], at=at[lo : lo + 256])
-        for lo in range(0, len(words), 8192):
-            own = words[lo : lo + 8192]
-            yield rows(chunk, len(own), k=pa.array(np.arange(lo, lo + len(own), dtype=np.int32)), word=own)
+            yield _rows(_CHUNK, chunk, len(ids[lo : lo + 256]), doc_id=ids[lo : lo + 256], at=at[lo : lo + 256])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, counts, pieces, size, chunk = [], [], [], 0, TaskContext.get().partitionId() << 32
@@ -225,49 +233,133 @@ def _chunked(pattern: str):
     return run
 
 
-_WORDS = "state array<long>, known array<int>, chunks array<long>, ks array<int>"
+_TYPES = {
+    "doc_id": pa.int64(), "at": pa.binary(), "k": pa.int32(), "words": pa.list_(pa.binary()), "often": pa.bool_(), "places": pa.binary(),
+    "state": pa.list_(pa.int64()), "known": pa.list_(pa.int32()),
+}
+
+
+def _rows(schema: str, chunk: int, n: int, **columns) -> pa.RecordBatch:
+    """n rows of a chunk; columns that aren't given are null."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), *(columns.get(c, pa.nulls(n, _TYPES[c])) for c in names[1:])], names)
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Each stretch of a batch's rows that belongs to one chunk."""
+    for batch in batches:
+        chunk = batch.column("chunk").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo < hi:
+                yield int(chunk[lo]), batch.slice(lo, hi - lo)
 
 
-def _states(vocabulary: Vocabulary, long_pieces):
-    """Each distinct word of a batch, which comes sorted, as the fold's first state (its ids where it is long), and where it is held."""
+def _starting(vocabulary: Vocabulary, shared):
+    """Turns words into the fold's first states, or into their ids where they are long."""
     lut, pairs = np.array(vocabulary.bytes, np.int64), vocabulary.byte_pairs()
 
+    def states(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        data, offsets = _binary(words)
+        size = np.diff(offsets)
+        short = size <= LONG
+        ends = np.concatenate(([0], np.cumsum(np.where(short, size, 0))))
+        state = _lists(first_states(data[np.repeat(short, size)], np.unique(ends), lut, pairs), ends)
+        known = [None if ok else shared.value.merged(lut[data[a:b]].tolist()) for ok, a, b in zip(short.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return state, pa.array(known, pa.list_(pa.int32()))
+
+    return states
+
+
+def common_words(chunks: DataFrame, states, begins: Column, entries: Column) -> tuple[pa.Array, pa.Array]:
+    """At most COMMON words, those that most chunks hold more than once, and their ids, folded once for all chunks.
+
+    Which words these are changes no result: a chunk folds the others itself.
+    """
+    often = chunks.where("often").select(F.explode("words").alias("word")).where(f"length(word) <= {SHORT}")
+    counted = written(often.groupBy("word").agg(F.floor(4 * F.log2(F.count("*"))).alias("level")), "zstd")
+    room, least = COMMON, None
+    for row in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # some dozen levels
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["level"]
+    if least is None:
+        return pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word = batch.column("word").dictionary_encode()
-            index = word.indices.to_numpy(zero_copy_only=False)
-            data, offsets = _binary(word.dictionary)
-            size = np.diff(offsets)
-            short = size <= LONG
-            ends = np.concatenate(([0], np.cumsum(np.where(short, size, 0))))
-            state = _lists(first_states(data[np.repeat(short, size)], np.unique(ends), lut, pairs), ends)
-            known = [None if ok else long_pieces(lut[data[a:b]].tolist()) for ok, a, b in zip(short.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            order, cuts = pa.array(np.argsort(index, kind="stable")), pa.array(np.concatenate(([0], np.cumsum(np.bincount(index, minlength=len(size))))), pa.int32())
-            held = [pa.ListArray.from_arrays(cuts, batch.column(c).take(order)) for c in ("chunk", "k")]
-            yield pa.RecordBatch.from_arrays([state, pa.array(known, pa.list_(pa.int32())), *held], ["state", "known", "chunks", "ks"])
+            word = batch.column("word")
+            yield pa.RecordBatch.from_arrays([word, states(word)[0]], ["word", "state"])
+
+    folded = counted.where(F.col("level") >= least).select("word").mapInArrow(run, "word binary, state array<long>")
+    found = folded.select("word", fold_merges(F.col("state"), begins, entries).alias("ids")).toArrow().combine_chunks()
+    if not len(found):
+        return pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32()))
+    return found["word"].chunk(0).cast(pa.binary()), found["ids"].chunk(0).cast(pa.list_(pa.int32()))
+
+
+def _looked_up(states, common):
+    """A chunk's words as places among the common ones, or as first states; its documents as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_words = common.value[0]
+        for chunk, own in _by_chunk(batches):
+            a_document = pc.is_null(own.column("words"))
+            docs, held = own.filter(a_document), own.filter(pc.invert(a_document))
+            if len(held):
+                lists, first = held.column("words"), held.column("k").to_numpy().astype(np.int64)
+                words, size = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+                k = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(len(words))
+                at = pc.index_in(words, value_set=known_words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                known, rest = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+                yield _rows(_PART, chunk, 1, places=pa.array([np.concatenate((k[known], at[known])).tobytes()], pa.binary()))
+                for lo in range(0, len(rest), 8192):
+                    some = rest[lo : lo + 8192]
+                    state, long = states(words.take(pa.array(some)))
+                    yield _rows(_PART, chunk, len(some), k=pa.array(k[some], pa.int32()), state=state, known=long)
+            if len(docs):
+                yield _rows(_PART, chunk, len(docs), doc_id=docs.column("doc_id"), at=docs.column("at"))
 
     return run
 
 
-def _assembled(tokens: list[bytes]):
+def _assembled(tokens: list[bytes], common):
     """A chunk's documents with the ids of their words, and the bytes that the ids stand for."""
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        docs, words = docs.combine_chunks(), words.sort_by("k").combine_chunks()
-        ids = words["ids"].chunk(0) if len(words) else pa.array([], pa.list_(pa.int32()))
-        table, out = pa.array(tokens, pa.binary()), []
-        for lo in range(0, len(docs), 64):
-            own = docs.slice(lo, 64).combine_chunks()
-            data, offsets = _binary(own["at"].chunk(0))
-            at = unpacked(data)
-            words_before = np.concatenate(([0], np.cumsum(data < 128)))[offsets]
-            taken = ids.take(pa.array(at))
-            flat = taken.flatten()
-            size = np.concatenate(([0], np.cumsum(np.diff(taken.offsets.to_numpy()))))[words_before].astype(np.int32)
-            decoded, cuts = _binary(table.take(flat))
-            column = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(cuts[size].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(decoded))])
-            out.append(pa.table([own["doc_id"], pa.ListArray.from_arrays(pa.array(size, pa.int32()), flat), column], ["doc_id", "ids", "decoded"]))
-        return pa.concat_tables(out)
+    def documents(docs: list, places: list, words: list) -> Iterator[pa.RecordBatch]:
+        table, shared_ids = pa.array(tokens, pa.binary()), common.value[1]
+        own_ids = [w.column("ids").cast(pa.list_(pa.int32())) for w in words]
+        ids = pa.concat_arrays([shared_ids, *own_ids])
+        k = np.concatenate([p[: len(p) // 2] for p in places] + [w.column("k").to_numpy() for w in words] + [np.zeros(0, np.int64)]).astype(np.int64)
+        to = np.concatenate([p[len(p) // 2 :] for p in places] + [np.arange(len(shared_ids), len(ids))]).astype(np.int64)
+        where = np.full(int(k.max()) + 1 if len(k) else 0, -1, np.int64)
+        where[k] = to
+        if (where < 0).any():
+            raise ValueError("rows of one chunk are in different places")
+        for batch in docs:
+            for lo in range(0, len(batch), 64):
+                own = batch.slice(lo, 64)
+                data, offsets = _binary(own.column("at"))
+                words_before = np.concatenate(([0], np.cumsum(data < 128)))[offsets]
+                taken = ids.take(pa.array(where[unpacked(data)]))
+                flat = taken.flatten()
+                size = np.concatenate(([0], np.cumsum(np.diff(taken.offsets.to_numpy()))))[words_before].astype(np.int32)
+                decoded, cuts = _binary(table.take(flat))
+                column = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(cuts[size].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(decoded))])
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.ListArray.from_arrays(pa.array(size, pa.int32()), flat), column], ["doc_id", "ids", "decoded"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, docs, places, words = None, [], [], []
+        for chunk, own in _by_chunk(batches):
+            if chunk != now:
+                yield from documents(docs, places, words)
+                now, docs, places, words = chunk, [], [], []
+            a_document, a_word = pc.is_valid(own.column("at")), pc.is_valid(own.column("k"))
+            docs.append(own.filter(a_document))
+            words.append(own.filter(a_word))
+            places += [np.frombuffer(p, np.int64) for p in own.column("places").drop_null().to_pylist()]
+        yield from documents(docs, places, words)
 
     return run
 
@@ -278,10 +370,11 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     A null text counts as empty (no ids); a null doc_id is kept; repeated rows get equal results; pieces of any length
     are encoded; other columns are ignored; an empty table gives none.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     vocabulary = Vocabulary(read_ranks(ranks_path))
     begins, entries = vocabulary.table()
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the vocabulary
+    shared = spark.sparkContext.broadcast(vocabulary)  # bounded by the vocabulary
     text = full_text()
     odd = F.col("text").rlike("\\p{Cn}")  # a letter of newer Unicode than Java knows
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
@@ -289,14 +382,12 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         F.when(~odd, F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0))).alias("pieces"),
         F.when(odd, F.col("text")).alias("rest"),
     )
-    chunks = written(pieces.mapInArrow(_chunked(pattern), _CHUNK), "zstd")
-    held = chunks.where("word is not null").select("word", "chunk", "k").repartition("word").sortWithinPartitions("word")
-    words = held.mapInArrow(_states(vocabulary, lambda ids: shared.value.merged(ids)), _WORDS)
-    folded = words.select(F.coalesce("known", fold_merges(F.col("state"), begins, entries)).alias("ids"), F.arrays_zip("chunks", "ks").alias("held"))
-    back = folded.select("ids", F.explode("held").alias("h")).select(F.col("h.chunks").alias("part"), F.col("h.ks").alias("k"), "ids")
-    texts = chunks.where("word is null").select("chunk", "doc_id", "at")
-    tokens = vocabulary.tokens
-    return texts.groupBy("chunk").cogroup(back.groupBy("part")).applyInArrow(_assembled(tokens), _ENCODED)
+    chunks = written(pieces.mapInArrow(_chunked(pattern), _CHUNK), "zstd", **{"parquet.block.size": WHOLE})
+    states = _starting(vocabulary, shared)
+    common = spark.sparkContext.broadcast(common_words(chunks, states, begins, entries))  # at most COMMON words of SHORT bytes
+    parts = chunks.select("chunk", "doc_id", "at", "k", "words").mapInArrow(_looked_up(states, common), _PART)
+    ids = F.when(F.col("k").isNotNull(), F.coalesce("known", fold_merges(F.col("state"), begins, entries))).alias("ids")
+    return parts.select("chunk", "doc_id", "at", "k", "places", ids).mapInArrow(_assembled(vocabulary.tokens, common), _ENCODED)
 
 
 def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -29,12 +29,12 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "groundspark-checkpoints"))
 
 
-def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy", **options) -> DataFrame:
     """The rows as a table in the shared checkpoint folder: cuts lineage, survives lost executors, has a known size."""
     spark = df.sparkSession
     prepare(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
