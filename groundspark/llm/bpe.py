@@ -29,7 +29,7 @@ LONG = 128
 #: Distinct words in a row of a chunk's words.
 HELD = 1024
 #: Words that are folded once for all chunks, and their bytes at most: the bound of what is broadcast.
-COMMON, SHORT = 1 << 19, 32
+COMMON, SHORT = 1 << 20, 32
 #: Bytes of a row group: so many that a file of chunks has one, as a task has to read all rows of a chunk.
 WHOLE = 1 << 30
 #: Fixed: white space by Unicode, which Java's \s leaves out.
@@ -145,7 +145,7 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace("[^\\s", f"[^{_SPACE}").replace("\\S", f"[^{_SPACE}]").replace("\\s", f"[{_SPACE}]")
 
 
-_CHUNK = "chunk long, doc_id long, at binary, k int, words array<binary>, often boolean"
+_CHUNK = "chunk long, doc_id long, at binary, k int, words array<binary>"
 _PART = "chunk long, doc_id long, at binary, k int, places binary, state array<long>, known array<int>"
 _ENCODED = "doc_id long, ids array<int>, decoded binary"
 
@@ -195,17 +195,15 @@ def _chunked(pattern: str):
     def coded(chunk: int, docs: list, counts: list, pieces: list) -> Iterator[pa.RecordBatch]:
         found = pa.concat_arrays(pieces).dictionary_encode()
         index = found.indices.to_numpy(zero_copy_only=False)
-        times = np.bincount(index, minlength=len(found.dictionary))
-        order = np.argsort(-times, kind="stable")
+        order = np.argsort(-np.bincount(index, minlength=len(found.dictionary)), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         cuts = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
         ids, at, words = pa.concat_arrays(docs), packed(place[index], cuts), found.dictionary.cast(pa.binary()).take(pa.array(order))
-        twice = int((times > 1).sum())
-        starts = np.array([*range(0, twice, HELD), *range(twice, len(words), HELD)], np.int32)
+        starts = np.arange(0, len(words), HELD, dtype=np.int32)
         if len(starts):
             lists = pa.ListArray.from_arrays(pa.array(np.append(starts, np.int32(len(words)))), words)
-            yield _rows(_CHUNK, chunk, len(starts), k=pa.array(starts), words=lists, often=pa.array(starts < twice))
+            yield _rows(_CHUNK, chunk, len(starts), k=pa.array(starts), words=lists)
         for lo in range(0, len(ids), 256):
             yield _rows(_CHUNK, chunk, len(ids[lo : lo + 256]), doc_id=ids[lo : lo + 256], at=at[lo : lo + 256])
 
@@ -234,7 +232,7 @@ def _chunked(pattern: str):
 
 
 _TYPES = {
-    "doc_id": pa.int64(), "at": pa.binary(), "k": pa.int32(), "words": pa.list_(pa.binary()), "often": pa.bool_(), "places": pa.binary(),
+    "doc_id": pa.int64(), "at": pa.binary(), "k": pa.int32(), "words": pa.list_(pa.binary()), "places": pa.binary(),
     "state": pa.list_(pa.int64()), "known": pa.list_(pa.int32()),
 }
 
@@ -272,12 +270,12 @@ def _starting(vocabulary: Vocabulary, shared):
 
 
 def common_words(chunks: DataFrame, states, begins: Column, entries: Column) -> tuple[pa.Array, pa.Array]:
-    """At most COMMON words, those that most chunks hold more than once, and their ids, folded once for all chunks.
+    """At most COMMON words, those that most chunks hold (two at least), and their ids, folded once for all chunks.
 
     Which words these are changes no result: a chunk folds the others itself.
     """
-    often = chunks.where("often").select(F.explode("words").alias("word")).where(f"length(word) <= {SHORT}")
-    counted = written(often.groupBy("word").agg(F.floor(4 * F.log2(F.count("*"))).alias("level")), "zstd")
+    held = chunks.select(F.explode("words").alias("word")).where(f"length(word) <= {SHORT}").groupBy("word").agg(F.count("*").alias("n"))
+    counted = written(held.where("n > 1").select("word", F.floor(4 * F.log2("n")).alias("level")), "zstd")
     room, least = COMMON, None
     for row in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # some dozen levels
         room -= row["count"]
