@@ -4,7 +4,8 @@ Entities (mail addresses, IP addresses, cards, telephone numbers) are found in w
 tells how strongly each word next to an entity reveals it: with PMI(entity; term) = log(N * both / (entity * term)),
 counted over documents, and IC(entity) = log(N / entity), the disclosure of a term is PMI / IC, which reaches 1 when
 the term occurs nowhere without the entity. Terms over REMOVE are removed next to the entity, terms over GENERALISE
-are generalised.
+are generalised. As most values are in one document only, an entity is protected as a value and as one of its class: a
+word that hardly occurs but next to mail addresses reveals that there is one.
 """
 
 from __future__ import annotations
@@ -85,7 +86,10 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 
 def context_terms(text: str, spans: list[list[tuple[int, int]]], width: int = CONTEXT) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the words within `width` words of each entity, other entities left out."""
+    """(entity, term, start, end) for the words within `width` words of each entity, other entities left out.
+
+    Each word is given for the entity's value (kind:value) and for its class (kind).
+    """
     flat = sorted((s, e) for kind in spans for s, e in kind)
     out = []
     for kind, of_kind in zip(KINDS, spans, strict=True):
@@ -97,7 +101,7 @@ def context_terms(text: str, spans: list[list[tuple[int, int]]], width: int = CO
             after = [m for m in TERM.finditer(text, e, hi) if m.end() < hi or hi == len(text)]
             for m in before[-width:] + after[:width]:
                 if not any(a < m.end() and m.start() < b for a, b in _near(flat, m.start(), m.end())):
-                    out.append((entity, m[0].lower(), m.start(), m.end()))
+                    out += [(of, m[0].lower(), m.start(), m.end()) for of in (entity, kind)]
     return out
 
 
@@ -126,7 +130,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.sha256(base.encode()).hexdigest())
             found = context_terms(text, spans) if base else []
             terms.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in found])
-            entities.append(sorted({f"{k}:{text[s:e].lower()}" for k, of in zip(KINDS, spans, strict=True) for s, e in of}))
+            entities.append(sorted({x for k, of in zip(KINDS, spans, strict=True) for s, e in of for x in (f"{k}:{text[s:e].lower()}", k)}))
         yield pa.RecordBatch.from_arrays(
             [batch.column("rid"), batch.column("doc_id"), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(4)),
              pa.array(bases, pa.string()), pa.array(digests, pa.string()), pa.array(entities, pa.list_(pa.string())), pa.array(terms, kind)],
@@ -162,7 +166,10 @@ def disclosures(found: DataFrame, docs: DataFrame, n_docs: int, support: int = S
     term = docs.select("text").mapInArrow(_document_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     pmi = F.log(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     ic = F.log(F.lit(float(n_docs)) / F.col("n_entity"))
-    return both.join(entity, "entity").join(term, "term").select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure"))
+    value = F.col("entity").contains(":")
+    of_values = both.where(value).join(entity.where(value), "entity")
+    of_classes = both.where(~value).join(F.broadcast(entity.where(~value)), "entity")  # as many rows as KINDS
+    return of_values.unionByName(of_classes).join(term, "term").select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure"))
 
 
 def personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:

@@ -50,6 +50,27 @@ def test_personal_data(docs):
     assert list(pii.emails("@b.c@d.e")) == [(1, 8)] and list(pii.addresses("1.2.3.4.5.6.7.8")) == [(0, 7), (8, 15)]
 
 
+def test_disclosures_against_brute_force(spark):
+    """A word that stands only by mail addresses goes, one that is mostly there is generalised, one that is everywhere stays."""
+    texts = [f"ordinary words about things write postbox user{k}@site{k}.org now" for k in range(8)]
+    texts += [f"ordinary words about nothing at all number {'abcdefgh'[k % 8]}" for k in range(40)] + ["write now"]
+    rows = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    words = [set(pii.TERM.findall(t)) for t in texts]
+    have = [k for k, t in enumerate(texts) if "@" in t]
+
+    def disclosure(term):
+        n, both, entity, count = len(texts), sum(term in words[k] for k in have), len(have), sum(term in w for w in words)
+        return np.log(n * both / (entity * count)) / np.log(n / entity)
+
+    near = {t: disclosure(t) for t in ("ordinary", "words", "about", "things", "write", "postbox", "now")}
+    for k in have:
+        got = {(s.split(":")[0], texts[k][int(s.split(":")[1]) : int(s.split(":")[2])]) for s in rows[k]["spans"].split(",")}
+        want = {("removed" if d >= pii.REMOVE else "generalised", t) for t, d in near.items() if d >= pii.GENERALISE}
+        assert got == want | {("email", f"user{k}@site{k}.org")}
+        assert rows[k]["n_removed"] == 2 and rows[k]["n_generalised"] == 2
+    assert all(rows[k]["spans"] == "" for k in range(8, len(texts)))
+
+
 def test_words_and_bytes_against_brute_force(docs):
     seen, want = set(), {}
     for i, t, _ in sorted((x for x in TEXTS if x[0]), key=lambda x: x[0]):
