@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groundspark.functions.answers import chunk_id, clause_range
+
 LEAST, MOST, OVERLAP = 120, 600, 0.15
 _SENTENCE = re.compile("[.!?]+[\"'”’)\\]]*\\s+")
 #: Fixed: abbreviations after which a full stop ends no sentence, in lower case.
@@ -92,19 +94,30 @@ def split_oversize(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [] if t is None else [{"s": s, "e": e} for s, e in overlapping_parts(t)])
 
 
-def chunks(clauses: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(doc_id, article_no, clause_range, part, s, e, text, n_tokens, is_lead_in) from clauses and bodies (doc_id, body)."""
-    per = clauses.groupBy("doc_id", "article_seq", "article_no").agg(F.array_sort(F.collect_list(F.struct("s", F.col("clause_no").alias("n"), "e"))).alias("c"))
-    groups = per.select("doc_id", "article_no", F.explode(packed(F.col("c"))).alias("g")).join(bodies, "doc_id")
+def chunks(clauses: DataFrame, bodies: DataFrame, articles: DataFrame) -> DataFrame:
+    """Chunks of articles, from their clauses and bodies (doc_id, body).
+
+    Columns: chunk_id, doc_id, article_no, title, chapter, section, clause_range, part, s, e, text, n_tokens, is_lead_in.
+    The first chunk of an article starts with the headings before it; an article without clauses is one chunk of those.
+    """
+    per = clauses.groupBy("doc_id", "article_seq").agg(F.array_sort(F.collect_list(F.struct("s", F.col("clause_no").alias("n"), "e"))).alias("c"))
+    headers = F.array(F.struct(
+        F.col("header_s").cast("int").alias("s"), F.col("header_e").cast("int").alias("e"), F.lit(0).alias("first"), F.lit(0).alias("last"),
+        F.lit(False).alias("split"), F.lit(False).alias("lead"),
+    ))
+    of = articles.select("doc_id", "article_seq", "article_no", "title", "chapter", "section", "header_s", "header_e").join(per, ["doc_id", "article_seq"], "left")
+    of = of.withColumn("divided", F.coalesce(F.exists("c", lambda c: c["n"] > 0), F.lit(False)))
+    groups = of.select("*", F.posexplode(F.when(F.col("c").isNull(), headers).otherwise(packed(F.col("c")))).alias("group", "g")).drop("c").join(bodies, "doc_id")
     text = F.substring(F.col("body"), F.col("g.s") + 1, F.col("g.e") - F.col("g.s"))
     whole = F.array(F.struct(F.lit(0).alias("s"), (F.col("g.e") - F.col("g.s")).alias("e")))
-    parts = groups.withColumn("text", text).withColumn("parts", F.when(F.col("g.split"), split_oversize(F.when(F.col("g.split"), F.col("text")))).otherwise(whole))
-    each = parts.select("doc_id", "article_no", "g", "text", F.posexplode("parts").alias("part", "p"))
-    label = F.when(F.col("g.first") == F.col("g.last"), F.col("g.first").cast("string")).otherwise(F.concat_ws("-", "g.first", "g.last"))
-    cut = F.substring(F.col("text"), F.col("p.s") + 1, F.col("p.e") - F.col("p.s"))
+    parts = groups.withColumn("parts", F.when(F.col("g.split"), split_oversize(F.when(F.col("g.split"), text))).otherwise(whole))
+    each = parts.select("*", F.posexplode("parts").alias("part", "p"))
+    each = each.withColumn("s", F.when((F.col("group") == 0) & (F.col("part") == 0), F.col("header_s").cast("int")).otherwise(F.col("g.s") + F.col("p.s")))
+    each = each.withColumn("e", F.col("g.s") + F.col("p.e")).withColumn("clause_range", clause_range(F.col("g.first"), F.col("g.last")))
     return each.select(
-        "doc_id", "article_no", label.alias("clause_range"), "part", (F.col("g.s") + F.col("p.s")).alias("s"), (F.col("g.s") + F.col("p.e")).alias("e"),
-        cut.alias("text"), tokens_between(F.col("p.s"), F.col("p.e")).alias("n_tokens"), F.col("g.lead").alias("is_lead_in"),
+        chunk_id(F.col("doc_id"), F.col("article_no"), F.col("clause_range"), F.col("part")).alias("chunk_id"), "doc_id", "article_no", "title", "chapter", "section",
+        "clause_range", "part", "s", "e", F.substring(F.col("body"), F.col("s") + 1, F.col("e") - F.col("s")).alias("text"),
+        tokens_between(F.col("s"), F.col("e")).alias("n_tokens"), ((F.col("g.first") == 0) & F.col("divided")).alias("is_lead_in"),
     )
 
 

@@ -40,18 +40,31 @@ def with_headings(numbered: DataFrame, heading: Column, name: str, reset: str |
 
 
 def articles(numbered: DataFrame) -> DataFrame:
-    """(doc_id, article_seq, article_no, title, chapter, section, s, e) from lines; an article ends at the next boundary."""
-    typed = numbered.withColumn("kind", kind(F.col("line")))
-    text = strip(F.col("line"))
-    typed = with_headings(typed, F.when(F.col("kind") == "chapter", text), "chapter")
-    typed = with_headings(typed, F.when(F.col("kind") == "section", text), "section", "chapter")
-    order = Window.partitionBy("doc_id").orderBy("ln")
+    """(doc_id, article_seq, article_no, title, chapter, section, s, e, header_s, header_e) from lines.
+
+    An article ends at the next boundary. A chapter or section is labelled with the line after it unless that one is
+    structural too. header_s is where the headings start that come just before the article (its chapter's, else its
+    section's, else its own line), header_e the end of its own line.
+    """
+    text, order = strip(F.col("line")), Window.partitionBy("doc_id").orderBy("ln")
+    typed = numbered.withColumn("kind", kind(F.col("line"))).where(text != "")
+    titled = F.when(F.lead("kind").over(order) == "text", F.concat(text, F.lit(". "), F.lead(text).over(order))).otherwise(text)
+    typed = typed.withColumn("_label", titled).withColumn("_chapter_s", F.when(F.col("kind") == "chapter", F.col("s")))
+    typed = with_headings(typed, F.when(F.col("kind") == "chapter", F.col("_label")), "chapter")
+    typed = with_headings(typed, F.col("_chapter_s"), "_chapter_at")  # chapters of one label stay apart
+    typed = with_headings(typed, F.when(F.col("kind") == "section", F.col("_label")), "section", "_chapter_at")
     edges = typed.where(F.col("kind").isin("chapter", "section", "article")).withColumn("next", F.lead("s").over(order))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("_article", F.count(F.when(F.col("kind") == "article", 1)).over(before))
+    since = Window.partitionBy("doc_id", "_article").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
+    above = [F.last(F.when(F.col("kind") == of, F.col("s")), ignorenulls=True).over(since) for of in ("chapter", "section")]
+    edges = edges.withColumn("header_s", F.coalesce(*above, F.col("s")))
     end = typed.groupBy("doc_id").agg(F.max("e").alias("last"))
     found = edges.where("kind = 'article'").join(end, "doc_id")
     return found.select(
         "doc_id", F.row_number().over(order).alias("article_seq"), F.regexp_extract(text, ARTICLE, 1).cast("int").alias("article_no"),
-        F.regexp_extract(text, ARTICLE, 2).alias("title"), "chapter", "section", "s", F.coalesce("next", "last").alias("e"),
+        strip(F.regexp_extract(text, ARTICLE, 2)).alias("title"), "chapter", "section", "s", F.coalesce("next", "last").alias("e"),
+        "header_s", (F.col("s") + F.length("line")).alias("header_e"),
     )
 
 
@@ -67,18 +80,22 @@ def accepted_clauses(candidates: Column) -> Column:
 
 
 def clauses(numbered: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, article_no, clause_no, s, e) of articles; clause 0 is what comes before clause 1, or an undivided article."""
+    """(doc_id, article_no, clause_no, s, e) of articles; clause 0 is what comes before clause 1, or an undivided article.
+
+    A clause ends after its last character that isn't blank.
+    """
     inside = numbered.join(found.select("doc_id", "article_seq", "article_no", F.col("s").alias("_s"), F.col("e").alias("_e")), "doc_id")
     inside = inside.where((F.col("s") > F.col("_s")) & (F.col("s") < F.col("_e")) & (strip(F.col("line")) != ""))
     number = F.regexp_extract(strip(F.col("line")), CLAUSE, 1).try_cast("int")
-    marks = F.filter(F.array_sort(F.collect_list(F.struct("s", number.alias("n")))), lambda c: c["n"].isNotNull())
+    inside = inside.withColumn("before", F.lag("e").over(Window.partitionBy("doc_id", "article_seq").orderBy("ln")))
+    marks = F.filter(F.array_sort(F.collect_list(F.struct("s", number.alias("n"), "before"))), lambda c: c["n"].isNotNull())
     each = inside.groupBy("doc_id", "article_seq", "article_no").agg(F.min("s").alias("first"), F.max("e").alias("last"), marks.alias("marks"))
     got = accepted_clauses(F.col("marks"))
-    lead = F.when((F.size("got") == 0) | (F.get("got", F.lit(0))["s"] > F.col("first")), F.array(F.struct(F.col("first").alias("s"), F.lit(0).alias("n"))))
+    lead = F.when((F.size("got") == 0) | (F.get("got", F.lit(0))["s"] > F.col("first")), F.array(F.struct(F.col("first").alias("s"), F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("before"))))
     each = each.withColumn("got", got).withColumn("all", F.concat(F.coalesce(lead, F.slice("got", F.lit(1), F.lit(0))), "got"))
     each = each.select("doc_id", "article_seq", "article_no", "last", F.posexplode("all").alias("i", "c"))
     order = Window.partitionBy("doc_id", "article_seq").orderBy("i")
-    return each.select("doc_id", "article_seq", "article_no", F.col("c.n").alias("clause_no"), F.col("c.s").alias("s"), F.coalesce(F.lead("c.s").over(order), "last").alias("e"))
+    return each.select("doc_id", "article_seq", "article_no", F.col("c.n").alias("clause_no"), F.col("c.s").alias("s"), F.coalesce(F.lead("c.before").over(order), "last").alias("e"))
 
 
 def drop_noise(numbered: DataFrame, often: int = 3) -> DataFrame:

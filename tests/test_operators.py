@@ -51,16 +51,34 @@ def test_structure_and_chunks(spark):
         assert BODY[r["s"] : r["e"]] == r["line"].rstrip(" ")
     found = structure.articles(lines)
     rows = found.orderBy("article_seq").collect()
-    assert [(r["article_no"], r["title"], r["chapter"]) for r in rows] == [(1, "Phạm vi", "Chương I"), (2, "Giải thích", "Chương I")]
+    assert [(r["article_no"], r["title"], r["chapter"]) for r in rows] == [(1, "Phạm vi", "Chương I. QUY ĐỊNH CHUNG"), (2, "Giải thích", "Chương I. QUY ĐỊNH CHUNG")]
     clauses = structure.clauses(lines, found)
-    got = [(r["article_no"], r["clause_no"], BODY[r["s"] : r["e"]].strip()) for r in clauses.orderBy("article_seq", "s").collect()]
+    got = [(r["article_no"], r["clause_no"], BODY[r["s"] : r["e"]]) for r in clauses.orderBy("article_seq", "s").collect()]
     assert got[0] == (1, 0, "Văn bản này quy định.") and got[1] == (2, 0, "Lời dẫn.")
     assert [g[1] for g in got] == [0, 0, 1, 2, 3] and "4. Không" in got[3][2]
-    chunked = chunking.chunks(clauses, bodies)
+    chunked = chunking.chunks(clauses, bodies, found)
     for r in chunked.collect():
         assert BODY[r["s"] : r["e"]] == r["text"]
 
 
+def test_headers_go_to_the_first_chunk_of_an_article(spark):
+    body = "Chương I\n\nCHUNG\nĐiều 1. Một\nLời dẫn\n1. Là\n\nMục 1\nĐiều 2. Hai\nChương II\nMục 1\nRIÊNG\nĐiều 3. Ba\nBa là\nĐiều 4. Bốn"
+    bodies = spark.createDataFrame([("d", body)], "doc_id string, body string")
+    lines = structure.lines(bodies)
+    found = structure.articles(lines)
+    rows = chunking.chunks(structure.clauses(lines, found), bodies, found).orderBy("s").collect()
+    got = [(r["chunk_id"], r["chapter"], r["section"], r["text"], r["is_lead_in"]) for r in rows]
+    assert got == [
+        ("d#a1#c0#p0", "Chương I. CHUNG", None, "Chương I\n\nCHUNG\nĐiều 1. Một\nLời dẫn", True),
+        ("d#a1#c1#p0", "Chương I. CHUNG", None, "1. Là", False),
+        ("d#a2#c0#p0", "Chương I. CHUNG", "Mục 1", "Mục 1\nĐiều 2. Hai", False),
+        ("d#a3#c0#p0", "Chương II", "Mục 1. RIÊNG", "Chương II\nMục 1\nRIÊNG\nĐiều 3. Ba\nBa là", False),
+        ("d#a4#c0#p0", "Chương II", "Mục 1. RIÊNG", "Điều 4. Bốn", False),
+    ]
+    bodies_left = chunking.coverage_holes(spark.createDataFrame([(r["doc_id"], r["s"], r["e"]) for r in rows], "doc_id string, s int, e int"), bodies)
+    assert bodies_left.count() == 0
+
+
 def test_packing_never_splits_and_merges():
     text = " ".join(f"Câu số {i} dài thêm một chút nữa." for i in range(200))
     parts = chunking.overlapping_parts(text)
