@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundspark.llm.audit import AUDIT_SQL, filter_audit
 from groundspark.llm.bpe import byte_bpe
 from groundspark.llm.classifier import classified
 from groundspark.llm.common import documents
@@ -16,9 +17,11 @@ from groundspark.llm.lines import deduplicated_lines
 from groundspark.llm.media import media_columns
 from groundspark.llm.mixing import MIX_SQL, mixed_words
 from groundspark.llm.pii import personal_data
+from groundspark.llm.ranked import RANKED_SQL, ranked_documents
 from groundspark.llm.rules import quality_rules
 from groundspark.llm.substring import deduplicated_words
 from groundspark.llm.suffix import deduplicated_bytes
+from groundspark.llm.urls import URL_SQL, url_verdicts
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +66,18 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -74,5 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_media": op9_media,
     "op10_classifier": op10_classifier,
+    "op11_url_filters": op11_url_filters,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_ranked_search": op13_ranked_search,
 }
-SQL: dict[str, str] = {"op2_mixing": MIX_SQL}
+SQL: dict[str, str] = {"op2_mixing": MIX_SQL, "op11_url_filters": URL_SQL, "op12_filter_audit": AUDIT_SQL, "op13_ranked_search": RANKED_SQL}
