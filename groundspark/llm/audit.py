@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from groundspark.llm.common import WORD_SPLIT, full_text, prepare
 
 FILTERS = "ABCDE"
-#: Text bytes that a range, and so a trie, is made for; sampled texts a range (they set boundaries, never a result); text bytes that
-#: a map task gathers before it sends its distinct texts on.
-RANGE_BYTES, SAMPLES, GATHER = 32 << 20, 64, 64 << 20
+#: Text bytes that a range, and so a trie, is made for; sampled texts a range (they set boundaries, never a result); bytes of the
+#: sample that one task sorts; text bytes that a map task gathers before it sends its distinct texts on.
+RANGE_BYTES, SAMPLES, SORTED, GATHER = 32 << 20, 16, 128 << 20, 64 << 20
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -82,9 +82,11 @@ def separators(rows: DataFrame, ranges: int, texts: int) -> list[bytes]:
 
     The sample is by the text's hash, so copies count once; a prefix is as long as the texts beside it make it, also
     where a third of all texts begin alike. Of SAMPLES neighbours the shortest prefix is taken and sent to the driver.
+    The sample is sorted in as few tasks as SORTED allows, as Spark sends some texts for each to the driver.
     """
     rate = max(1, texts // (ranges * SAMPLES))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(rate)) == 0).select(F.col("text").cast("binary").alias("text")).orderBy("text")
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(rate)) == 0).select(F.col("text").cast("binary").alias("text")).distinct()
+    sample = sample.repartitionByRange(max(1, ranges * RANGE_BYTES // (rate * SORTED)), "text").sortWithinPartitions("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, best, seen, out = None, None, 0, []
