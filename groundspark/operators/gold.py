@@ -1,10 +1,12 @@
-"""Gold questions: validation against documents and articles, audits, article selection, first question of each type."""
+"""Gold questions: validation against documents and articles, audits, first question of each type."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundspark.operators.intervals import interval_union
+
 
 def gold_problems(questions: DataFrame, spans: DataFrame, docs: DataFrame) -> DataFrame:
     """(qid, problem) for questions (qid, answerable), spans (qid, doc_id, s, e) and docs (doc_id, body)."""
@@ -51,36 +53,43 @@ def article_audit(wanted: DataFrame, parsed: DataFrame) -> DataFrame:
     return w.join(p, "doc_id", "full").select("doc_id", F.array_sort(F.array_except(w_, p_)).alias("missing"), F.array_sort(F.array_except(p_, w_)).alias("extra"))
 
 
-def selected_lines(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Lines (doc_id, ln, kind, article_no, ...) of the wanted articles, and chapter and section headings that one of them follows.
+def structure_counts(lines: DataFrame) -> DataFrame:
+    """(doc_id, n_chapters, n_sections, n_articles, n_clauses, gaps) of lines (doc_id, ln, kind, article_no).
 
-    article_no is the latest article's number (null before the first). A heading stays when a kept article comes before
-    the next heading of its kind or a higher one; nothing is numbered afresh.
+    gaps are pairs (a, b) of article numbers next to each other where b doesn't follow a, in order.
     """
-    kept = lines.join(wanted.select("doc_id", "article_no").distinct().withColumn("_keep", F.lit(True)), ["doc_id", "article_no"], "left")
-    heads = F.col("kind").isin("chapter", "section")
-    by = Window.partitionBy("doc_id").orderBy("ln")
-    part = F.sum(F.when(F.col("kind") == "chapter", 1).otherwise(0)).over(by)
-    piece = F.sum(F.when(heads, 1).otherwise(0)).over(by)
-    placed = kept.withColumns({"_part": part, "_piece": piece, "_hit": F.coalesce("_keep", F.lit(False)) & ~heads})
-    placed = placed.withColumns({"_a": F.max("_hit").over(Window.partitionBy("doc_id", "_part")), "_b": F.max("_hit").over(Window.partitionBy("doc_id", "_piece"))})
-    stays = F.col("_hit") | ((F.col("kind") == "chapter") & F.col("_a")) | ((F.col("kind") == "section") & F.col("_b"))
-    return placed.where(stays).drop("_keep", "_part", "_piece", "_hit", "_a", "_b")
-
-
-def corpus_audit(lines: DataFrame) -> DataFrame:
-    """(doc_id, n_chapters, n_sections, n_articles, n_clauses, gaps): counts by kind, and article numbers that are left out."""
     n = lambda kind: F.count_if(F.col("kind") == kind)
-    numbers = F.array_sort(F.collect_set(F.when(F.col("kind") == "article", F.col("article_no"))))
+    numbers = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "article", F.struct("ln", "article_no")))), lambda x: x["article_no"])
     found = lines.groupBy("doc_id").agg(n("chapter").alias("n_chapters"), n("section").alias("n_sections"), n("article").alias("n_articles"), n("clause").alias("n_clauses"), numbers.alias("_a"))
-    between = F.sequence(F.array_min("_a"), F.array_max("_a"))
-    return found.withColumn("gaps", F.when(F.size("_a") > 0, F.array_except(between, F.col("_a"))).otherwise(F.slice("_a", 1, 0))).drop("_a")
+    m = F.size("_a")
+    pairs = F.zip_with(F.slice("_a", F.lit(1), m - 1), F.slice("_a", F.lit(2), m - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    odd = F.filter(pairs, lambda p: p["b"] != p["a"] + 1)
+    return found.withColumn("gaps", F.when(m > 1, odd).otherwise(F.slice(F.transform("_a", lambda a: F.struct(a.alias("a"), a.alias("b"))), 1, 0))).drop("_a")
+
 
+def corpus_audit(bodies: DataFrame, articles: DataFrame, chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_articles, n_chunks, median_tokens, coverage, missing, extra), a row for each of bodies (doc_id, body).
 
-def outline(articles: DataFrame) -> DataFrame:
-    """(doc_id, outline): a line for each article (doc_id, article_seq, article_no, title, chapter), in order."""
-    line = F.concat(F.when(F.col("chapter").isNotNull(), F.concat(F.col("chapter"), F.lit(" · "))).otherwise(""), F.lit("Điều "), F.col("article_no").cast("string"), F.lit(". "), F.col("title"))
-    return articles.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("article_seq", line.alias("line")))), lambda x: x["line"]), "\n").alias("outline"))
+    coverage is the share of the body that the chunks (doc_id, s, e, n_tokens) cover together, 0 for an empty body; the
+    median is exact, 0 without chunks. missing and extra compare the articles (doc_id, article_no) with the wanted ones,
+    where a document has any. Bodies are reduced to their lengths before anything is joined.
+    """
+    covered = interval_union(chunks.select("doc_id", "s", "e"), ["doc_id"]).groupBy("doc_id").agg(F.sum(F.col("e") - F.col("s")).alias("_covered"))
+    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.median("n_tokens").alias("median_tokens"))
+    counted = articles.groupBy("doc_id").agg(F.count("*").alias("n_articles"))
+    rows = bodies.select("doc_id", F.length(F.coalesce("body", F.lit(""))).alias("_n"))
+    for part in (counted, sizes, covered):
+        rows = rows.join(part, "doc_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    coverage = F.when(F.col("_n") > 0, F.coalesce("_covered", F.lit(0)) / F.col("_n")).otherwise(0.0)
+    kind = articles.schema["article_no"].dataType.simpleString()
+    none = F.array().cast(f"array<{kind}>")
+    if wanted is None:
+        rows = rows.withColumns({"missing": none, "extra": none})
+    else:
+        listed = wanted.select("doc_id").distinct()
+        rows = rows.join(article_audit(wanted, articles.join(listed, "doc_id", "left_semi")), "doc_id", "left")
+    return rows.select("doc_id", zero("n_articles"), zero("n_chunks"), F.coalesce("median_tokens", F.lit(0.0)).alias("median_tokens"), coverage.alias("coverage"), F.coalesce("missing", none).alias("missing"), F.coalesce("extra", none).alias("extra"))
 
 
 def first_of_each_type(questions: DataFrame, order: str = "qid") -> DataFrame:

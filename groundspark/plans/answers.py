@@ -71,16 +71,17 @@ def q_spans_in_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "s", "e", "article_no")
 
 
-def q_corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines stand in for headings by their number: every eighth a chapter, of the others each whose length is even an article."""
+def q_structure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines stand in for headings by their number: every eighth a chapter, of the others each whose length is even an article, numbered by its length."""
     kind = F.when(F.col("ln") % 8 == 0, "chapter").when(F.length("line") % 2 == 0, "article").when(F.length("line") % 3 == 0, "clause").otherwise("text")
-    found = gold.corpus_audit(_lines(spark, sf_dir).select("doc_id", kind.alias("kind"), F.col("ln").cast("long").alias("article_no")))
-    return found.select("doc_id", "n_chapters", "n_sections", "n_articles", "n_clauses", F.array_join("gaps", ",").alias("gaps"))
+    found = gold.structure_counts(_lines(spark, sf_dir).select("doc_id", "ln", kind.alias("kind"), (F.col("ln") + F.length("line") % 3).cast("long").alias("article_no")))
+    gaps = F.transform("gaps", lambda g: F.concat_ws("->", g["a"].cast("string"), g["b"].cast("string")))
+    return found.select("doc_id", "n_chapters", "n_sections", "n_articles", "n_clauses", F.array_join(gaps, ",").alias("gaps"))
 
 
 QUERIES = {
     "citation_labels": q_citation_labels, "draft_answers": q_draft_answers, "verdict_feedback": q_verdict_feedback, "gold_problems": q_gold_problems,
-    "spans_in_articles": q_spans_in_articles, "corpus_audit": q_corpus_audit,
+    "spans_in_articles": q_spans_in_articles, "structure_counts": q_structure_counts,
 }
 _MEND = answers.MEND.replace("'", "''")
 SQL = {
@@ -107,8 +108,7 @@ SELECT qid, CASE WHEN d.doc_id IS NULL THEN 'unknown document' ELSE 'span outsid
 UNION ALL SELECT qid, CASE WHEN answerable THEN 'answerable without a span' ELSE 'a span though not answerable' END FROM q WHERE answerable = (qid % 5 = 0)""",
     "spans_in_articles": f"""WITH {_LINES}, d AS (SELECT doc_id, max(e) // 3 AS s FROM numbered GROUP BY doc_id)
 SELECT d.doc_id AS qid, d.s, d.s + 40 AS e, (SELECT min(ln) + 1 FROM numbered n WHERE n.doc_id = d.doc_id AND n.s <= d.s AND d.s + 40 <= n.e) AS article_no FROM d""",
-    "corpus_audit": f"""WITH {_LINES}, k AS (SELECT doc_id, ln, CASE WHEN ln % 8 = 0 THEN 'chapter' WHEN length(line) % 2 = 0 THEN 'article' WHEN length(line) % 3 = 0 THEN 'clause' ELSE 'text' END AS kind FROM numbered),
-b AS (SELECT doc_id, min(ln) AS lo, max(ln) AS hi FROM k WHERE kind = 'article' GROUP BY doc_id),
-g AS (SELECT k.doc_id, string_agg(ln::VARCHAR, ',' ORDER BY ln) AS gaps FROM k JOIN b USING (doc_id) WHERE ln BETWEEN lo AND hi AND kind <> 'article' GROUP BY k.doc_id)
+    "structure_counts": f"""WITH {_LINES}, k AS (SELECT doc_id, ln, ln + length(line) % 3 AS no, CASE WHEN ln % 8 = 0 THEN 'chapter' WHEN length(line) % 2 = 0 THEN 'article' WHEN length(line) % 3 = 0 THEN 'clause' ELSE 'text' END AS kind FROM numbered),
+g AS (SELECT doc_id, string_agg(before || '->' || no, ',' ORDER BY ln) AS gaps FROM (SELECT *, lag(no) OVER (PARTITION BY doc_id ORDER BY ln) AS before FROM k WHERE kind = 'article') WHERE no <> before + 1 GROUP BY doc_id)
 SELECT doc_id, count_if(kind = 'chapter')::BIGINT AS n_chapters, 0::BIGINT AS n_sections, count_if(kind = 'article')::BIGINT AS n_articles, count_if(kind = 'clause')::BIGINT AS n_clauses, coalesce(any_value(gaps), '') AS gaps FROM k LEFT JOIN g USING (doc_id) GROUP BY doc_id""",
 }

@@ -201,12 +201,9 @@ def test_blanks_characters_and_tail(spark):
     assert [r["line"] for r in rows] == ["Chương I QUY ĐỊNH", "Điều 1. A"]
 
 
-def test_article_selection_keeps_headings_of_kept_articles(spark):
-    rows = [("d", 0, "chapter", None), ("d", 1, "section", None), ("d", 2, "article", 1), ("d", 3, "section", 1), ("d", 4, "article", 2), ("d", 5, "chapter", 2), ("d", 6, "article", 3)]
-    lines = spark.createDataFrame(rows, "doc_id string, ln int, kind string, article_no int")
-    kept = gold.selected_lines(lines, spark.createDataFrame([("d", 2)], "doc_id string, article_no int"))
-    assert sorted(r["ln"] for r in kept.collect()) == [0, 3, 4]
-    audit = gold.article_audit(spark.createDataFrame([("d", 2), ("d", 9)], "doc_id string, article_no int"), lines.where("kind = 'article'")).first()
+def test_wanted_articles_against_parsed_ones(spark):
+    parsed = spark.createDataFrame([("d", 1), ("d", 2), ("d", 3)], "doc_id string, article_no int")
+    audit = gold.article_audit(spark.createDataFrame([("d", 2), ("d", 9)], "doc_id string, article_no int"), parsed).first()
     assert (audit["missing"], audit["extra"]) == ([9], [1, 3])
 
 
