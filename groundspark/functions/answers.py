@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from groundspark.functions.json import json_body
+from groundspark.functions.json import elements, integer, is_object, json_body, last_of_each, listed, member, text_of, truthy
 from groundspark.functions.text import diacritic_ratio, strip
 
 #: Fixed: what labels, problems and feedback say.
@@ -17,7 +17,8 @@ MEND = (
 )
 #: Fixed: an extraction with fewer characters, or a smaller share of Vietnamese letters, is no usable text.
 LEAST_CHARACTERS, LEAST_DIACRITICS = 500, 0.01
-_FALSE = ("", "false", "0", "0.0", "null", "[]", "{}")
+#: Fixed: what an attempt is told about an answer that can't be read, and the reason of a claim that the judge left out.
+UNREADABLE, BROKEN, ODD, UNJUDGED = "output không đọc được: ", "Bộ sinh trả về JSON hỏng: ", "Bộ sinh trả về cấu trúc lạ: ", "judge không chấm mệnh đề này"
 
 
 def clause_range(first: Column, last: Column) -> Column:
@@ -102,8 +103,15 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def truthy(raw: Column) -> Column:
-    return ~F.lower(F.coalesce(raw, F.lit(""))).isin(*_FALSE)
+def quoted(text: Column) -> Column:
+    """A text as a quoted literal: single quotes unless only those occur in it; backslashes, line ends and tabs escaped."""
+    single, double = F.contains(text, F.lit("'")), F.contains(text, F.lit('"'))
+    body = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for plain, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        body = F.replace(body, F.lit(plain), F.lit(escaped))
+    inner = F.when(single & double, F.replace(body, F.lit("'"), F.lit("\\'"))).otherwise(body)
+    mark = F.when(single & ~double, '"').otherwise("'")
+    return F.concat(mark, inner, mark)
 
 
 def draft(raw: Column) -> Column:
@@ -111,21 +119,35 @@ def draft(raw: Column) -> Column:
 
     Claims without text go; citations that are no integers go, others stay, in range or not, for the check to find.
     """
-    read = F.when(F.try_parse_json(raw).isNotNull() & strip(raw).startswith("{"), F.from_json(raw, "struct<abstain:string,reason:string,claims:array<string>>"))
-    items = F.transform(F.coalesce(read["claims"], _none()), lambda c: F.from_json(c, "struct<text:string,citations:string>"))
-    numbers = lambda c: F.filter(F.transform(F.coalesce(F.from_json(c, "array<string>"), _none()), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
-    made = F.transform(items, lambda c: F.struct(strip(F.coalesce(c["text"], F.lit(""))).alias("text"), numbers(F.coalesce(c["citations"], F.lit("[]"))).alias("citations")))
-    abstain = truthy(read["abstain"])
-    claims = F.when(~abstain, F.filter(made, lambda c: c["text"] != "")).otherwise(F.slice(made, F.lit(1), F.lit(0)))
-    return F.when(read.isNotNull(), F.struct(abstain.alias("abstain"), F.when(abstain, F.coalesce(read["reason"], F.lit(""))).otherwise("").alias("reason"), claims.alias("claims")))
+    value = F.try_parse_json(raw)
+    none = F.expr("cast(array() as array<struct<text:string,citations:array<bigint>>>)")
+    numbers = lambda c: F.filter(F.transform(F.coalesce(elements(member(c, "citations")), F.array().cast("array<variant>")), integer), lambda x: x.isNotNull())
+    made = F.transform(F.filter(elements(member(value, "claims")), is_object), lambda c: F.struct(strip(text_of(member(c, "text"))).alias("text"), numbers(c).alias("citations")))
+    abstain = truthy(member(value, "abstain"))
+    claims = F.when(~abstain, F.filter(F.coalesce(made, none), lambda c: c["text"] != "")).otherwise(none)
+    reason = F.when(abstain, text_of(member(value, "reason"))).otherwise("")
+    return F.when(is_object(value), F.struct(abstain.alias("abstain"), reason.alias("reason"), claims.alias("claims")))
+
+
+def draft_problem(raw: Column) -> Column:
+    """What is wrong with a draft that can't be read, null where it can."""
+    value = F.try_parse_json(raw)
+    said = F.concat(F.lit(UNREADABLE), F.when(value.isNull(), BROKEN).otherwise(ODD), quoted(F.substring(raw, 1, 200)))
+    return F.when(~is_object(value), said)
 
 
 def verdicts(raw: Column, n_claims: Column) -> Column:
-    """array of struct (claim_id, supported, reason), one for each claim of 1 to n_claims that has one; the last one holds."""
-    body = json_body(raw)
-    inside = F.coalesce(F.get_json_object(body, "$.verdicts"), F.when(body.startswith("["), body))
-    items = F.from_json(inside, "array<struct<claim_id:string,supported:string,reason:string>>")
-    read = F.transform(items, lambda v: F.struct(v["claim_id"].try_cast("int").alias("claim_id"), truthy(v["supported"]).alias("supported"), F.coalesce(v["reason"], F.lit("")).alias("reason")))
-    known = F.filter(read, lambda v: v["claim_id"].between(1, n_claims))
-    last = F.filter(known, lambda v, i: ~F.exists(F.slice(known, i + 2, F.size(known)), lambda w: w["claim_id"] == v["claim_id"]))
-    return F.when(F.try_parse_json(body).isNotNull(), last)
+    """array of struct (claim_id, supported, reason), one for each claim of 1 to n_claims that has one, the last one holding.
+
+    Null where the answer is broken or no list.
+    """
+    items = F.filter(listed(json_body(raw), "verdicts"), is_object)
+    read = F.transform(items, lambda v: F.struct(integer(member(v, "claim_id")).cast("int").alias("claim_id"), truthy(member(v, "supported")).alias("supported"), text_of(member(v, "reason")).alias("reason")))
+    return last_of_each(F.filter(read, lambda v: v["claim_id"].between(1, n_claims)), "claim_id")
+
+
+def judged(found: Column, n_claims: Column) -> Column:
+    """A verdict for each claim of 1 to n_claims, in order; those that the judge left out aren't supported."""
+    left_out = lambda k: F.struct(k.alias("claim_id"), F.lit(False).alias("supported"), F.lit(UNJUDGED).alias("reason"))
+    every = F.sequence(F.lit(1), n_claims)
+    return F.when(found.isNotNull() & (n_claims > 0), F.transform(every, lambda k: F.coalesce(F.get(F.filter(found, lambda v: v["claim_id"] == k), F.lit(0)), left_out(k))))

@@ -75,15 +75,19 @@ def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     taus = lambda values, name: spark.createDataFrame([(float(v),) for v in values], f"{name} double")
     grid = taus(verification.TAU_RETRIEVE, "tau_r").join(taus(verification.TAU_GROUND, "tau_g"), how="cross")
     attempts = _attempts(spark, sf_dir)
-    outcomes = verification.answer_outcomes(attempts, grid)
     truth = attempts.where("attempt = 1").select("qid", "should_abstain")
-    joined = outcomes.join(truth, "qid")
-    ratios = joined.groupBy("tau_r", "tau_g").agg(F.round(F.avg("ratio_final"), 6).alias("ratio"), F.count_if("retried").alias("retries"))
-    return verification.best_point(verification.abstention(joined, ["tau_r", "tau_g"]).join(ratios, ["tau_r", "tau_g"]))
+    return verification.answer_outcomes(attempts, grid).join(truth, "qid")
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = _outcomes(spark, sf_dir)
+    point = ["tau_r", "tau_g"]
+    ratios = outcomes.groupBy(*point).agg(F.round(F.avg("ratio_final"), 6).alias("ratio"), F.count_if("retried").alias("retries"))
+    return verification.best_point(verification.abstention(outcomes, point).join(ratios, point))
 
 
 def q_abstain_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +98,16 @@ def q_grid_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir).select("tau_r", "tau_g", "ratio", "retries", "best", "plateau")
 
 
+def q_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verification.faithfulness(_outcomes(spark, sf_dir), ["tau_r", "tau_g"])
+
+
+def q_answer_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each question ends at each point of the grid."""
+    found = _outcomes(spark, sf_dir)
+    return found.select("tau_r", "tau_g", "qid", "stage", "abstains", "n_attempts", F.round("ratio_first", 6).alias("ratio_first"), F.round("ratio_final", 6).alias("ratio_final"), "n_check_a_failed")
+
+
 def q_rollup_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
     return docs.rollup("source", "lang").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("quality"))
@@ -118,18 +132,22 @@ curve AS (SELECT p.doc_id AS qid, ix AS span_ix, k, CASE WHEN p.e > p.s THEN coa
   FROM spans p CROSS JOIN ks LEFT JOIN ranked r ON r.doc_id = p.doc_id AND r.rank <= k GROUP BY p.doc_id, ix, k, p.s, p.e)"""
 _GRID = """WITH a AS (SELECT doc_id AS qid, quality, unnest(range(1, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END)) AS attempt FROM labels),
 att AS (SELECT qid, attempt, (qid % 4) / 3.0::DOUBLE AS top, quality = 0 AND qid % 2 = 0 AS abst, qid % 11 != 0 AS ok, CASE WHEN qid % 13 != 0 THEN least(1.0::DOUBLE, (qid % 8) / 8.0::DOUBLE + attempt * 0.25::DOUBLE) END AS ratio, quality = 0 AS should FROM a),
+p AS (SELECT f.qid, f.top, f.should, f.abst AS abst1, f.ok AS ok1, f.ratio AS r1, s.qid IS NOT NULL AS has2, coalesce(s.abst, false) AS abst2, coalesce(s.ok, false) AS ok2, s.ratio AS r2
+  FROM att f LEFT JOIN att s ON s.qid = f.qid AND s.attempt = 2 WHERE f.attempt = 1),
 grid AS (SELECT r.t AS tau_r, g.t AS tau_g FROM (SELECT unnest([0.0::DOUBLE, 0.34, 0.67, 1.0]) AS t) r, (SELECT unnest([0.0::DOUBLE, 0.25, 0.34, 0.5, 0.67, 0.75, 1.0]) AS t) g),
-w AS (SELECT *, min(CASE WHEN abst OR (ok AND coalesce(ratio, -1) >= tau_g) THEN attempt END) OVER (PARTITION BY tau_r, tau_g, qid) AS stop FROM att, grid),
-o AS (SELECT tau_r, tau_g, qid, bool_or(should) AS should, bool_or(top < tau_r) AS gated, count(*) AS ran,
-  bool_or(NOT abst AND ok AND coalesce(ratio, -1) >= tau_g) AS accepted, max_by(ratio, attempt) FILTER (ratio IS NOT NULL) AS ratio_final FROM w WHERE stop IS NULL OR attempt <= stop GROUP BY ALL),
+h AS (SELECT *, top < tau_r AS gated, NOT abst1 AND ok1 AND coalesce(r1 >= tau_g, false) AS acc1 FROM p, grid),
+i AS (SELECT *, NOT gated AND has2 AND NOT abst1 AND NOT acc1 AS runs2, NOT abst2 AND ok2 AND coalesce(r2 >= tau_g, false) AS acc2 FROM h),
+o AS (SELECT tau_r, tau_g, qid, should, gated OR NOT (acc1 OR (runs2 AND acc2)) AS ab, CASE WHEN gated THEN 0 WHEN runs2 THEN 2 ELSE 1 END AS ran, CASE WHEN NOT gated THEN r1 END AS ratio_first,
+  CASE WHEN gated THEN NULL WHEN runs2 THEN coalesce(r2, r1) ELSE r1 END AS ratio_final, CASE WHEN gated THEN 0 ELSE (NOT ok1)::INT + (runs2 AND NOT ok2)::INT END AS a_failed,
+  CASE WHEN gated THEN 'retrieve' WHEN abst1 OR (runs2 AND abst2) THEN 'model' WHEN acc1 OR (runs2 AND acc2) THEN NULL WHEN CASE WHEN runs2 THEN ok2 ELSE ok1 END THEN 'check_b' ELSE 'check_a' END AS stage FROM i),
 c AS (SELECT tau_r, tau_g, count_if(should AND ab)::BIGINT AS tp, count_if(NOT should AND ab)::BIGINT AS fp, count_if(should AND NOT ab)::BIGINT AS fn, count_if(NOT should AND NOT ab)::BIGINT AS tn, round(avg(ratio_final), 6) AS ratio,
-  count_if(NOT gated AND ran > 1)::BIGINT AS retries FROM (SELECT *, gated OR NOT accepted AS ab FROM o) GROUP BY ALL),
+  count_if(ran > 1)::BIGINT AS retries FROM o GROUP BY ALL),
 m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0.0 END AS recall FROM c),
 f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM m)"""
 
 QUERIES = {
     "coverage_curve": q_coverage_curve, "recall_mrr": q_recall_mrr, "greedy_pack": q_greedy_pack, "citation_check": q_citation_check, "support_ratio": q_support_ratio,
-    "abstain_f1": q_abstain_f1, "grid_best": q_grid_best, "rollup_by_type": q_rollup_by_type, "format_counts": q_format_counts,
+    "abstain_f1": q_abstain_f1, "grid_best": q_grid_best, "faithfulness": q_faithfulness, "answer_outcomes": q_answer_outcomes, "rollup_by_type": q_rollup_by_type, "format_counts": q_format_counts,
 }
 SQL = {
     "coverage_curve": f"{_COV} SELECT qid, span_ix::BIGINT AS span_ix, k, round(cov, 6) AS cov FROM curve",
@@ -143,7 +161,10 @@ p AS (SELECT conv_id, i, CASE WHEN n % 5 = 0 THEN format('mệnh đề {} không
 SELECT conv_id, count(*) AS n, count(problem) AS n_problems, coalesce(string_agg(problem, ';' ORDER BY i) FILTER (problem IS NOT NULL), '') AS problems FROM p GROUP BY conv_id""",
     "support_ratio": """SELECT source, count(*) AS n_claims, round(avg(coalesce(quality = 1, false)::INT), 6) AS support_ratio FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""",
     "abstain_f1": f"{_GRID} SELECT tau_r, tau_g, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f",
-    "grid_best": f"""{_GRID} SELECT tau_r, tau_g, ratio, retries, row_number() OVER (ORDER BY -f1, fn, -coalesce(ratio, 0), tau_r, tau_g) = 1 AS best, f1 = max(f1) OVER () AS plateau FROM f""",
+    "grid_best": f"""{_GRID} SELECT tau_r, tau_g, ratio, retries, row_number() OVER (ORDER BY -round(f1, 4), fn, -round(coalesce(ratio, 0), 4), tau_r, tau_g) = 1 AS best, round(f1, 4) = max(round(f1, 4)) OVER () AS plateau FROM f""",
+    "faithfulness": f"""{_GRID} SELECT tau_r, tau_g, count_if(NOT ab)::BIGINT AS n_answered, count_if(ab)::BIGINT AS n_abstained, round(avg(ratio_first), 4) AS ratio_first, round(avg(ratio_final), 4) AS ratio_final, count_if(ran > 1)::BIGINT AS n_retry,
+  sum(a_failed)::BIGINT AS n_check_a_fail, count_if(stage = 'retrieve')::BIGINT AS at_retrieve, count_if(stage = 'model')::BIGINT AS at_model, count_if(stage = 'check_a')::BIGINT AS at_check_a, count_if(stage = 'check_b')::BIGINT AS at_check_b FROM o GROUP BY tau_r, tau_g""",
+    "answer_outcomes": f"{_GRID} SELECT tau_r, tau_g, qid, stage, ab AS abstains, ran::BIGINT AS n_attempts, round(ratio_first, 6) AS ratio_first, round(ratio_final, 6) AS ratio_final, a_failed::BIGINT AS n_check_a_failed FROM o",
     "rollup_by_type": "SELECT source, lang, count(*) AS n, round(avg(quality), 6) AS quality FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (source, lang)",
     "format_counts": """SELECT CASE WHEN starts_with(html, '%PDF') THEN 'pdf' WHEN regexp_extract(url, '\\.([^.]+)$', 1) IN ('pdf', 'doc', 'docx') THEN lower(regexp_extract(url, '\\.([^.]+)$', 1)) ELSE 'unknown' END AS format, count(*) AS n FROM pages GROUP BY 1""",
 }

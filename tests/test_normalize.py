@@ -60,7 +60,7 @@ def test_scope(spark):
 
 
 def test_counts_and_gaps(spark):
-    a, b = normal(spark, "Chương I\nCHUNG\nĐiều 1. Một\n1. A.\n2. B.\nĐiều 2. Hai\n1. C.", "\n".join(f"Điều {n}. X\nY." for n in (1, 2, 2, 1, 7)))
+    a, b = normal(spark, "Chương I\nCHUNG\nĐiều 1. Một\n1. A.\n2. B.\nĐiều 2. Hai\n1. C.", "\n".join(f"Điều {n}. X{k}\nY{k}." for k, n in enumerate((1, 2, 2, 1, 7))))
     assert (a["n_chapters"], a["n_articles"], a["n_clauses"], a["warnings"]) == (1, 2, 3, [])
     assert [tuple(g) for g in b["gaps"]] == [(2, 2), (2, 1), (1, 7)] and b["warnings"][0]["detail"] == "2->2, 2->1, 1->7"
     lines = spark.createDataFrame([("d", k, "article", n) for k, n in enumerate((1, 2, 2, 1))] + [("e", 0, "chapter", None)], "doc_id string, ln int, kind string, article_no int")
@@ -83,7 +83,7 @@ def test_selection(spark):
     assert picked(spark, section, 1) == "Điều 1. Một\nNội dung một.\n"
     assert picked(spark, section, 9) == "Mục 4\nBIỆN PHÁP\nBẢO ĐẢM\n\nĐiều 9. Chín\nNội dung chín.\n"  # text between a heading's block and its article goes
     pending = "Chương I\nCHUNG\nMục 1\nA\nĐiều 1. Một\nx.\nMục 2\nB\nĐiều 2. Hai\ny."
-    assert picked(spark, pending, 2) == "Chương I\nCHUNG\n\nMục 2\nB\n\nĐiều 2. Hai\ny.\n"
+    assert picked(spark, pending, 2) == "Chương I\nCHUNG\n\n\nMục 2\nB\n\nĐiều 2. Hai\ny.\n"
 
 
 def test_outline(spark):

@@ -143,6 +143,28 @@ def test_json_answers(spark):
     assert one(spark, "é", js.canonical(b=F.col("t"), a=F.lit(None).cast("int"))) == '{"a":null,"b":"é"}'
 
 
+def test_answers_are_read_as_python_reads_them(spark):
+    """Numbers, booleans and texts stay apart; what is no list or no object is a broken answer."""
+    assert one(spark, "```json\n```{x}", js.json_body(F.col("t"))) == "" and one(spark, "so {a} b", js.json_body(F.col("t"))) == "{a}"
+    raw = '{"claims": [{"text": " a ", "citations": [true, 2.7, "3", "x", "2.7", null, [1], -1]}, {"text": 5, "citations": "1"}, {"text": null}, "no", {"citations": [1]}]}'
+    assert [(c["text"], c["citations"]) for c in one(spark, raw, answers.draft(F.col("t")))["claims"]] == [("a", [1, 2, 3, -1]), ("5", []), ("None", [])]
+    for value, truth in (("false", False), ('"false"', True), ("0", False), ('""', False), ("null", False), ("[]", False), ("{}", False), ("[0]", True), ("0.5", True)):
+        assert one(spark, f'{{"abstain": {value}, "claims": []}}', answers.draft(F.col("t")))["abstain"] is truth
+    assert one(spark, '{"claims": {"a": 1}}', answers.draft(F.col("t")))["claims"] == [] and one(spark, "{}", answers.draft(F.col("t")))["claims"] == []
+    assert one(spark, "nope 'x'\n", answers.draft_problem(F.col("t"))) == answers.UNREADABLE + answers.BROKEN + repr("nope 'x'\n")
+    assert one(spark, "[1]", answers.draft_problem(F.col("t"))) == answers.UNREADABLE + answers.ODD + "'[1]'" and one(spark, "{}", answers.draft_problem(F.col("t"))) is None
+    judge = lambda raw: one(spark, raw, answers.verdicts(F.col("t"), F.lit(2)))
+    assert [v.asDict() for v in judge('{"verdicts": [{"claim_id": 1.0, "supported": "false"}, {"claim_id": "2", "supported": 0, "reason": 7}, {"supported": true}, 3]}')] == [
+        {"claim_id": 1, "supported": True, "reason": ""}, {"claim_id": 2, "supported": False, "reason": "7"},
+    ]
+    assert judge('{"verdicts": 3}') is None and judge("{}") is None and judge("no") is None and judge("[]") == []
+    assert one(spark, '{"scores": [{"id": true, "score": 2.9}, {"id": 2, "score": "1.5"}]}', js.rerank_scores(F.col("t"), F.lit(3))) == {1: 2}
+    text = "a\x0b\x1f\\u000B\"\n\x01é"
+    import json
+
+    assert one(spark, text, js.canonical(b=F.col("t"))) == json.dumps({"b": text}, ensure_ascii=False, separators=(",", ":"))
+
+
 def test_citations_and_answer_machine(spark):
     claims = "array(named_struct('text', 'a', 'citations', array(1)), named_struct('text', 'b', 'citations', array(9)))"
     got = spark.range(1).select(verification.citation_problems(F.expr(claims), F.lit(3)).alias("p")).first()["p"]
@@ -164,6 +186,16 @@ def test_attempts_after_the_end_count_nowhere(spark):
     assert got["b"]["stage"] == "model" and got["c"]["stage"] == "check_a" and got["c"]["ratio_final"] == 0.1
 
 
+def test_gated_questions_have_no_attempts(spark):
+    rows = [("g", 1, 0.0, False, False, 0.5), ("g", 2, 0.0, False, True, 1.0), ("n", 1, None, False, False, None), ("n", 2, None, False, True, 0.4), ("m", 1, 0.9, True, True, None), ("k", 1, 0.9, False, True, 1.0)]
+    attempts = spark.createDataFrame(rows, "qid string, attempt int, top_score double, abstained boolean, check_a boolean, ratio double")
+    found = verification.answer_outcomes(attempts, spark.createDataFrame([(0.5, 0.5)], "tau_r double, tau_g double"))
+    got = {r["qid"]: (r["stage"], r["n_attempts"], r["accepted_at"], r["ratio_first"], r["ratio_final"], r["retried"], r["n_check_a_failed"]) for r in found.collect()}
+    assert got == {"g": ("retrieve", 0, None, None, None, False, 0), "n": ("check_b", 2, None, None, 0.4, True, 1), "m": ("model", 1, None, None, None, False, 0), "k": (None, 1, 1, 1.0, 1.0, False, 0)}
+    stats = verification.faithfulness(found, ["tau_r"]).first().asDict()
+    assert stats == {"tau_r": 0.5, "n_answered": 1, "n_abstained": 3, "ratio_first": 1.0, "ratio_final": 0.7, "n_retry": 1, "n_check_a_fail": 1, "at_retrieve": 1, "at_model": 1, "at_check_a": 0, "at_check_b": 1}
+
+
 def test_citation_problems_go_claim_by_claim(spark):
     claims = F.expr("array(named_struct('text', 'a', 'citations', array(0, 1, 7)), named_struct('text', 'b', 'citations', cast(array() as array<int>)))")
     got = spark.range(1).select(verification.citation_problems(claims, F.lit(2)).alias("p")).first()["p"]
