@@ -1,9 +1,8 @@
-"""Text expressions: tokens, estimates, labels, normalisation. All are built-in column functions but NFC."""
+"""Text expressions: tokens, estimates, labels, normalisation. All are built-in column functions but NFC, folding and marks."""
 
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,12 +15,21 @@ SPACE = r"(?U)[\s\x1C-\x1F]"
 CHARS_PER_TOKEN = 3.5
 
 
+#: Characters of texts that are in NFC for certain: Latin letters as they stand, marks of punctuation, currency signs.
+QUICK = r"^[\x{0}-\x{2FF}\x{1E00}-\x{1E99}\x{1EA0}-\x{1EFF}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}]*\z"
+
+
 @F.pandas_udf(T.StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode NFC, which Spark has no function for; null stays null."""
+def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
 
+def nfc(text: Column) -> Column:
+    """Unicode NFC, which Spark has no function for: only texts that a pattern can't vouch for go to Python; null stays null."""
+    quick = text.rlike(QUICK)
+    return F.when(quick, text).otherwise(_nfc(F.when(~quick, text)))
+
+
 def line_feeds(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
@@ -87,33 +95,95 @@ def squeeze_blanks(text: Column) -> Column:
     return out
 
 
-#: Fixed: Vietnamese letters by base letter; folding keeps offsets, as each letter becomes one.
-FOLDS = {
-    "a": "àáảãạăằắẳẵặâầấẩẫậ", "e": "èéẻẽẹêềếểễệ", "i": "ìíỉĩị", "o": "òóỏõọôồốổỗộơờớởỡợ", "u": "ùúủũụưừứửữự", "y": "ỳýỷỹỵ", "d": "đ",
-}
+class _Folding(dict):
+    """What a character becomes, found when it is first met: lower case, and without marks where accents go."""
+
+    def __init__(self, accents: bool):
+        super().__init__()
+        self.accents = accents
+
+    def __missing__(self, code: int) -> str:
+        piece = chr(code).lower()
+        if not self.accents:
+            piece = "".join(c for c in unicodedata.normalize("NFD", piece) if not unicodedata.combining(c)).replace("đ", "d")
+        self[code] = piece
+        return piece
+
+
+_FOLDINGS = {accents: _Folding(accents) for accents in (False, True)}
+_INTS = T.ArrayType(T.IntegerType())
+FOLDED = T.StructType([T.StructField("text", T.StringType()), T.StructField("at", _INTS), T.StructField("by", _INTS)])
+
+
+def fold(text: str, accents: bool = False) -> tuple[str, list[int], list[int]]:
+    """The folded text, and where in it (at) the distance to the place in the source changes, to what (by).
+
+    Most letters fold to one character, so most texts have no such places.
+    """
+    table = _FOLDINGS[accents]
+    folded = text.translate(table)
+    odd = {c for c in set(text) if len(table[ord(c)]) != 1}
+    at, by, shift = [], [], 0
+    for j, c in enumerate(text) if odd else ():
+        if c not in odd:
+            continue
+        n, here = len(table[ord(c)]), j - shift
+        if n == 0:
+            shift += 1
+            at.append(here)
+            by.append(shift)
+        for extra in range(1, n):
+            shift -= 1
+            at.append(here + extra)
+            by.append(shift)
+    return folded, at, by
+
+
+def _folded(texts: pd.Series, accents: bool) -> pd.DataFrame:
+    made = [(None, None, None) if t is None else fold(t, accents) for t in texts]
+    return pd.DataFrame(made, columns=["text", "at", "by"])
+
+
+@F.pandas_udf(FOLDED)
+def folded(texts: pd.Series) -> pd.DataFrame:
+    """struct (text, at, by): lower case without accents and marks, as Unicode decomposes them; see `fold`."""
+    return _folded(texts, accents=False)
+
+
+@F.pandas_udf(FOLDED)
+def lowered(texts: pd.Series) -> pd.DataFrame:
+    """struct (text, at, by): lower case only."""
+    return _folded(texts, accents=True)
+
+
+def source_offset(at: Column, by: Column, place: Column) -> Column:
+    """Where in the source the character at `place` of a folded text comes from; of several changes at one place the last holds."""
+    return place + F.coalesce(F.get(by, F.size(F.filter(at, lambda a: a <= place)) - 1), F.lit(0))
 
 
-def folded(text: Column) -> Column:
-    """Lower case without accents, of the same length, so that offsets in it hold in the text."""
-    return F.translate(F.lower(text), "".join(FOLDS.values()), "".join(k * len(v) for k, v in FOLDS.items()))
+def literal_pattern(text: Column) -> Column:
+    return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def occurrences(haystack: Column, needle: str) -> Column:
-    """Offsets (from 0) of all occurrences, overlapping ones too; texts without one cost a single search."""
-    n = len(needle)
-    places = F.sequence(F.lit(1), F.length(haystack) - n + 1)
-    hits = F.transform(F.filter(places, lambda i: F.substring(haystack, i, F.lit(n)) == needle), lambda i: i - 1)
-    return F.when(F.contains(haystack, F.lit(needle)), hits).otherwise(F.expr("cast(array() as array<int>)"))
+def excerpt(text: Column, start: Column, length: Column, width: int = 300, marks: tuple[str, str] = ("", "")) -> Column:
+    """`width` characters around a hit, the hit between marks, on one line, with dots where text is left out."""
+    n, w = F.length(text), F.lit(width)
+    margin = F.greatest(F.lit(0), F.floor((w - length) / 2).cast("int"))
+    hi = F.when(n <= w, n).otherwise(F.least(n, F.greatest(start - margin, F.lit(0)) + w))
+    lo = F.when(n <= w, 0).otherwise(F.greatest(F.lit(0), hi - w))
+    a, b = F.greatest(lo, start), F.least(hi, start + length)
+    cut = lambda s, e: F.substring(text, s + 1, F.greatest(e - s, F.lit(0)))
+    body = F.when(a < b, F.concat(cut(lo, a), F.lit(marks[0]), cut(a, b), F.lit(marks[1]), cut(b, hi))).otherwise(cut(lo, hi))
+    return F.replace(F.concat(F.when(lo > 0, "…").otherwise(""), body, F.when(hi < n, "…").otherwise("")), F.lit("\n"), F.lit(" "))
 
 
-def excerpt(text: Column, start: Column, length: Column, width: int = 300) -> Column:
-    """About width characters around a hit, on one line, with dots where text is left out."""
-    lo = F.greatest(F.lit(0), start - F.floor((F.lit(width) - length) / 2).cast("int"))
-    hi = F.least(F.length(text), lo + width)
-    body = F.replace(F.substring(text, lo + 1, hi - lo), F.lit("\n"), F.lit(" "))
-    return F.concat(F.when(lo > 0, "…").otherwise(""), body, F.when(hi < F.length(text), "…").otherwise(""))
+@F.pandas_udf(T.LongType())
+def marked_characters(texts: pd.Series) -> pd.Series:
+    """Characters that are đ or Đ, or that Unicode decomposes into something with a mark."""
+    marked = lambda c: c in "đĐ" or any(map(unicodedata.combining, unicodedata.normalize("NFD", c)))
+    return texts.map(lambda t: None if t is None else sum(t.count(c) for c in set(t) if marked(c)))
 
 
 def diacritic_ratio(text: Column) -> Column:
-    marked = "đĐ" + "".join(v + v.upper() for k, v in FOLDS.items() if k != "d")
-    return F.when(F.length(text) > 0, F.length(F.regexp_replace(text, f"[^{marked}]", "")) / F.length(text)).otherwise(0.0)
+    """Share of marked characters; 0 for an empty text."""
+    return F.when(F.length(text) > 0, marked_characters(text) / F.length(text)).otherwise(0.0)

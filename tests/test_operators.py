@@ -29,12 +29,6 @@ def test_tokens_and_bag(spark):
     assert one(spark, "", tx.token_estimate(F.col("t"))) == 1
 
 
-def test_folding_keeps_offsets_and_finds_overlaps(spark):
-    assert one(spark, "Điều Ổn", tx.folded(F.col("t"))) == "dieu on"
-    assert one(spark, "aaaa", tx.occurrences(F.col("t"), "aa")) == [0, 1, 2]
-    assert one(spark, "b", tx.occurrences(F.col("t"), "aa")) == []
-
-
 def test_frontmatter(spark):
     good = "---\r\ndoc_id: d1\ntitle: 'T: x'\n# note\ndoc_type: law\nissued_date: 2020-01-01\neffective_from: 2020-02-01\neffective_to: null\nstatus: active\nstatus: expired\n---\nBody\n"
     rows = corpus.parse_frontmatter(spark.createDataFrame([("a", good), ("b", "no front"), ("c", "---\nbad line\n---\n")], "source string, text string"))
