@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundspark.functions.answers import chunk_id, clause_range
+from groundspark.functions.text import strip
 
 LEAST, MOST, OVERLAP = 120, 600, 0.15
+#: Fixed: what ends a sentence.
 _SENTENCE = re.compile("[.!?]+[\"'”’)\\]]*\\s+")
 #: Fixed: abbreviations after which a full stop ends no sentence, in lower case.
 ABBREVIATIONS = (
@@ -132,3 +134,39 @@ def coverage_holes(chunked: DataFrame, bodies: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("s", "e")
     gaps = islands.select("doc_id", F.col("e").alias("s"), F.lead("s").over(order).alias("e")).where("s < e").join(bodies, "doc_id")
     return gaps.where(F.substring(F.col("body"), F.col("s") + 1, F.col("e") - F.col("s")).rlike("\\S")).select("doc_id", "s", "e")
+
+
+def _raised(when: Column, said: Column, keep: Column) -> Column:
+    return F.when(when, F.raise_error(said).cast("string")).otherwise(keep.cast("string"))
+
+
+def offset_problems(clauses: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(doc_id, article_no, clause_no, s, e, problem) of clauses that don't cut what they should from their body.
+
+    A clause lies in its body, holds text, begins and ends at its first and last character that isn't blank, and begins
+    with its number where it has one.
+    """
+    text = F.substring("body", F.col("s") + 1, F.col("e") - F.col("s"))
+    problem = (
+        F.when(F.col("body").isNull(), "unknown document")
+        .when(~((F.col("s") >= 0) & (F.col("s") < F.col("e")) & (F.col("e") <= F.length("body"))), "outside of the body")
+        .when(strip(text) != text, "blank at an end")
+        .when((F.col("clause_no") > 0) & ~F.startswith(text, F.concat(F.col("clause_no").cast("string"), F.lit("."))), "not at its number")
+    )
+    return clauses.join(bodies, "doc_id", "left").select("doc_id", "article_no", "clause_no", "s", "e", problem.alias("problem")).where("problem is not null")
+
+
+def checked_clauses(clauses: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The clauses, where any that `offset_problems` names raises when rows are read."""
+    odd = offset_problems(clauses, bodies).groupBy("doc_id").agg(F.min(F.struct("article_no", "clause_no", "s", "e", "problem")).alias("_odd"))
+    said = F.concat(F.lit("clause "), F.to_json("_odd"), F.lit(" of "), F.col("doc_id").cast("string"))
+    kind = clauses.schema["doc_id"].dataType
+    return clauses.join(odd, "doc_id", "left").withColumn("doc_id", _raised(F.col("_odd").isNotNull(), said, F.col("doc_id")).cast(kind)).select(*clauses.columns)
+
+
+def checked_chunks(chunked: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The chunks, where text of a document that no chunk covers raises when rows are read, with its place."""
+    holes = coverage_holes(chunked, bodies).groupBy("doc_id").agg(F.min(F.struct("s", "e")).alias("_hole"))
+    said = F.concat(F.lit("no chunk covers "), F.to_json("_hole"), F.lit(" of "), F.col("doc_id").cast("string"))
+    kind = chunked.schema["doc_id"].dataType
+    return chunked.join(holes, "doc_id", "left").withColumn("doc_id", _raised(F.col("_hole").isNotNull(), said, F.col("doc_id")).cast(kind)).select(*chunked.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundspark.functions.answers import citation_label, short_label
@@ -21,26 +21,29 @@ def folded_documents(docs: DataFrame, accents: bool = False) -> DataFrame:
     return materialized(rows.select("doc_id", "body", F.col("f.text").alias("folded"), "f.at", "f.by"))
 
 
-def _characters(rows: DataFrame, text: str) -> DataFrame:
-    return rows.withColumn("_c", F.split(text, ""))
-
-
-def _gram(n: int) -> Column:
-    """Each run of n characters of the column _c."""
-    return F.transform("_c", lambda c, i: F.when(i + n <= F.size("_c"), F.concat(c, *(F.get("_c", i + k) for k in range(1, n)))))
+def _grams(rows: DataFrame, text: str) -> DataFrame:
+    """rows with _grams: the distinct runs of Q characters of a text, and the shorter ones that it ends with."""
+    cut = rows.withColumn("_c", F.split(text, ""))
+    run = F.transform("_c", lambda c, i: F.concat(c, *(F.coalesce(F.get("_c", i + k), F.lit("")) for k in range(1, Q))))
+    return cut.withColumn("_grams", F.array_distinct(run)).drop("_c")
 
 
 def gram_index(documents: DataFrame) -> DataFrame:
     """(gram, doc_id) of folded documents: the distinct runs of one to Q characters of each. Can be kept beside the documents."""
-    grams = F.array_distinct(F.concat(*(_gram(n) for n in range(1, Q + 1))))
-    return _characters(documents.where("folded != ''"), "folded").select("doc_id", F.explode(grams).alias("gram")).where("gram is not null")
+    shorter = [F.transform("_grams", lambda g, n=n: F.substring(g, 1, n)) for n in range(1, Q)]
+    rows = _grams(documents.where("folded != ''").select("doc_id", "folded"), "folded")
+    return rows.select("doc_id", F.explode_outer(F.array_distinct(F.concat("_grams", *shorter))).alias("gram"))
 
 
 def candidates(needles: DataFrame, index: DataFrame) -> DataFrame:
-    """(needle_id, needle, doc_id): documents that hold the rarest gram of each needle (needle_id, needle; folded)."""
-    grams = F.when(F.size("_c") < Q, F.array("needle")).otherwise(F.array_distinct(_gram(Q)))
-    wanted = _characters(needles.where("needle != ''"), "needle").select("needle_id", "needle", F.explode(grams).alias("gram")).where("gram is not null")
-    postings = index.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    """(needle_id, needle, doc_id): documents that hold the rarest gram of each needle (needle_id, needle; folded).
+
+    Only postings of the needles' grams are kept, and written once. A needle that is a gram or shorter is its own.
+    """
+    rows = _grams(needles.where("needle != ''"), "needle")
+    whole = F.when(F.length("needle") <= Q, F.array("needle")).otherwise(F.filter("_grams", lambda g: F.length(g) == Q))
+    wanted = rows.select("needle_id", "needle", F.explode(whole).alias("gram"))
+    postings = materialized(index.join(wanted.select("gram").distinct(), "gram", "left_semi"))
     counts = postings.groupBy("gram").agg(F.count("*").alias("df"))
     rarest = wanted.join(counts, "gram", "left").groupBy("needle_id", "needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("m"))
     return rarest.where("m.df > 0").select("needle_id", "needle", F.col("m.gram").alias("gram")).join(postings, "gram").drop("gram")

@@ -15,18 +15,24 @@ def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(qid, doc_id, score) for documents (doc_id, terms) that share a term with a query (qid, terms).
 
     A repeated query term counts as often as it occurs. A negative idf is replaced by EPSILON times the mean idf of
-    all terms, negative ones included, so document frequencies are taken over the whole vocabulary, and only postings
-    of query terms are joined. Building the plan writes two tables and brings three numbers to the driver.
+    all terms, negative ones included, so document frequencies are counted over the whole vocabulary, but only postings
+    of query terms are made. Building the plan writes the documents' terms and the frequencies, and brings three numbers
+    to the driver.
     """
-    counted = docs.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    postings = materialized(counted)  # terms are made once; all statistics read this table
-    df = materialized(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")))
-    n = docs.select("doc_id").count()
-    avgdl = (df.agg(F.sum("total")).first()[0] or 0) / max(n, 1) or 1.0
+    bags = materialized(docs.select("doc_id", F.size("terms").alias("len"), "terms"))  # terms are made once
+    held = bags.select(F.explode_outer(F.array_distinct("terms")).alias("term")).where("term is not null")
+    df = materialized(held.groupBy("term").agg(F.count("*").alias("df")))
+    size = bags.agg(F.count("*").alias("n"), F.sum(F.greatest("len", F.lit(0))).alias("total")).first()
+    n = size["n"]
+    avgdl = (size["total"] or 0) / max(n, 1) or 1.0
     idf = df.select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     floor = EPSILON * (idf.agg(F.avg("idf")).first()[0] or 0.0)
-    wanted = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    idf = idf.join(wanted.select("term").distinct(), "term").withColumn("idf", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))
+    wanted = queries.select("qid", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("qid", "term").agg(F.count("*").alias("times"))
+    wanted = materialized(wanted)
+    terms = wanted.select("term").distinct()
+    each = bags.select("doc_id", "len", F.explode_outer("terms").alias("term")).join(terms, "term", "left_semi")
+    postings = each.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    idf = idf.join(terms, "term", "left_semi").withColumn("idf", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))
     weighed = wanted.join(idf, "term")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avgdl))
     return postings.join(weighed, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("times") * F.col("idf") * tf).alias("score"))

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundspark.functions.answers import candidate_digest, indexed_text
+from groundspark.functions.json import digest
 from groundspark.functions.text import bag, nfc, tokens
 from groundspark.functions.vectors import norm, unit
 from groundspark.operators.dense import dense_topk
+from groundspark.operators.grep import grep
 from groundspark.operators.lexical import bm25_topk
 from groundspark.operators.ranking import fuse, rerank
+from groundspark.operators.replay import SCORES_SHAPE, Call, reranked
+from groundspark.sources.tables import materialized, spread
 
 DEPTH = 30
 
@@ -18,13 +23,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _words(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(name, words): each step in a column of its own, so that none is computed twice."""
+    rows = spread(rows.select(F.col(key).alias(name), F.coalesce("text", F.lit("")).alias("text")))
+    return rows.select(name, nfc(F.col("text")).alias("text")).select(name, tokens(F.col("text")).alias("words"))
+
+
 def _terms(rows: DataFrame, key: str, name: str) -> DataFrame:
-    return rows.select(F.col(key).alias(name), bag(tokens(nfc(F.coalesce("text", F.lit(""))))).alias("terms"))
+    return _words(rows, key, name).select(name, bag(F.col("words")).alias("terms"))
 
 
 def q_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read(spark, sf_dir, "embeddings")
-    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    vectors = spread(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    queries = read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     top = dense_topk(queries, vectors.select("vec_id", F.col("embedding").alias("v")), 8)
     return top.select("qid", "vec_id", "rank", "score")
 
@@ -46,26 +57,73 @@ def _shared_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second arm: documents by the number of distinct query words that they hold."""
     from groundspark.operators.ranking import rank_by_score
 
-    words = lambda rows, key, name: rows.select(F.col(key).alias(name), F.explode(F.array_distinct(tokens(nfc(F.coalesce("text", F.lit("")))))).alias("w"))
+    words = lambda rows, key, name: _words(rows, key, name).select(name, F.explode_outer(F.array_distinct("words")).alias("w")).where("w is not null")
     q, d = words(read(spark, sf_dir, "benchmark"), "item_id", "qid"), words(read(spark, sf_dir, "documents"), "doc_id", "doc_id")
     return rank_by_score(q.join(d, "w").groupBy("qid", "doc_id").agg(F.count("*").alias("score")), "qid", "score", "doc_id", DEPTH)
 
 
-def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fused_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse({"bm25": _lexical(spark, sf_dir), "words": _shared_words(spark, sf_dir)}, "qid", "doc_id")
 
 
-def q_rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hybrid(spark, sf_dir).select("qid", "doc_id", "rank", "fusion_score", "bm25_rank", "words_rank")
+def q_rrf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused_words(spark, sf_dir).select("qid", "doc_id", "rank", "fusion_score", "bm25_rank", "words_rank")
 
 
-def q_hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_rerank_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge scores stand in as labels: quality + 2 * toxic, a missing label counting as 0."""
-    fused = _hybrid(spark, sf_dir)
+    fused = materialized(_fused_words(spark, sf_dir))
     scores = fused.select("qid", "doc_id").join(read(spark, sf_dir, "labels"), "doc_id").select("qid", "doc_id", (F.col("quality") + 2 * F.col("toxic")).alias("score"))
     return rerank(fused, scores, "qid", "doc_id", DEPTH).select("qid", "doc_id", "rank", "fused_rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by their vectors: the vector of document d is the one with vec_id d, that of item i the one with vec_id i."""
+    vectors = spread(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
+    queries = items.join(vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "qid")
+    of_documents = vectors.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    return dense_topk(queries, of_documents.select("vec_id", F.col("embedding").alias("v")), DEPTH).withColumnRenamed("vec_id", "doc_id")
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse({"bm25": _lexical(spark, sf_dir), "dense": _dense(spark, sf_dir)}, "qid", "doc_id")
+
+
+def q_rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir).select("qid", "doc_id", "rank", "fusion_score", "bm25_rank", "dense_rank")
+
+
+RERANK = Call("rerank", "p", "judge", {"response_schema": SCORES_SHAPE, "temperature": 0.0})
+
+
+def q_hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reranked by recorded scores: quality + 2 * toxic of labelled documents; items whose number is 4 modulo 5 have no record, those with 3 an unreadable one."""
+    fused = _hybrid(spark, sf_dir).where(F.col("rank") <= DEPTH)
+    label = F.concat(F.lit("Điều "), F.col("doc_id").cast("string"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"), F.coalesce("source", F.lit("")).alias("source"))
+    chunks = docs.select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), indexed_text(label, F.col("source"), F.col("text")).alias("indexed_text"))
+    questions = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("question"))
+    candidates = materialized(fused.select("qid", "doc_id", "rank").join(chunks, "doc_id").join(questions, "qid"))
+    marks = read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 2 * F.col("toxic")).alias("score"))
+    item = F.struct("rank", "chunk_id", "indexed_text", F.to_json(F.struct(F.col("rank").alias("id"), "score")).alias("said"), F.col("score").isNotNull().alias("scored"))
+    lists = candidates.join(marks, "doc_id", "left").groupBy("qid", "question").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    of = lambda name: F.transform("c", lambda x: x[name])
+    key = digest(RERANK.payload(question=F.col("question"), candidates=of("chunk_id"), candidates_digest=candidate_digest(of("indexed_text"))))
+    said = F.concat(F.lit('{"scores":['), F.array_join(F.transform(F.filter("c", lambda x: x["scored"]), lambda x: x["said"]), ","), F.lit("]}"))
+    cache = lists.where("qid % 5 != 4").select(key.alias("digest"), F.when(F.col("qid") % 5 == 3, "none").otherwise(said).alias("response"))
+    found = reranked(candidates, materialized(cache), RERANK, DEPTH)
+    return found.select("qid", "doc_id", "rank", "fused_rank", F.round("rerank_score", 6).alias("rerank_score"), "problem", "rerank_digest")
+
+
+def q_corpus_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 8 to 15 characters of each item, searched for in all documents without regard to case and accents."""
+    needles = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.expr("substring(text, 1, 8 + item_id % 8)").alias("needle"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")))
+    found = grep(needles, docs)
+    return found.select("needle_id", "doc_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), F.sha2("excerpt", 256).alias("excerpt_sha256"))
+
+
 _TOKENS = "regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '[0-9]+|[\\p{L}\\p{Nl}\\p{No}]+')"
 _BAG = f"""
 q AS (SELECT item_id AS qid, {_TOKENS} AS u FROM benchmark), d AS (SELECT doc_id, {_TOKENS} AS u FROM documents),
@@ -80,15 +138,24 @@ scores AS (SELECT qid, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 +
   FROM qt JOIN idf USING (term) JOIN tf USING (term) JOIN lens USING (doc_id), stats GROUP BY ALL),
 every AS (SELECT q.qid, d.doc_id, round(coalesce(score, 0), 6) AS score FROM q CROSS JOIN d LEFT JOIN scores s ON s.qid = q.qid AND s.doc_id = d.doc_id),
 bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM every) WHERE rank <= 30)"""
-_HYBRID = f"""{_BAG},
+_WORDS = f"""{_BAG},
 shared AS (SELECT qid, doc_id, count(*) AS score FROM (SELECT qid, unnest(list_distinct(u)) AS w FROM q) JOIN (SELECT doc_id, unnest(list_distinct(u)) AS w FROM d) USING (w) GROUP BY ALL),
 words AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM shared) WHERE rank <= 30),
 fused AS (SELECT qid, doc_id, round(coalesce(1.0 / (60 + b.rank), 0) + coalesce(1.0 / (60 + w.rank), 0), 6) AS fusion_score, b.rank AS bm25_rank, w.rank AS words_rank
   FROM bm25 b FULL JOIN words w USING (qid, doc_id)),
 hybrid AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fusion_score DESC, doc_id) AS rank FROM fused)"""
 
+_HYBRID = f"""{_BAG},
+dense AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id AS qid, v.vec_id AS doc_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+  FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings v WHERE v.vec_id IN (SELECT doc_id FROM documents)) QUALIFY rank <= 30),
+fused AS (SELECT qid, doc_id, round(coalesce(1.0 / (60 + b.rank), 0) + coalesce(1.0 / (60 + w.rank), 0), 6) AS fusion_score, b.rank AS bm25_rank, w.rank AS dense_rank
+  FROM bm25 b FULL JOIN dense w USING (qid, doc_id)),
+hybrid AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fusion_score DESC, doc_id) AS rank FROM fused)"""
+_RERANK_PARAMS = '{"response_schema":{"properties":{"scores":{"items":{"properties":{"id":{"type":"integer"},"score":{"type":"integer"}},"required":["id","score"],"type":"object"},"type":"array"}},"required":["scores"],"type":"object"},"temperature":0.0}'
+
 QUERIES = {
     "dense_topk": q_dense_topk, "l2_normalize": q_l2_normalize, "bm25_topk": q_bm25_topk, "rrf_hybrid": q_rrf_hybrid, "hybrid_rerank": q_hybrid_rerank,
+    "rrf_words": q_rrf_words, "rerank_labels": q_rerank_labels, "corpus_grep": q_corpus_grep,
 }
 SQL = {
     "dense_topk": """
@@ -102,8 +169,24 @@ SELECT qid, vec_id, rank::INTEGER AS rank, score FROM ranked WHERE rank <= 8
 SELECT vec_id, 1.0::DOUBLE AS length, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first FROM embeddings
 """,
     "bm25_topk": f"WITH {_BAG} SELECT qid, doc_id, rank::INTEGER AS rank, score FROM bm25",
-    "rrf_hybrid": f"WITH {_HYBRID} SELECT qid, doc_id, rank::INTEGER AS rank, fusion_score, bm25_rank::INTEGER AS bm25_rank, words_rank::INTEGER AS words_rank FROM hybrid",
-    "hybrid_rerank": f"""WITH {_HYBRID},
+    "rrf_words": f"WITH {_WORDS} SELECT qid, doc_id, rank::INTEGER AS rank, fusion_score, bm25_rank::INTEGER AS bm25_rank, words_rank::INTEGER AS words_rank FROM hybrid",
+    "rerank_labels": f"""WITH {_WORDS},
 judged AS (SELECT h.qid, h.doc_id, h.rank AS fused_rank, coalesce(l.quality + 2 * l.toxic, 0) / 3.0::DOUBLE AS s FROM hybrid h LEFT JOIN labels l USING (doc_id) WHERE h.rank <= 30)
 SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, fused_rank)::INTEGER AS rank, fused_rank::INTEGER AS fused_rank, round(s, 6)::DOUBLE AS rerank_score FROM judged""",
+    "rrf_hybrid": f"WITH {_HYBRID} SELECT qid, doc_id, rank::INTEGER AS rank, fusion_score, bm25_rank::INTEGER AS bm25_rank, dense_rank::INTEGER AS dense_rank FROM hybrid",
+    "hybrid_rerank": f"""WITH {_HYBRID},
+c AS (SELECT h.qid, h.doc_id, h.rank, coalesce(b.text, '') AS question, l.quality + 2 * l.toxic AS score, 'Điều ' || h.doc_id || CASE WHEN coalesce(d.source, '') <> '' THEN ' — ' || d.source ELSE '' END || chr(10) || sha256(coalesce(d.text, '')) AS indexed
+  FROM hybrid h JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = h.qid LEFT JOIN labels l USING (doc_id) WHERE h.rank <= 30),
+k AS (SELECT qid, count(score) > 0 AS any_score, sha256('{{"input":{{"candidates":[' || string_agg('"' || doc_id || '"', ',' ORDER BY rank) || '],"candidates_digest":"' || sha256(string_agg(indexed, chr(10) ORDER BY rank)) || '","question":' || to_json(any_value(question))::VARCHAR
+  || '}},"model":"judge","params":{_RERANK_PARAMS},"prompt_version":1,"provider":"p","task":"rerank"}}') AS rerank_digest FROM c GROUP BY qid),
+s AS (SELECT c.*, rerank_digest, CASE WHEN qid % 5 = 4 THEN 'missing' WHEN qid % 5 = 3 OR NOT any_score THEN 'unreadable' END AS problem FROM c JOIN k USING (qid)),
+r AS (SELECT *, CASE WHEN problem IS NULL THEN coalesce(score, 0) / 3.0::DOUBLE END AS rs FROM s)
+SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rs DESC NULLS LAST, rank)::INTEGER AS rank, rank::INTEGER AS fused_rank, round(rs, 6)::DOUBLE AS rerank_score, problem, rerank_digest FROM r""",
+    "corpus_grep": """WITH n AS (SELECT item_id, strip_accents(lower(substr(text, 1, (8 + item_id % 8)::INTEGER))) AS nf FROM benchmark), d AS (SELECT doc_id, text AS body, length(text) AS len, strip_accents(lower(text)) AS f FROM documents),
+m AS (SELECT item_id, doc_id, body, len, length(nf) AS w, string_split(f, nf) AS ps FROM n JOIN d ON contains(f, nf) WHERE nf <> ''),
+u AS (SELECT item_id, doc_id, body, len, w, ps, unnest(range(1, len(ps))) AS j FROM m),
+k AS (SELECT item_id, doc_id, body, len, w, (list_sum([length(p) FOR p IN ps[1:j]]) + (j - 1) * w)::BIGINT AS s FROM u),
+x AS (SELECT *, CASE WHEN len <= 300 THEN len ELSE least(len, greatest(s - (300 - w) // 2, 0) + 300) END AS hi FROM k),
+y AS (SELECT *, CASE WHEN len <= 300 THEN 0 ELSE greatest(0, hi - 300) END AS lo FROM x)
+SELECT item_id AS needle_id, doc_id, s, s + w AS e, sha256(replace(CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(body, lo + 1, s - lo) || '»' || substr(body, s + 1, w) || '«' || substr(body, s + w + 1, hi - s - w) || CASE WHEN hi < len THEN '…' ELSE '' END, chr(10), ' ')) AS excerpt_sha256 FROM y""",
 }

@@ -9,11 +9,12 @@ from groundspark.functions.json import canonical, digest
 from groundspark.functions.text import bag, jaccard, nfc, squeeze_blanks, token_estimate, tokens, word_count
 from groundspark.operators import structure
 from groundspark.operators.intervals import interval_union, locate
-from groundspark.plans.retrieval import read
+from groundspark.plans.retrieval import _words, read
+from groundspark.sources.tables import materialized, spread
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +42,10 @@ def q_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_jaccard_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item's words against all documents; the highest overlap and where it is."""
-    sets = lambda rows, key, name: rows.select(F.col(key).alias(name), F.array_distinct(tokens(nfc(F.coalesce("text", F.lit(""))))).alias(f"{name}_w"))
-    q, d = sets(read(spark, sf_dir, "benchmark"), "item_id", "q"), sets(read(spark, sf_dir, "documents"), "doc_id", "d")
-    words = q.select("q", F.size("q_w").alias("nq"), F.explode("q_w").alias("w")).join(d.select("d", F.size("d_w").alias("nd"), F.explode("d_w").alias("w")), "w")
+    sets = lambda table, key, name: materialized(_words(read(spark, sf_dir, table), key, name).select(name, F.array_distinct("words").alias(f"{name}_w")))
+    q, d = sets("benchmark", "item_id", "q"), sets("documents", "doc_id", "d")
+    each = lambda rows, name: rows.select(name, F.size(f"{name}_w").alias(f"n{name}"), F.explode_outer(f"{name}_w").alias("w")).where("w is not null")
+    words = each(q, "q").join(each(d, "d"), "w")
     common = words.groupBy("q", "d", "nq", "nd").agg(F.count("*").alias("n"))
     scored = common.select("q", "d", F.round(F.col("n") / (F.col("nq") + F.col("nd") - F.col("n")), 6).alias("jaccard"))
     best = scored.groupBy("q").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "d")).alias("b"))
@@ -51,9 +53,8 @@ def q_jaccard_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document with offsets; the invariant body[s:e] = line is part of the plan."""
-    body = _docs(spark, sf_dir).withColumnRenamed("text", "body")
-    found = structure.lines(body).select("doc_id", "ln", "s", "e", F.length("line").alias("n"))
+    """Lines of every document with the offsets of their first and last characters."""
+    found = _lines(spark, sf_dir)
     return found.select("doc_id", F.col("ln").cast("long").alias("ln"), F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
 
 
