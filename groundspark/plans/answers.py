@@ -45,7 +45,7 @@ def q_draft_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_verdict_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A judge's raw verdicts for each source's documents by label, the last one of a claim holding, and what a retry is told."""
-    docs = read(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("qid"), "doc_id", (F.col("doc_id") / 50).cast("long").alias("k"), "quality").where("k < 6")
+    docs = read(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("qid"), "doc_id", (F.col("doc_id") / 50).cast("long").alias("k"), "quality")
     item = F.struct("doc_id", (F.col("k") % 4 + 1).alias("claim_id"), (F.col("quality") == 1).alias("supported"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("reason"))
     raw = docs.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("v"))
     raw = raw.select("qid", F.concat(F.lit("```json\n"), F.to_json(F.struct(F.transform("v", lambda x: F.struct(x["claim_id"].alias("claim_id"), x["supported"].alias("supported"), x["reason"].alias("reason"))).alias("verdicts"))), F.lit("\n```")).alias("raw"))
@@ -97,7 +97,7 @@ c AS (SELECT * FROM k WHERE said <> '' AND NOT broken AND NOT abst),
 a AS (SELECT conv_id, count(*) AS n_claims, string_agg(said || ' [1][' || n % 6 || ']', ' ' ORDER BY turn, text) AS answer FROM c GROUP BY conv_id),
 o AS (SELECT conv_id, string_agg('[' || o || '] label ' || o, ';' ORDER BY o) AS labels FROM (SELECT DISTINCT conv_id, unnest([1, n % 6]) AS o FROM c) WHERE o BETWEEN 1 AND 4 GROUP BY conv_id)
 SELECT conv_id, n % 11 = 0 AS broken, n % 7 = 0 AND n % 11 <> 0 AS abstains, coalesce(n_claims, 0) AS n_claims, sha256(coalesce(answer, '')) AS answer_sha256, coalesce(labels, '') AS labels FROM g LEFT JOIN a USING (conv_id) LEFT JOIN o USING (conv_id)""",
-    "verdict_feedback": f"""WITH d AS (SELECT doc_id % 50 AS qid, doc_id, (doc_id // 50) % 4 + 1 AS claim, quality = 1 AS ok FROM labels WHERE doc_id // 50 < 6),
+    "verdict_feedback": f"""WITH d AS (SELECT doc_id % 50 AS qid, doc_id, (doc_id // 50) % 4 + 1 AS claim, quality = 1 AS ok FROM labels),
 v AS (SELECT * FROM d WHERE claim <= 3 QUALIFY row_number() OVER (PARTITION BY qid, claim ORDER BY doc_id DESC) = 1),
 r AS (SELECT qid, count(*) AS n, string_agg('- "claim ' || claim || '" — r' || doc_id, chr(10) ORDER BY claim) FILTER (NOT ok) AS bad FROM v GROUP BY qid)
 SELECT qid, coalesce(n, 0) AS n_verdicts, CASE WHEN qid % 2 = 0 THEN '{answers.WRONG_CITATIONS}' || chr(10) || '- p' || chr(10) ELSE '' END

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.operators import intervals, verification
+from groundspark.operators import intervals, reports, verification
 from groundspark.operators.chunking import packed
 from groundspark.plans.retrieval import read
 from groundspark.plans.texts import _lines
+from groundspark.sources.tables import materialized
 
 DEPTH = 8
 
@@ -41,6 +42,30 @@ def q_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select(F.col("k").cast("long").alias("k"), F.coalesce("type", F.lit("all")).alias("type"), "n", "recall_strict", "recall_any", "mean_cov", "mrr")
 
 
+def q_evaluate_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by length and lines in order as two arms, one arm that lacks a record and one without rows; four of five documents are answerable."""
+    spans, by_length = _gold_and_ranked(spark, sf_dir)
+    spans = spans.withColumn("span_ix", F.col("span_ix").cast("int"))
+    in_order = _lines(spark, sf_dir).where(F.col("ln") < DEPTH).select(F.col("doc_id").alias("qid"), (F.col("ln") + 1).alias("rank"), "doc_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+    arm = lambda df, name: df.select(F.lit(name).alias("arm"), "qid", "rank", F.col("rank").cast("string").alias("chunk_id"), "doc_id", "s", "e")
+    ranked = arm(by_length, "length").unionByName(arm(in_order, "order")).unionByName(arm(in_order, "judged"))
+    questions = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.col("lang").alias("type"), (F.col("doc_id") % 5 != 0).alias("answerable"))
+    missing = spark.createDataFrame([("judged", "no record")], "arm string, reason string")
+    tables = reports.arm_results(materialized(spans), materialized(ranked), questions, ["length", "order", "judged", "none"], ks=(1, 3, DEPTH), missing=missing)
+    cast = tables["arms"].select("arm", F.coalesce("type", F.lit("all")).alias("type"), F.col("k").cast("long").alias("k"), "n", "recall_strict", "recall_any", "mean_cov", "mrr")
+    skipped = tables["skipped"].select("arm", F.col("reason").alias("type"), *(F.lit(None).cast(t).alias(c) for c, t in (("k", "long"), ("n", "long"), ("recall_strict", "double"), ("recall_any", "double"), ("mean_cov", "double"), ("mrr", "double"))))
+    return cast.unionByName(skipped)
+
+
+def q_chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines stand in for chunks; a document's status follows from its id."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "expired").otherwise("active").alias("status"))
+    lines = _lines(spark, sf_dir).select("doc_id", "ln", F.greatest(F.lit(1), F.length("line")).alias("n_tokens"))
+    found = reports.chunk_report(docs, lines.where("ln % 3 = 1").select("doc_id"), lines)
+    whole = ("n_documents", "n_articles", "n_chunks", "least", "most", "n_active", "n_expired")
+    return found.select(*(F.col(c).cast("long").alias(c) for c in whole), *(F.round(c, 4).alias(c) for c in ("p25", "median", "p75", "active_share", "expired_share")), "skewed")
+
+
 def q_greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines stand in for clauses: packed into groups of 120 to 600 tokens."""
     lines = _lines(spark, sf_dir).where("e > s").select("doc_id", F.struct(F.col("s").cast("int").alias("s"), (F.col("ln") + 1).alias("n"), F.col("e").cast("int").alias("e")).alias("c"))
@@ -145,11 +170,38 @@ c AS (SELECT tau_r, tau_g, count_if(should AND ab)::BIGINT AS tp, count_if(NOT s
 m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0.0 END AS recall FROM c),
 f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM m)"""
 
+_ARMS = f"""{_COV},
+ord AS (SELECT doc_id, s, e, ln + 1 AS rank FROM numbered WHERE ln < 8), arms AS (SELECT 'length' AS arm, * FROM ranked UNION ALL SELECT 'order', doc_id, s, e, rank FROM ord),
+names AS (SELECT unnest(['length', 'order']) AS arm),
+cv AS (SELECT a.arm, p.doc_id AS qid, ix, k, CASE WHEN p.e > p.s THEN coalesce(sum(greatest(0, least(p.e, r.e) - greatest(p.s, r.s))), 0)::DOUBLE / (p.e - p.s) ELSE 0.0 END AS cov
+  FROM spans p CROSS JOIN ks CROSS JOIN names a LEFT JOIN arms r ON r.arm = a.arm AND r.doc_id = p.doc_id AND r.rank <= k WHERE p.doc_id % 5 <> 0 GROUP BY a.arm, p.doc_id, ix, k, p.s, p.e),
+rs AS (SELECT arm, qid, CASE WHEN count(r) = count(*) THEN max(r) END AS r_star FROM (SELECT arm, qid, ix, min(CASE WHEN cov >= 0.8 THEN k END) AS r FROM cv GROUP BY ALL) GROUP BY arm, qid),
+qs AS (SELECT arm, qid, k, bool_and(cov >= 0.8) AS strict, bool_or(cov >= 0.8) AS any_hit, avg(cov) AS mean_cov FROM cv WHERE k IN (1, 3, 8) GROUP BY ALL)"""
+_PACK = f"""WITH RECURSIVE {_LINES},
+c AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS i, greatest(1, round((e - s) / 3.5)) > 600 AS split FROM numbered WHERE e > s),
+f AS (SELECT doc_id, i, 0 AS g, s AS gs, e AS ge, split AS alone FROM c WHERE i = 1
+  UNION ALL SELECT doc_id, i, CASE WHEN fits THEN g ELSE g + 1 END, CASE WHEN fits THEN gs ELSE s END, e, split FROM (
+    SELECT c.*, f.g, f.gs, NOT f.alone AND NOT c.split AND greatest(1, round((f.ge - f.gs) / 3.5)) < 120 AND greatest(1, round((c.e - f.gs) / 3.5)) <= 600 AS fits FROM f JOIN c ON c.doc_id = f.doc_id AND c.i = f.i + 1)),
+g AS (SELECT doc_id, g, min(gs) AS s, max(ge) AS e, bool_or(alone) AS alone FROM f GROUP BY doc_id, g),
+l AS (SELECT *, lead(g) OVER w IS NULL AND g > 0 AS last, lag(alone) OVER w AS before_alone, lag(s) OVER w AS before_s FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY g)),
+m AS (SELECT *, last AND NOT alone AND NOT before_alone AND greatest(1, round((e - s) / 3.5)) < 120 AND greatest(1, round((e - before_s) / 3.5)) <= 600 AS joins FROM l)
+SELECT doc_id, (g - joins::INT)::BIGINT AS i, min(s)::BIGINT AS s, max(e)::BIGINT AS e, bool_or(alone) AS split FROM m GROUP BY doc_id, g - joins::INT"""
+
 QUERIES = {
+    "evaluate_arms": q_evaluate_arms, "chunk_report": q_chunk_report,
     "coverage_curve": q_coverage_curve, "recall_mrr": q_recall_mrr, "greedy_pack": q_greedy_pack, "citation_check": q_citation_check, "support_ratio": q_support_ratio,
     "abstain_f1": q_abstain_f1, "grid_best": q_grid_best, "faithfulness": q_faithfulness, "answer_outcomes": q_answer_outcomes, "rollup_by_type": q_rollup_by_type, "format_counts": q_format_counts,
 }
 SQL = {
+    "evaluate_arms": f"""{_ARMS}
+SELECT arm, coalesce(lang, 'all') AS type, k, count(*) AS n, round(avg(strict::INT), 4) AS recall_strict, round(avg(any_hit::INT), 4) AS recall_any, round(avg(mean_cov), 4) AS mean_cov, round(avg(coalesce(1.0 / r_star, 0)), 4)::DOUBLE AS mrr
+FROM qs JOIN rs USING (arm, qid) JOIN documents d ON d.doc_id = qid GROUP BY GROUPING SETS ((arm, k), (arm, k, lang))
+UNION ALL SELECT * FROM (VALUES ('judged', 'no record', NULL, NULL, NULL, NULL, NULL, NULL), ('none', 'no rows', NULL, NULL, NULL, NULL, NULL, NULL))""",
+    "chunk_report": f"""WITH {_LINES}, c AS (SELECT ln, greatest(1, length(line)) AS n, doc_id % 3 = 0 AS x FROM numbered)
+SELECT (SELECT count(*) FROM documents) AS n_documents, count_if(ln % 3 = 1)::BIGINT AS n_articles, count(*) AS n_chunks, min(n) AS least, max(n) AS most, count_if(NOT x)::BIGINT AS n_active, count_if(x)::BIGINT AS n_expired,
+  round(quantile_cont(n, 0.25), 4) AS p25, round(quantile_cont(n, 0.5), 4) AS median, round(quantile_cont(n, 0.75), 4) AS p75, round(100.0::DOUBLE * count_if(NOT x) / count(*), 1) AS active_share, round(100.0::DOUBLE * count_if(x) / count(*), 1) AS expired_share,
+  quantile_cont(n, 0.75) > 3 * quantile_cont(n, 0.5) AS skewed FROM c""",
+    "greedy_pack": _PACK,
     "coverage_curve": f"{_COV} SELECT qid, span_ix::BIGINT AS span_ix, k, round(cov, 6) AS cov FROM curve",
     "recall_mrr": f"""{_COV},
 r AS (SELECT qid, CASE WHEN count(r) = count(*) THEN max(r) END AS r_star FROM (SELECT qid, span_ix, min(CASE WHEN cov >= 0.8 THEN k END) AS r FROM curve GROUP BY ALL) GROUP BY qid),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.operators import gold, normalize, structure
+from groundspark.operators import chunking, gold, normalize, structure
 from groundspark.plans.retrieval import read
 
 _ROMAN = ("I", "II", "III", "IV")
@@ -71,7 +71,25 @@ def q_corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_articles", "n_chunks", F.round("median_tokens", 4).alias("median_tokens"), F.round("coverage", 6).alias("coverage"), listed("missing"), listed("extra"))
 
 
-QUERIES = {"normalize": q_normalize, "select_articles": q_select_articles, "outline": q_outline, "corpus_audit": q_corpus_audit}
+def q_statute_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _statutes(spark, sf_dir).withColumnRenamed("text", "body")
+    lines = structure.lines(docs)
+    found = structure.articles(lines)
+    clauses = structure.clauses(lines, found)
+    longs = [F.col(c).cast("long").alias(c) for c in ("article_seq", "article_no", "clause_no", "s", "e")]
+    return clauses.select("doc_id", *longs)
+
+
+def q_statute_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the derived statutes, with their texts' digests; whole text under articles is covered, or reading fails."""
+    docs = _statutes(spark, sf_dir).withColumnRenamed("text", "body")
+    lines = structure.lines(docs)
+    found = structure.articles(lines)
+    made = chunking.chunks(structure.clauses(lines, found), docs, found)
+    return made.select("doc_id", "chunk_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), F.col("n_tokens").cast("long").alias("n_tokens"), "is_lead_in", F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {"statute_clauses": q_statute_clauses, "statute_chunks": q_statute_chunks, "normalize": q_normalize, "select_articles": q_select_articles, "outline": q_outline, "corpus_audit": q_corpus_audit}
 
 _T = """src AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 src_l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS x FROM src),
@@ -84,6 +102,17 @@ _HEAD = r"'^(Chương\s+[IVXLCDM]+|Mục\s+\d+|Điều\s+\d+\.)'"
 _STRUCT = r"'^(Chương\s+[IVXLCDM]+|Mục\s+\d+|Điều\s+\d+\.|\d+\.\s|[a-zđ]\)\s)'"
 _FIXES = "translate(nfc_normalize(line), chr(160) || '‘’‚‛“”„‟–—‒―' || chr(65279) || chr(173), ' ''''''''\"\"\"\"----')"
 SQL = {
+    "statute_clauses": rf"""WITH RECURSIVE {_T}, l AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, {_ST} AS st FROM t),
+n AS (SELECT doc_id, i, s, s + length(rtrim(line, ' ')) AS e, st, CASE WHEN regexp_matches(st, '^Điều\s+\d+\.') THEN 'article' WHEN regexp_matches(st, '^(Chương\s+([IVXLCDM]+|\d+)|Mục\s+\d+)\s*$') THEN 'heading' END AS kind FROM l WHERE st <> ''),
+u AS (SELECT *, count(kind) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS unit, count_if(kind = 'article') OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS seq FROM n),
+a AS (SELECT doc_id, unit, seq, regexp_extract(st, '^Điều\s+(\d+)\.', 1)::BIGINT AS no FROM u WHERE kind = 'article'),
+b AS (SELECT u.doc_id, a.seq, a.no, u.i, u.s, u.e, try_cast(regexp_extract(st, '^(\d+)\.\s', 1) AS BIGINT) AS k, lag(u.e) OVER w AS before, row_number() OVER w AS r FROM u JOIN a USING (doc_id, unit) WHERE kind IS NULL WINDOW w AS (PARTITION BY doc_id, a.seq ORDER BY i)),
+z AS (SELECT doc_id, seq, no, min(s) AS first, max(e) AS last FROM b GROUP BY ALL),
+x AS (SELECT p.doc_id, p.seq, p.i, p.k, min(q.i) AS following FROM b p JOIN b q ON q.doc_id = p.doc_id AND q.seq = p.seq AND q.i > p.i AND q.k = p.k + 1 WHERE p.k IS NOT NULL GROUP BY ALL),
+rec AS (SELECT doc_id, seq, 1::BIGINT AS k, min(i) AS i FROM b WHERE k = 1 GROUP BY doc_id, seq UNION ALL SELECT rec.doc_id, rec.seq, rec.k + 1, x.following FROM rec JOIN x ON x.doc_id = rec.doc_id AND x.seq = rec.seq AND x.i = rec.i AND x.k = rec.k),
+c AS (SELECT rec.doc_id, rec.seq, rec.k, b.s, b.before FROM rec JOIN b ON b.doc_id = rec.doc_id AND b.seq = rec.seq AND b.i = rec.i),
+w AS (SELECT doc_id, seq, k, s, before FROM c UNION ALL SELECT z.doc_id, z.seq, 0, first, NULL FROM z LEFT JOIN c ON c.doc_id = z.doc_id AND c.seq = z.seq AND c.k = 1 WHERE c.s IS NULL OR c.s > first)
+SELECT w.doc_id, w.seq::BIGINT AS article_seq, z.no AS article_no, k AS clause_no, w.s, coalesce(lead(before) OVER (PARTITION BY w.doc_id, w.seq ORDER BY k), last)::BIGINT AS e FROM w JOIN z ON z.doc_id = w.doc_id AND z.seq = w.seq""",
     "normalize": rf"""WITH {_T}, c AS (SELECT doc_id, i, {_FIXES} AS line FROM t), s AS (SELECT *, {_ST} AS st FROM c),
 n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, st) AS times FROM s),
 o AS (SELECT doc_id, count(*) AS raw, count_if(st <> '' AND times > 3) > 0 AS often, count_if((st <> '' AND times > 3) OR regexp_matches(st, '^\d+$')) AS noise FROM n GROUP BY doc_id),
