@@ -151,6 +151,6 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     counted = with_counts(docs.select("doc_id", "text"), ["doc_id"])
     score = fit(written(with_features(counted, ["doc_id"])), labels).score()
-    columns = docs.columns
-    own = with_features(with_counts(docs, columns), columns)
-    return own.where(score >= 0.5).select(*columns)
+    own = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called, they keep clear of counts and features
+    rows = docs.toDF(*own).withColumn("text", F.col(own[[c.lower() for c in docs.columns].index("text")]))
+    return with_features(with_counts(rows, own), own).where(score >= 0.5).select(*own).toDF(*docs.columns)

@@ -102,7 +102,10 @@ def decode_png(media: bytes) -> np.ndarray:
         at += 12 + size
     if head is None or not ended or head[2:] != (8, 0, 0, 0, 0):
         raise ValueError("not a whole 8-bit greyscale PNG")
-    raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
+    try:
+        raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
+    except zlib.error as bad:
+        raise ValueError("broken zlib data") from bad
     if len(raw) != head[1] * (head[0] + 1):
         raise ValueError("wrong size")
     return unfiltered(raw.reshape(head[1], head[0] + 1))
