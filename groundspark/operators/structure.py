@@ -113,15 +113,3 @@ def scope(numbered: DataFrame) -> DataFrame:
     cut = numbered.withColumn("_a", first).where(F.col("_a").isNull() | (F.col("ln") >= F.col("_a")))
     tail = F.min(F.when(strip(F.col("line")).rlike(TAIL), F.col("ln"))).over(whole)
     return cut.withColumn("_z", tail).where(F.col("_z").isNull() | (F.col("ln") < F.col("_z"))).drop("_a", "_z")
-
-
-def join_wrapped(numbered: DataFrame) -> DataFrame:
-    """(doc_id, ln, line): lines put on the line before them unless blank, structural, or that one is a heading or ends a sentence."""
-    text = strip(F.col("line"))
-    heading = text.rlike(RAW_HEADINGS)
-    typed = numbered.select("doc_id", "ln", text.alias("line"), (heading | text.rlike(r"^\d+\.\s") | text.rlike(POINT)).alias("mark"), heading.alias("heading"))
-    order = Window.partitionBy("doc_id").orderBy("ln")
-    last = F.lag("line").over(order)
-    joins = (F.col("line") != "") & ~F.col("mark") & (last != "") & ~F.lag("heading").over(order) & ~last.rlike("[.;:!?]$")
-    group = typed.withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("_g", F.sum("_new").over(order))
-    return group.groupBy("doc_id", "_g").agg(F.min("ln").alias("ln"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), " ").alias("line")).drop("_g")
