@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,12 +22,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 _MASK = (1 << 64) - 1
 
 
+@cache
+def _own_folder() -> str:
+    """A folder of this process, gone with it: for tests and single machines only."""
+    folder = tempfile.mkdtemp(prefix="groundspark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches by rows, and gives checkpoints a folder where the cluster names none (tests)."""
+    """Bounds Arrow batches by rows, and gives checkpoints the folder that the cluster names; only a local session may do without one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "groundspark-checkpoints"))
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: tasks need a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(shared or _own_folder())
 
 
 def written(df: DataFrame, compression: str = "snappy", **options) -> DataFrame:
@@ -62,7 +73,7 @@ def n_words(text: Column) -> Column:
 
 
 def row_key(*columns: Column) -> Column:
-    """64 bits that stand for a row; used to bring rows of one document together, never as proof of equality."""
+    """64 bits that stand for a row where its columns can't be joined on; two rows that share them would be taken for one."""
     return F.xxhash64(*columns)
 
 

@@ -1,9 +1,10 @@
-"""Exact Jaccard join on word shingles by vertical partitioning of the global shingle order.
+"""Exact Jaccard join on word shingles over fragments of the global shingle order.
 
 The global order (a hash, with frequent shingles last) is cut: a document's first shingles, as many as a partner must
-meet, give candidates; the order's FRAGMENTS then count partial overlaps of each candidate pair separately, and the
-counts are summed per pair. Groups of near copies are never expanded into all pairs: each shingle's documents are first
-held against one leader, and only pairs that those links leave in different components are compared after that.
+meet, give candidates. The overlap of a candidate pair is counted from both whole texts where they meet, split by the
+order's FRAGMENTS, and the parts are summed per pair; fragments aren't counted in places of their own, as the README
+says. Groups of near copies are never expanded into all pairs: each shingle's documents are first held against one
+leader, and only pairs that those links leave in different components are compared after that.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def _unsorted(order: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial overlaps of each pair of texts, by fragment of the order, and sizes."""
+    """The overlap of each pair of texts, split by fragment of the order, and sizes."""
     for batch in batches:
         sets = []
         for side in ("left", "right"):

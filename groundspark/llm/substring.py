@@ -1,10 +1,9 @@
-"""Exact substring deduplication of words by relative Lempel-Ziv parsing.
+"""Exact substring deduplication of words by blocks of windows, in the manner of relative Lempel-Ziv parsing.
 
 The reference is the whole corpus, cut into blocks: all windows of WINDOW words that share their least anchor (a hash
-of ANCHOR words) form a block, and equal windows always lie in blocks of equal anchors. A document is parsed greedily
-against the index of all blocks: a block that an earlier document holds too is a factor as a whole; at factor
-boundaries, where a block is new but its anchor isn't, each window is looked up by itself. Neighbouring factors join
-into one long factor, whose words go.
+of ANCHOR words) form a block, and equal windows always lie in blocks of equal anchors. A block that an earlier document
+holds too goes as a whole; where a block is new but its anchor isn't, each window is looked up by itself. Blocks are
+told by hashes of their windows, not as (position, length) factors of a reference, as the README says.
 """
 
 from __future__ import annotations

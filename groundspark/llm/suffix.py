@@ -1,10 +1,10 @@
-"""Exact byte-level deduplication with run-length positional Burrows-Wheeler transforms.
+"""Exact byte-level deduplication over aligned segments, each block of them in positional prefix order.
 
 Equal strings of LENGTH bytes have the same least anchor (a hash of ANCHOR bytes) at the same offset. All strings
-whose anchor occurs more than once go, as aligned segments, to the index block of their anchor. A block's transform is
-built column by column: the segments' order by reversed prefix is kept as runs (equal segments are one row, and a
-column in which no run breaks changes nothing), with the run ends' divergences sampled at each break. Matching
-statistics stream out of it: a segment's longest match that ends at a column is the one with a neighbour in that order.
+whose anchor occurs more than once go, as aligned segments, to the block of their anchor. A block is sorted column by
+column: the order of its segments by reversed prefix and the divergence of each from its neighbour are whole arrays
+for each column, and a segment's longest match that ends at a column is the one with a neighbour in that order. No
+run-compressed transform with sampled run ends is built, as the README says.
 """
 
 from __future__ import annotations
