@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from groundspark.functions.answers import chunk_id, clause_range
 from groundspark.functions.text import strip
@@ -90,10 +88,66 @@ def overlapping_parts(text: str, most: int = MOST, share: float = OVERLAP) -> li
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))
-def split_oversize(texts: pd.Series) -> pd.Series:
-    """Parts of clauses that are too long for a chunk; the only step of chunking that leaves the JVM."""
-    return texts.map(lambda t: [] if t is None else [{"s": s, "e": e} for s, e in overlapping_parts(t)])
+#: The same mark as a Java pattern: what a text up to and with it is, and what comes before it.
+_MARK = "[.!?]+[\"'”’)\\]]*\\s+"
+_SPAN = "struct<s:int,e:int>"
+
+
+def _none() -> Column:
+    return F.expr(f"cast(array() as array<{_SPAN}>)")
+
+
+def _ends_sentence(piece: Column, before: Column) -> Column:
+    """Whether a piece that a mark ends is the end of a sentence; see `ends_no_sentence`. A line feed right before the mark hides no word."""
+    stem = F.regexp_extract(F.concat(before, F.regexp_extract(piece, f"(?sU)^(.*?){_MARK}\\z", 1)), "(?dU)(\\S+)$", 1)
+    number, capital = stem.rlike("^[\\p{Nd}²³¹⁰-⁹₀-₉]+\\z"), stem.rlike("^\\p{Lu}\\z")
+    return piece.rlike(f"(?sU){_MARK}\\z") & (stem != "") & ~F.concat(F.lower(stem), F.lit(".")).isin(*ABBREVIATIONS) & ~number & ~capital
+
+
+def with_sentences(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with the gap-free sentence spans (array of struct s, e) of a column; blanks after a sentence belong to it; null for null."""
+    pieces = rows.withColumn("_raw", F.regexp_extract_all(text, F.lit(f"(?sU).*?{_MARK}|.+\\z"), F.lit(0)))
+    last = F.size("_raw") - 1
+    sized = pieces.withColumn("_pieces", F.transform("_raw", lambda p, i: F.struct(F.length(p).alias("n"), (_ends_sentence(p, F.coalesce(F.get("_raw", i - 1), F.lit(""))) | (i == last)).alias("ends"))))
+    state = f"struct<start:int,at:int,out:array<{_SPAN}>>"
+    start = F.struct(F.lit(0).alias("start"), F.lit(0).alias("at"), _none().alias("out")).cast(state)
+
+    def add(so_far: Column, p: Column) -> Column:
+        at = so_far["at"] + p["n"]
+        done = F.concat(so_far["out"], F.array(F.struct(so_far["start"].alias("s"), at.alias("e")).cast(_SPAN)))
+        return F.when(p["ends"], F.struct(at.alias("start"), at.alias("at"), done.alias("out")).cast(state)).otherwise(F.struct(so_far["start"].alias("start"), at.alias("at"), so_far["out"].alias("out")).cast(state))
+
+    return sized.withColumn(name, F.aggregate("_pieces", start, add, lambda x: x["out"])).drop("_raw", "_pieces")
+
+
+def packed_sentences(spans: str, most: int = MOST, share: float = OVERLAP) -> Column:
+    """Runs of whole sentences (a column of spans) up to `most` tokens; each begins so far back that `share` of `most` is in common.
+
+    A fold over the sentences: one that doesn't fit closes the run, and the next run begins as far back as it should;
+    if the sentence still doesn't fit, that run is closed as well, and so on up to the sentence itself.
+    """
+    span = lambda k: F.get(spans, k)
+    cost = lambda i, j: tokens_between(span(i)["s"], span(j)["e"])
+    state = f"struct<i:int,out:array<{_SPAN}>>"
+    made = lambda i, out: F.struct(i.alias("i"), out.alias("out")).cast(state)
+    run = lambda i, j: F.struct(span(i)["s"].alias("s"), span(j)["e"].alias("e")).cast(_SPAN)
+
+    def add(so_far: Column, j: Column) -> Column:
+        def close(x: Column, _: Column) -> Column:
+            back = F.array_max(F.filter(F.sequence(x["i"] + 1, F.greatest(j - 1, x["i"] + 1)), lambda k: (k < j) & (cost(k, j - 1) >= share * most)))
+            full = (j > x["i"]) & (cost(x["i"], j) > most)
+            return F.when(full, made(F.coalesce(back, x["i"] + 1), F.concat(x["out"], F.array(run(x["i"], j - 1))))).otherwise(x)
+
+        return F.aggregate(F.sequence(so_far["i"], F.greatest(j, so_far["i"])), so_far, close)
+
+    places = F.sequence(F.lit(0), F.size(spans) - 1)
+    whole = F.aggregate(places, made(F.lit(0), _none()), add, lambda x: F.concat(x["out"], F.array(run(x["i"], F.size(spans) - 1))))
+    return F.when(F.size(spans) > 0, whole).otherwise(_none())
+
+
+def with_parts(rows: DataFrame, text: str, name: str, most: int = MOST, share: float = OVERLAP) -> DataFrame:
+    """rows with the parts (array of struct s, e) of a text that is too long for a chunk; none for null and empty texts."""
+    return with_sentences(rows, text, "_sentences").withColumn(name, packed_sentences("_sentences", most, share)).drop("_sentences")
 
 
 def chunks(clauses: DataFrame, bodies: DataFrame, articles: DataFrame) -> DataFrame:
@@ -112,7 +166,8 @@ def chunks(clauses: DataFrame, bodies: DataFrame, articles: DataFrame) -> DataFr
     groups = of.select("*", F.posexplode(F.when(F.col("c").isNull(), headers).otherwise(packed(F.col("c")))).alias("group", "g")).drop("c").join(bodies, "doc_id")
     text = F.substring(F.col("body"), F.col("g.s") + 1, F.col("g.e") - F.col("g.s"))
     whole = F.array(F.struct(F.lit(0).alias("s"), (F.col("g.e") - F.col("g.s")).alias("e")))
-    parts = groups.withColumn("parts", F.when(F.col("g.split"), split_oversize(F.when(F.col("g.split"), text))).otherwise(whole))
+    parts = with_parts(groups.withColumn("_long", F.when(F.col("g.split"), text)), "_long", "_cut")
+    parts = parts.withColumn("parts", F.when(F.col("g.split"), F.col("_cut")).otherwise(whole)).drop("_long", "_cut")
     each = parts.select("*", F.posexplode("parts").alias("part", "p"))
     each = each.withColumn("s", F.when((F.col("group") == 0) & (F.col("part") == 0), F.col("header_s").cast("int")).otherwise(F.col("g.s") + F.col("p.s")))
     each = each.withColumn("e", F.col("g.s") + F.col("p.e")).withColumn("clause_range", clause_range(F.col("g.first"), F.col("g.last")))

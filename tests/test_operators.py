@@ -82,6 +82,18 @@ def test_packing_never_splits_and_merges():
     assert chunking.sentences("Theo TP. Hà Nội. Hết") == [(0, 17), (17, 20)]
 
 
+def test_sentences_and_parts_in_the_jvm_are_those_of_plain_python(spark):
+    rng = random.Random(9)
+    pieces = ["Câu một. ", "TP. ", "Điều 5. ", "A. ", "hết! ", '"Ừ?" ', "v.v. ", "3.5 ", "...\n", "từ ", "dài " * 30, ". ", "x.y ", "ông B.\u00a0", "² . ", "Nđ. ", "!?)] ", "cuối"]
+    texts = ["".join(rng.choices(pieces, k=rng.choice([0, 1, 3, 20, 60]))) for _ in range(300)] + ["", None, "một" * 3000, "Câu. " * 400]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for most, share in ((600, 0.15), (20, 0.15), (40, 0.5)):
+        got = chunking.with_parts(chunking.with_sentences(rows, "t", "sentences"), "t", "parts", most, share).orderBy("k").collect()
+        for r, t in zip(got, texts, strict=True):
+            assert [tuple(x) for x in r["sentences"] or []] == chunking.sentences(t or ""), t
+            assert [tuple(x) for x in r["parts"]] == chunking.overlapping_parts(t or "", most, share), (most, t)
+
+
 def test_interval_union_against_sets(spark):
     rng = random.Random(5)
     rows = [(g, rng.randint(0, 40), rng.randint(0, 40)) for g in range(20) for _ in range(6)]
