@@ -163,12 +163,12 @@ def chunks(clauses: DataFrame, bodies: DataFrame, articles: DataFrame) -> DataFr
     ))
     of = articles.select("doc_id", "article_seq", "article_no", "title", "chapter", "section", "header_s", "header_e").join(per, ["doc_id", "article_seq"], "left")
     of = of.withColumn("divided", F.coalesce(F.exists("c", lambda c: c["n"] > 0), F.lit(False)))
-    groups = of.select("*", F.posexplode(F.when(F.col("c").isNull(), headers).otherwise(packed(F.col("c")))).alias("group", "g")).drop("c").join(bodies, "doc_id")
+    groups = of.select("*", F.posexplode_outer(F.when(F.col("c").isNull(), headers).otherwise(packed(F.col("c")))).alias("group", "g")).where("g is not null").drop("c").join(bodies, "doc_id")
     text = F.substring(F.col("body"), F.col("g.s") + 1, F.col("g.e") - F.col("g.s"))
     whole = F.array(F.struct(F.lit(0).alias("s"), (F.col("g.e") - F.col("g.s")).alias("e")))
     parts = with_parts(groups.withColumn("_long", F.when(F.col("g.split"), text)), "_long", "_cut")
     parts = parts.withColumn("parts", F.when(F.col("g.split"), F.col("_cut")).otherwise(whole)).drop("_long", "_cut")
-    each = parts.select("*", F.posexplode("parts").alias("part", "p"))
+    each = parts.select("*", F.posexplode_outer("parts").alias("part", "p")).where("p is not null")  # outer, as Spark else filters by all of the above once more
     each = each.withColumn("s", F.when((F.col("group") == 0) & (F.col("part") == 0), F.col("header_s").cast("int")).otherwise(F.col("g.s") + F.col("p.s")))
     each = each.withColumn("e", F.col("g.s") + F.col("p.e")).withColumn("clause_range", clause_range(F.col("g.first"), F.col("g.last")))
     return each.select(

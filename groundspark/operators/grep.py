@@ -30,7 +30,8 @@ def _grams(rows: DataFrame, text: str) -> DataFrame:
 
 def gram_index(documents: DataFrame) -> DataFrame:
     """(gram, doc_id) of folded documents: the distinct runs of one to Q characters of each. Can be kept beside the documents."""
-    shorter = [F.transform("_grams", lambda g, n=n: F.substring(g, 1, n)) for n in range(1, Q)]
+    cut = lambda n: F.transform("_grams", lambda g: F.substring(g, 1, n))
+    shorter = [cut(n) for n in range(1, Q)]
     rows = _grams(documents.where("folded != ''").select("doc_id", "folded"), "folded")
     return rows.select("doc_id", F.explode_outer(F.array_distinct(F.concat("_grams", *shorter))).alias("gram"))
 
@@ -42,7 +43,7 @@ def candidates(needles: DataFrame, index: DataFrame) -> DataFrame:
     """
     rows = _grams(needles.where("needle != ''"), "needle")
     whole = F.when(F.length("needle") <= Q, F.array("needle")).otherwise(F.filter("_grams", lambda g: F.length(g) == Q))
-    wanted = rows.select("needle_id", "needle", F.explode(whole).alias("gram"))
+    wanted = rows.select("needle_id", "needle", F.explode_outer(whole).alias("gram")).where("gram is not null")
     postings = materialized(index.join(wanted.select("gram").distinct(), "gram", "left_semi"))
     counts = postings.groupBy("gram").agg(F.count("*").alias("df"))
     rarest = wanted.join(counts, "gram", "left").groupBy("needle_id", "needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("m"))
@@ -62,7 +63,7 @@ def grep(needles: DataFrame, docs: DataFrame, accents: bool = False, width: int
     pairs = candidates(sought, index if index is not None else gram_index(documents))
     found = pairs.join(documents.select("doc_id", "folded"), "doc_id").where(F.contains("folded", F.col("needle")))
     pieces = F.split("folded", F.concat(F.lit("(?="), literal_pattern(F.col("needle")), F.lit(")")), -1)
-    cut = found.select("needle_id", "doc_id", F.length("needle").alias("n"), F.startswith("folded", "needle").alias("at_once"), F.posexplode(pieces).alias("i", "piece"))
+    cut = found.select("needle_id", "doc_id", F.length("needle").alias("n"), F.startswith("folded", "needle").alias("at_once"), F.posexplode_outer(pieces).alias("i", "piece"))
     sizes = cut.select("needle_id", "doc_id", "n", "at_once", "i", F.length("piece").alias("size"))
     before = Window.partitionBy("needle_id", "doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     hits = sizes.withColumn("p", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int")).where((F.col("i") > 0) | F.col("at_once"))

@@ -168,7 +168,7 @@ def outline(docs: DataFrame) -> DataFrame:
         F.filter("_units", lambda u: u["kind"] == "article"),
         lambda u: F.struct(above(u["at"]).alias("chapter"), u["no"].alias("article_no"), strip(F.regexp_extract(u["head"], RAW_ARTICLE, 2)).alias("title"), F.slice(u["own"], F.lit(2), F.size(u["own"])).alias("own")),
     )
-    each = rows.select("doc_id", F.posexplode(found).alias("seq", "a")).select("doc_id", (F.col("seq") + 1).alias("seq"), "a.*")
+    each = rows.select("doc_id", F.posexplode_outer(found).alias("seq", "a")).where("a is not null").select("doc_id", (F.col("seq") + 1).alias("seq"), "a.*")
     each = each.withColumn("_clauses", _integers(F.col("own"), RAW_CLAUSE)).withColumn("n_tokens", token_estimate(F.array_join("own", "\n")))
     n = F.size("_clauses")
     numbered = F.concat(F.lit("["), F.array_join(F.col("_clauses").cast("array<string>"), ", "), F.lit("]"))
