@@ -1,22 +1,25 @@
-"""Exact Jaccard join on word shingles over fragments of the global shingle order.
-
-The global order (a hash, with frequent shingles last) is cut: a document's first shingles, as many as a partner must
-meet, give candidates. The overlap of a candidate pair is counted from both whole texts where they meet, split by the
-order's FRAGMENTS, and the parts are summed per pair; fragments aren't counted in places of their own, as the README
-says. Groups of near copies are never expanded into all pairs: each shingle's documents are first held against one
-leader, and only pairs that those links leave in different components are compared after that.
+"""Exact Jaccard join on word shingles by vertical partitioning of the global shingle order.
+
+The global order (a hash, with frequent shingles last) is cut into FRAGMENTS ranges of the hash. A document's first
+shingles, as many as a partner must meet, give candidates; parity bits of each fragment bound from above what two
+documents share in it, and drop the pairs whose bounds don't sum to the similarity. What is left is counted by fragment:
+a document's shingles in a fragment are a row of their own, overlaps are counted where rows of the same fragment meet,
+and the parts are summed per pair. Groups of near copies are never expanded into all pairs: each shingle's documents are
+held against one leader, then, while that links, one document of each of its components against another of the largest
+one. Documents of different components that remain are compared in full, if the bounds allow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import Words, components, free_names, full_text, grams, mixed, prepare, sequence_hashes, slices, text_bytes, written
+from groundspark.llm.common import Words, components, free_names, full_text, grams, mixed, prepare, sequence_hashes, signed, slices, text_bytes, written
 
 SHINGLE, SIMILARITY, FRAGMENTS = 5, 75, 8
 #: Shingles that go last in the global order, at most: those most frequent by counts within a task's documents. They
@@ -24,9 +27,16 @@ SHINGLE, SIMILARITY, FRAGMENTS = 5, 75, 8
 FREQUENT = 50_000
 _DOCS_COUNTED, _OFTEN = 2000, 4
 _BITS = 52
+_FRAGMENT_BITS = _BITS - 3
+#: Words of 64 parity bits a document has: two for each fragment.
+SIGNS = 2 * FRAGMENTS
+_SIGN_BITS = _BITS - 4
 _LATE = 2**63 - 1
 
 
+_SIGN_NAMES = [f"w{k}" for k in range(SIGNS)]
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(text, shingle) of the distinct shingles of fewer than 4096 texts, ascending; shingles as 52-bit hashes."""
     w = Words(data, offsets, (0,), lower=True)
@@ -48,9 +58,10 @@ def _sets(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's set: its size and 128 bits that stand for it."""
+    """Each text's set: its size, 128 bits that stand for it, and its parity bits: each shingle flips one of its fragment's."""
     for batch in batches:
         n, s1, s2 = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
+        signs = np.zeros(batch.num_rows * SIGNS, np.uint64)
         for lo, hi, doc, token in _sets(batch.column("text")):
             n[lo:hi] = np.bincount(doc, minlength=hi - lo)
             some = np.flatnonzero(n[lo:hi])
@@ -58,9 +69,11 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.searchsorted(doc, some)
                 s1[lo + some] = np.add.reduceat(mixed(token.astype(np.uint64)), at)
                 s2[lo + some] = np.add.reduceat(mixed(~token.astype(np.uint64)), at)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("did"), batch.column("doc_id"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], ["did", "doc_id", "n", "s1", "s2"]
-        )
+                word = (lo + doc) * SIGNS + (token >> _SIGN_BITS)  # ascending, as shingles are
+                first = np.flatnonzero(np.diff(word, prepend=-1))
+                signs[word[first]] = np.bitwise_xor.reduceat(np.uint64(1) << (token & 63).astype(np.uint64), first)
+        columns = [signed(np.ascontiguousarray(x)) for x in (n, s1, s2, *signs.reshape(-1, SIGNS).T)]
+        yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("doc_id"), *columns], ["did", "doc_id", "n", "s1", "s2", *_SIGN_NAMES])
 
 
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,36 +131,68 @@ def _unsorted(order: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The overlap of each pair of texts, split by fragment of the order, and sizes."""
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's shingles of each fragment, empty ones too; v tells texts of one document apart."""
     for batch in batches:
-        sets = []
-        for side in ("left", "right"):
-            own = []
-            for lo, hi, doc, token in _sets(batch.column(side)):
-                cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                own += [token[cut[k] : cut[k + 1]] for k in range(hi - lo)]
-            sets.append(own)
-        common = [np.intersect1d(x, y, assume_unique=True) for x, y in zip(*sets, strict=True)]
-        pair = np.repeat(np.arange(batch.num_rows), FRAGMENTS)
-        partial = np.array([np.bincount(c >> (_BITS - 3), minlength=FRAGMENTS) for c in common], np.int64).reshape(-1)
-        take = pa.array(pair)
-        sizes = [pa.array(np.array([len(x) for x in side], np.int64)[pair]) for side in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a").take(take), batch.column("b").take(take), *sizes, pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), batch.num_rows)), pa.array(partial)],
-            ["a", "b", "n_a", "n_b", "fragment", "partial"],
-        )
+        for lo, hi, doc, token in _sets(batch.column("text")):
+            docs = hi - lo
+            ends = np.cumsum(np.bincount(doc * FRAGMENTS + (token >> _FRAGMENT_BITS), minlength=docs * FRAGMENTS))
+            offsets = np.concatenate(([0], ends)).astype(np.int32)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(token.astype(np.uint64)), dtype=np.uint64)))
+            v = sums[offsets[FRAGMENTS::FRAGMENTS]] - sums[offsets[:-1:FRAGMENTS]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("did").slice(lo, docs).take(pa.array(np.repeat(np.arange(docs), FRAGMENTS))),
+                    signed(np.repeat(v, FRAGMENTS)),
+                    pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), docs)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(token)),
+                ],
+                ["did", "v", "fragment", "tokens"],
+            )
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) that are similar, by partial overlaps summed per pair."""
-    left = texts.select(F.col("did").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("did").alias("b"), F.col("text").alias("right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    counted = both.mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, fragment int, partial long")
-    summed = counted.groupBy("a", "b").agg(F.sum("partial").alias("common"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.count("*").alias("rows"))
-    common = F.col("common") * FRAGMENTS / F.col("rows")  # repeated rows of a document count once
-    return summed.where(100 * common >= similarity * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+    """The pairs (a, b) that are similar, by overlaps counted in each fragment and summed per pair."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct()
+    segments = written(texts.join(ends, "did", "left_semi").mapInArrow(_segments, "did long, v long, fragment int, tokens array<long>"))
+    of = lambda end: segments.select(F.col("did").alias(end), "fragment", F.col("v").alias(f"v{end}"), F.col("tokens").alias(f"t{end}"))
+    met = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))).join(of("a"), ["a", "fragment"]).join(of("b"), ["b", "fragment"])
+    partial = met.select("a", "b", "va", "vb", F.size(F.array_intersect("ta", "tb")).alias("common"), (F.size("ta") + F.size("tb")).alias("n"))
+    # Repeated rows of a document multiply both sums alike.
+    summed = partial.groupBy("a", "b", "va", "vb").agg(F.sum("common").alias("common"), F.sum("n").alias("n"))
+    return summed.where((100 + similarity) * F.col("common") >= similarity * F.col("n")).select("a", "b").distinct()
+
+
+def _allowed(x: str, y: str, similarity: int) -> Column:
+    """Whether the fragments' parity bits leave room: bits that differ are at most the shingles that only one side has.
+
+    Sizes and bits are columns n and w0, w1, ... after the prefixes x and y; where they are null, anything is possible.
+    """
+    differ = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{x}{w}").bitwiseXOR(F.col(f"{y}{w}"))) for w in _SIGN_NAMES))
+    both = F.col(f"{x}n") + F.col(f"{y}n")
+    return F.coalesce((100 + similarity) * (both - differ) >= 2 * similarity * both, F.lit(True))
+
+
+def _named(signs: DataFrame, end: str, name: str) -> DataFrame:
+    return signs.select(F.col("did").alias(name), *(F.col(c).alias(f"{end}{c}") for c in ("n", *_SIGN_NAMES)))
+
+
+def _mixed(posts: DataFrame, label: DataFrame) -> DataFrame:
+    """The posts of shingles whose documents are in several components, c."""
+    own = label.withColumnRenamed("node", "did")
+    placed = posts.select("token", "did", "n", "e").join(own, "did", "left").withColumn("c", F.coalesce("component", "did")).drop("component")
+    split = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+    return placed.join(split, "token")
+
+
+def _turn_pairs(rest: DataFrame, turn: int, similarity: int) -> DataFrame:
+    """(a, b): for each shingle, a document of each component and another of the largest one; other ones in each turn."""
+    by = F.xxhash64(F.lit(turn), "did")
+    one = rest.groupBy("token", "c").agg(F.min_by(F.struct("did", "n", "e"), by).alias("x"), F.max_by(F.struct("did", "n", "e"), by).alias("y"), F.count("*").alias("m"))
+    centre = one.groupBy("token").agg(F.max_by(F.struct("c", "y"), F.struct("m", F.xxhash64(F.lit(turn), "c"))).alias("o"))
+    met = one.join(centre, "token").where(F.col("c") != F.col("o.c"))
+    met = met.where(_possible(F.col("x.n"), F.col("x.e"), F.col("o.y.n"), F.col("o.y.e"), similarity))
+    return met.select(F.least("x.did", "o.y.did").alias("a"), F.greatest("x.did", "o.y.did").alias("b")).distinct()
 
 
 def _possible(n1: Column, e1: Column, n2: Column, e2: Column, similarity: int) -> Column:
@@ -168,7 +213,7 @@ def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), full_text().alias("text"))
     stand_in = F.lit(_LATE) - F.shiftrightunsigned(F.xxhash64("text"), 24)
     base = base.select(F.coalesce("doc_id", stand_in).alias("did"), "doc_id", "text")
-    described = written(base.mapInArrow(_described, "did long, doc_id long, n long, s1 long, s2 long"))
+    described = written(base.mapInArrow(_described, "did long, doc_id long, n long, s1 long, s2 long, " + ", ".join(f"{w} long" for w in _SIGN_NAMES)))
     sets = written(described.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("did").alias("rep"), F.count("*").alias("copies")))
     texts = base.select("did", "text")
     often = texts.mapInArrow(_often, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -186,26 +231,35 @@ def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     posts = written(posts.select("token", "did", "n", "e", rank.alias("rank")))
     leader = posts.groupBy("token").agg(F.max_by("did", "rank").alias("a"), F.max_by("n", "rank").alias("n_a"), F.max_by("e", "rank").alias("e_a"), F.count("*").alias("m")).where("m > 1")
     to_leader = posts.withColumnRenamed("did", "b").join(leader, "token").where("a != b").where(_possible(F.col("n"), F.col("e"), F.col("n_a"), F.col("e_a"), similarity))
-    first_pairs = written(to_leader.select("a", "b").distinct())
-    first_links = written(_verified(first_pairs, texts, similarity))
-
-    label = components(first_links)
-    placed = posts.join(label.withColumnRenamed("node", "did"), "did", "left").withColumn("c", F.coalesce("component", "did")).drop("component", "rank")
-    split = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    rest = written(placed.join(split, "token"))
-    x = rest.select("token", F.col("did").alias("a"), F.col("n").alias("n1"), F.col("e").alias("e1"), F.col("c").alias("c1"))
-    y = rest.select("token", F.col("did").alias("b"), F.col("n").alias("n2"), F.col("e").alias("e2"), F.col("c").alias("c2"))
-    apart = (F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _possible(F.col("n1"), F.col("e1"), F.col("n2"), F.col("e2"), similarity)
-    met_in = x.join(y, (x["token"] == y["token"]) & apart).groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("c"))
+    single = F.min("s1") == F.max("s1")  # texts that share a doc_id have no bits in common
+    signs = described.where("n > 0").groupBy("did").agg(*(F.when(single, F.min(c)).alias(c) for c in ("n", *_SIGN_NAMES)))
+    signs = written(signs.join(sets.select(F.col("rep").alias("did")), "did", "left_semi"))
+    bounded = lambda pairs: pairs.join(_named(signs, "x", "a"), "a").join(_named(signs, "y", "b"), "b").where(_allowed("x", "y", similarity)).select("a", "b")
+
+    seen = written(bounded(to_leader.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    links = written(_verified(seen, texts, similarity))
+    label = components(links)
+    rest, turn, found = written(_mixed(posts, label)), 0, True
+    while found:  # each turn meets as many pairs as shingles have components
+        turn += 1
+        pairs = written(bounded(_turn_pairs(rest, turn, similarity).join(seen, ["a", "b"], "left_anti")))
+        more = written(_verified(pairs, texts, similarity))
+        seen = seen.unionByName(pairs)
+        if found := more.limit(1).count() > 0:
+            links = links.unionByName(more)
+            label = components(links)
+            rest = written(_mixed(rest, label))
+
+    side = lambda x, end: rest.join(_named(signs, x, "did"), "did").select("token", F.col("did").alias(end), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "e", "c")), *(f"{x}{c}" for c in ("n", *_SIGN_NAMES)))
+    apart = (F.col("a") < F.col("b")) & (F.col("x_c") != F.col("y_c")) & _possible(F.col("x_n"), F.col("x_e"), F.col("y_n"), F.col("y_e"), similarity)
+    left, right = side("x", "a"), side("y", "b").withColumnRenamed("token", "other")
+    met_in = left.join(right, (left["token"] == right["other"]) & apart & _allowed("x", "y", similarity)).groupBy("a", "b", "x_n", "y_n").agg(F.count("*").alias("c"))
     # Past the shorter reach of the two prefixes, which share c, a document has at most its shingles after its prefix.
     after = lambda n: F.ceil(F.col(n) * similarity / 100) - 1
-    enough = (100 + similarity) * (F.col("c") + F.greatest(after("n1"), after("n2"))) >= similarity * (F.col("n1") + F.col("n2"))
-    more = met_in.where(enough).select("a", "b").distinct()
-    seen = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(more.join(seen, ["a", "b"], "left_anti"))
-    links = first_links
+    enough = (100 + similarity) * (F.col("c") + F.greatest(after("x_n"), after("y_n"))) >= similarity * (F.col("x_n") + F.col("y_n"))
+    more = written(met_in.where(enough).select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        links = first_links.unionByName(written(_verified(more, texts, similarity)))
+        links = links.unionByName(written(_verified(more, texts, similarity)))
 
     component = components(links)
     named = sets.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))

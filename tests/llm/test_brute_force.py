@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,58 @@ def test_groups_near_the_threshold(spark):
     assert jaccard.similar_groups(table).count() == len(ids)
 
 
+def test_fragments_bounds_and_sums():
+    """Parity bits never promise less than two texts share; the fragments' shingles are the whole set, cut by range."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(400)}" for _ in range(900)]
+    texts = [" ".join(base[: rng.choice([3, 60, 900])] + [f"y{k}" for k in range(rng.randrange(40))]) for _ in range(40)] + [""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["did", "doc_id", "text"])
+    (described,) = jaccard._described(iter([batch]))
+    (segments,) = jaccard._segments(iter([batch]))
+    sets = [set() for _ in texts]
+    for row in segments.to_pylist():
+        assert all(t >> jaccard._FRAGMENT_BITS == row["fragment"] for t in row["tokens"])
+        sets[row["did"]] |= set(row["tokens"])
+    rows = described.to_pylist()
+    assert [r["n"] for r in rows] == [len(s) for s in sets] and segments.num_rows == len(texts) * jaccard.FRAGMENTS
+    near = 0
+    for a, x in enumerate(rows):
+        for b, y in enumerate(rows[:a]):
+            differ = sum(((x[f"w{k}"] ^ y[f"w{k}"]) & (2**64 - 1)).bit_count() for k in range(jaccard.SIGNS))
+            assert differ <= len(sets[a] ^ sets[b])
+            near += differ > len(sets[a] ^ sets[b]) // 2
+    assert near > 100
+
+
+def test_a_large_group_around_the_threshold(spark):
+    """Hundreds of variants of one text that share shingles in its prefixes, most of them on no side of 0.75 for long."""
+    rng = random.Random(5)
+    base = [f"v{k}" for k in range(70)]
+    texts = []
+    for _ in range(260):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            own[rng.randrange(len(own))] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(66)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(table).collect()}
+    expected = {k: find(k) for k in range(len(texts))}
+    assert got == expected and 3 < len(set(expected.values())) < 250
+
+
 def naive_filter(image, kind):
     """A filter type for each row, as the PNG specification has them, byte by byte."""
     out = np.zeros((image.shape[0], image.shape[1] + 1), np.uint8)
