@@ -5,8 +5,8 @@ shingles, as many as a partner must meet, give candidates; parity bits of each f
 documents share in it, and drop the pairs whose bounds don't sum to the similarity. What is left is counted by fragment:
 a document's shingles in a fragment are a row of their own, overlaps are counted where rows of the same fragment meet,
 and the parts are summed per pair. Groups of near copies are never expanded into all pairs: each shingle's documents are
-held against one leader, then, while that links, one document of each of its components against another of the largest
-one. Documents of different components that remain are compared in full, if the bounds allow.
+held against one leader first, and only pairs that those links leave in different components are compared after that,
+where the bounds allow.
 """
 
 from __future__ import annotations
@@ -177,24 +177,6 @@ def _named(signs: DataFrame, end: str, name: str) -> DataFrame:
     return signs.select(F.col("did").alias(name), *(F.col(c).alias(f"{end}{c}") for c in ("n", *_SIGN_NAMES)))
 
 
-def _mixed(posts: DataFrame, label: DataFrame) -> DataFrame:
-    """The posts of shingles whose documents are in several components, c."""
-    own = label.withColumnRenamed("node", "did")
-    placed = posts.select("token", "did", "n", "e").join(own, "did", "left").withColumn("c", F.coalesce("component", "did")).drop("component")
-    split = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    return placed.join(split, "token")
-
-
-def _turn_pairs(rest: DataFrame, turn: int, similarity: int) -> DataFrame:
-    """(a, b): for each shingle, a document of each component and another of the largest one; other ones in each turn."""
-    by = F.xxhash64(F.lit(turn), "did")
-    one = rest.groupBy("token", "c").agg(F.min_by(F.struct("did", "n", "e"), by).alias("x"), F.max_by(F.struct("did", "n", "e"), by).alias("y"), F.count("*").alias("m"))
-    centre = one.groupBy("token").agg(F.max_by(F.struct("c", "y"), F.struct("m", F.xxhash64(F.lit(turn), "c"))).alias("o"))
-    met = one.join(centre, "token").where(F.col("c") != F.col("o.c"))
-    met = met.where(_possible(F.col("x.n"), F.col("x.e"), F.col("o.y.n"), F.col("o.y.e"), similarity))
-    return met.select(F.least("x.did", "o.y.did").alias("a"), F.greatest("x.did", "o.y.did").alias("b")).distinct()
-
-
 def _possible(n1: Column, e1: Column, n2: Column, e2: Column, similarity: int) -> Column:
     """Whether sizes n, and shingles e that any other document holds, leave room for the similarity."""
     most = F.least(e1, e2, n1, n2)
@@ -239,18 +221,11 @@ def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     seen = written(bounded(to_leader.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     links = written(_verified(seen, texts, similarity))
     label = components(links)
-    rest, turn, found = written(_mixed(posts, label)), 0, True
-    while found:  # each turn meets as many pairs as shingles have components
-        turn += 1
-        pairs = written(bounded(_turn_pairs(rest, turn, similarity).join(seen, ["a", "b"], "left_anti")))
-        more = written(_verified(pairs, texts, similarity))
-        seen = seen.unionByName(pairs)
-        if found := more.limit(1).count() > 0:
-            links = links.unionByName(more)
-            label = components(links)
-            rest = written(_mixed(rest, label))
-
-    side = lambda x, end: rest.join(_named(signs, x, "did"), "did").select("token", F.col("did").alias(end), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "e", "c")), *(f"{x}{c}" for c in ("n", *_SIGN_NAMES)))
+    placed = posts.join(label.withColumnRenamed("node", "did"), "did", "left").withColumn("c", F.coalesce("component", "did")).drop("component", "rank")
+    split = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+    rest = written(placed.join(split, "token"))
+    signed_rest = rest.join(_named(signs, "s", "did"), "did").repartition("token")  # both sides of the join read one shuffle
+    side = lambda x, end: signed_rest.select("token", F.col("did").alias(end), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "e", "c")), *(F.col(f"s{c}").alias(f"{x}{c}") for c in ("n", *_SIGN_NAMES)))
     apart = (F.col("a") < F.col("b")) & (F.col("x_c") != F.col("y_c")) & _possible(F.col("x_n"), F.col("x_e"), F.col("y_n"), F.col("y_e"), similarity)
     left, right = side("x", "a"), side("y", "b").withColumnRenamed("token", "other")
     met_in = left.join(right, (left["token"] == right["other"]) & apart & _allowed("x", "y", similarity)).groupBy("a", "b", "x_n", "y_n").agg(F.count("*").alias("c"))
