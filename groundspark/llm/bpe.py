@@ -115,9 +115,12 @@ def fold_merges(state: Column, begins: Column, entries: Column) -> Column:
 
     Each element of the state packs the rank of its merge with the next one, the byte where it starts and its id, so
     that the least element is the leftmost merge of lowest rank. What stands at another pair's place differs from the
-    pair in its upper bits, and counts as no merge.
+    pair in its upper bits, and counts as no merge. The table stands in the plan once, as the argument of a lambda.
     """
+    return _let(begins, lambda b: _let(entries, lambda e: _folded(state, b, e)))
 
+
+def _folded(state: Column, begins: Column, entries: Column) -> Column:
     def rank(left: Column, right: Column) -> Column:
         found = F.get(entries, F.get(begins, left.cast("int")) + right.cast("int"))
         pair = F.shiftleft(left, _POSITION_AT + 16) + F.shiftleft(right, _POSITION_AT)
