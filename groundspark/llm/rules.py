@@ -1,9 +1,14 @@
-"""Quality rules as a short-circuit cascade, ordered by rejections per cost as measured on a sample."""
+"""Quality rules as a short-circuit cascade, ordered by rejections per cost as measured on a sample.
+
+The counts that every row reports come first. Each rule then makes what else it needs, for the texts that no rule before
+it has rejected.
+"""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,63 +17,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.llm.common import full_text, prepare
-from groundspark.llm.textstats import counts, duplicate_lines
+from groundspark.llm.textstats import counts
 
 #: Rows that cost and selectivity are estimated on; they fix the order of the rules only, never a verdict.
 SAMPLE_ROWS = 500
+#: Counts of every text, whatever its verdict.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-_SPACE = " \t\n\v\f\r"
-
-
-def _words(text: str) -> list[str]:
-    return text.translate(_TO_SPACE).split(" ")
+Rule = Callable[[pa.Array, dict[str, np.ndarray]], np.ndarray]
 
 
-_TO_SPACE = {ord(c): " " for c in _SPACE}
-_COUNTED = "#*$%&|<>"
-
-
-def symbol_heavy(text: str, stats: dict) -> bool:
+def symbol_heavy(texts: pa.Array, base: dict) -> np.ndarray:
     """Over three symbols to ten words."""
-    return 10 * stats["n_symbols"] > 3 * stats["n_words"]
+    return 10 * base["n_symbols"] > 3 * base["n_words"]
 
 
-def shouting(text: str, stats: dict) -> bool:
+def shouting(texts: pa.Array, base: dict) -> np.ndarray:
     """Most letters are capitals."""
-    return 10 * stats["n_upper"] > 6 * max(1, stats["n_letters"])
+    own = counts(texts, ("n_upper", "n_letters"))
+    return 10 * own["n_upper"] > 6 * np.maximum(1, own["n_letters"])
 
 
-def odd_word_length(text: str, stats: dict) -> bool:
+def odd_word_length(texts: pa.Array, base: dict) -> np.ndarray:
     """Mean word length outside 2 to 20 characters."""
-    return not 2 * stats["n_words"] <= stats["word_chars"] <= 20 * stats["n_words"]
+    return (base["word_chars"] < 2 * base["n_words"]) | (base["word_chars"] > 20 * base["n_words"])
 
 
-def repeated_lines(text: str, stats: dict) -> bool:
-    """Over half of at least four lines equal an earlier one."""
-    lines, again = duplicate_lines(text)
-    return lines >= 4 and 2 * again > lines
+def repeated_lines(texts: pa.Array, base: dict) -> np.ndarray:
+    """Over half of at least four lines equal an earlier one, so three do at least."""
+    out, several = np.zeros(len(texts), bool), np.flatnonzero(base["n_dup_lines"] >= 3)
+    lines = counts(texts.take(pa.array(several)), ("n_lines",))["n_lines"]
+    out[several] = (lines >= 4) & (2 * base["n_dup_lines"][several] > lines)
+    return out
 
 
-def stuttering(text: str, stats: dict) -> bool:
+def stuttering(texts: pa.Array, base: dict) -> np.ndarray:
     """Over three words of ten equal the word before."""
-    words = [w for w in _words(text) if w]
-    return 10 * sum(a == b for a, b in zip(words, words[1:], strict=False)) > 3 * len(words)
+    return 10 * counts(texts, ("n_adjacent",))["n_adjacent"] > 3 * base["n_words"]
+
 
+def shrinking(texts: pa.Array, base: dict) -> np.ndarray:
+    """At least 200 bytes that deflate to under a twelfth: repetition that neither lines nor windows of words show."""
+    raw = [t.encode() for t in texts.to_pylist()]
+    return np.array([len(b) >= 200 and 12 * len(zlib.compress(b, 1)) < len(b) for b in raw], bool)
 
-RULES: tuple[Callable[[str, dict], bool], ...] = (symbol_heavy, shouting, odd_word_length, repeated_lines, stuttering)
 
+RULES: tuple[Rule, ...] = (symbol_heavy, shouting, odd_word_length, repeated_lines, stuttering, shrinking)
 
-def order_rules(docs: DataFrame, rules=RULES, rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+
+def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
     """(rule, seconds a text, share rejected), most rejections per second first; rules that reject none go last, cheap first."""
 
     def tried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            stats = pd.DataFrame(counts(pa.array(batch.text, pa.string()))).to_dict("records")
-            out = []
+            texts = pa.array(batch.text, pa.string())
+            base, out = counts(texts, BASE), []
             for rule in rules:
                 began = time.perf_counter()
-                rejected = sum(rule(t, s) for t, s in zip(batch.text, stats, strict=True))
-                out.append((rule.__name__, time.perf_counter() - began, float(rejected), float(len(batch))))
+                rejected = float(rule(texts, base).sum())
+                out.append((rule.__name__, time.perf_counter() - began, rejected, float(len(texts))))
             yield pd.DataFrame(out, columns=["rule", "s", "rejected", "n"])
 
     sample = docs.select(full_text().alias("text")).limit(rows)
@@ -77,12 +84,29 @@ def order_rules(docs: DataFrame, rules=RULES, rows: int = SAMPLE_ROWS) -> list[t
     return sorted(measured, key=lambda m: (-m[2] / max(m[1], 1e-9), m[1], m[0]))
 
 
-_OUT = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
-)
+def rejected_by(texts: pa.Array, base: dict[str, np.ndarray], alive: np.ndarray, ordered: Sequence[Rule]) -> np.ndarray:
+    """For each text the place of the rule that rejects it, len(ordered) for those that all let pass, -1 where not alive.
+
+    A rule sees only the texts that are still alive.
+    """
+    out = np.full(len(texts), -1, np.int64)
+    at = np.flatnonzero(alive)
+    left, own = (texts, base) if len(at) == len(texts) else (texts.take(pa.array(at)), {k: v[at] for k, v in base.items()})
+    for place, rule in enumerate(ordered):
+        if not len(at):
+            break
+        bad = rule(left, own)
+        if bad.any():
+            out[at[bad]] = place
+            at, left, own = at[~bad], left.filter(pa.array(~bad)), {k: v[~bad] for k, v in own.items()}
+    out[at] = len(ordered)
+    return out
+
+
+_OUT = "doc_id long, " + "".join(f"{k} long, " for k in BASE) + "base_failed boolean, kept boolean"
 
 
-def quality_rules(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row for each row of docs (doc_id, text): counts, the base verdict and whether every rule lets the text pass.
 
     The rules are tried in the order measured on the sample and the first that rejects ends the cascade, so the order
@@ -96,17 +120,10 @@ def quality_rules(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS)
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            c = counts(texts)
+            c = counts(texts, BASE)
             failed = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
-            kept = ~failed
-            columns = list(c.items())
-            strings = texts.to_pylist()
-            for i in np.flatnonzero(kept):
-                stats = {k: int(v[i]) for k, v in columns}
-                kept[i] = not any(rule(strings[i], stats) for rule in ordered)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(kept)],
-                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
-            )
+            kept = rejected_by(texts, c, ~failed, ordered) == len(ordered)
+            columns = [batch.column("doc_id"), *(pa.array(c[k]) for k in BASE), pa.array(failed), pa.array(kept)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *BASE, "base_failed", "kept"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), full_text().alias("text")).mapInArrow(judged, _OUT)

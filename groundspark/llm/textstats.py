@@ -57,27 +57,41 @@ def repeated_words(hashes: np.ndarray, doc: np.ndarray, docs: int, window: int =
     return np.bincount(doc[np.cumsum(cover[:-1]) > 0], minlength=docs)
 
 
-def counts(column) -> dict[str, np.ndarray]:
-    """COUNTS for each text of an Arrow string column without nulls."""
-    out = {k: np.zeros(len(column), np.int64) for k in COUNTS}
+_OF_WORDS = {"n_words", "word_chars", "n_repeat_words", "n_adjacent", "n_distinct"}
+
+
+def counts(column, wanted: tuple[str, ...] = COUNTS) -> dict[str, np.ndarray]:
+    """The wanted of COUNTS for each text of an Arrow string column without nulls; no other is made."""
+    out = {k: np.zeros(len(column), np.int64) for k in wanted}
     data, offsets = text_bytes(column)
-    for lo, hi in slices(offsets):
+    for lo, hi in slices(offsets) if out.keys() - {"n_lines", "n_dup_lines"} else ():
         piece, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        n, w = hi - lo, Words(piece, at)
-        points = np.concatenate(([0], np.cumsum((piece & 0xC0) != 0x80, dtype=np.int64)))
-        h, doc = w.hash[0], w.doc
-        own = {
-            "n_words": w.count,
-            "word_chars": np.bincount(doc, points[w.end] - points[w.start], n).astype(np.int64),
-            "n_repeat_words": repeated_words(h, doc, n),
-            "n_adjacent": np.bincount(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])], minlength=n),
-            "n_distinct": np.bincount(doc[np.unique(h ^ mixed(doc.astype(np.uint64)), return_index=True)[1]], minlength=n),
-        }
-        for k, lut in _CLASSES.items():
-            sums = np.concatenate(([0], np.cumsum(lut[piece], dtype=np.int64)))
+        own = _word_counts(piece, at, out.keys()) if _OF_WORDS & out.keys() else {}
+        for k in _CLASSES.keys() & out.keys():
+            sums = np.concatenate(([0], np.cumsum(_CLASSES[k][piece], dtype=np.int64)))
             own[k] = sums[at[1:]] - sums[at[:-1]]
         for k, v in own.items():
             out[k][lo:hi] = v
-    for i, text in enumerate(column.to_pylist()):
-        out["n_lines"][i], out["n_dup_lines"][i] = duplicate_lines(text)
+    if {"n_lines", "n_dup_lines"} & out.keys():
+        for i, text in enumerate(column.to_pylist()):
+            for k, v in zip(("n_lines", "n_dup_lines"), duplicate_lines(text), strict=True):
+                if k in out:
+                    out[k][i] = v
     return out
+
+
+def _word_counts(piece: np.ndarray, at: np.ndarray, wanted) -> dict[str, np.ndarray]:
+    n, w = len(at) - 1, Words(piece, at)
+    h, doc, own = w.hash[0], w.doc, {}
+    if "n_words" in wanted:
+        own["n_words"] = w.count
+    if "word_chars" in wanted:
+        points = np.concatenate(([0], np.cumsum((piece & 0xC0) != 0x80, dtype=np.int64)))
+        own["word_chars"] = np.bincount(doc, points[w.end] - points[w.start], n).astype(np.int64)
+    if "n_repeat_words" in wanted:
+        own["n_repeat_words"] = repeated_words(h, doc, n)
+    if "n_adjacent" in wanted:
+        own["n_adjacent"] = np.bincount(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])], minlength=n)
+    if "n_distinct" in wanted:
+        own["n_distinct"] = np.bincount(doc[np.unique(h ^ mixed(doc.astype(np.uint64)), return_index=True)[1]], minlength=n)
+    return own

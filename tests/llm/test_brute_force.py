@@ -35,9 +35,27 @@ def rejected(text):
     return (
         10 * symbols > 3 * n or 10 * len(re.findall("[A-Z]", text)) > 6 * max(1, letters) or not 2 * n <= chars <= 20 * n
         or (len(lines) >= 4 and 2 * (len(lines) - len(set(lines))) > len(lines)) or 10 * sum(a == b for a, b in zip(w, w[1:], strict=False)) > 3 * len(w)
+        or (len(text.encode()) >= 200 and 12 * len(zlib.compress(text.encode(), 1)) < len(text.encode()))
     )
 
 
+def test_rules_see_only_what_rules_before_them_let_pass():
+    seen = []
+
+    def rule(name, bad):
+        def run(texts, base):
+            seen.append((name, texts.to_pylist(), base["n_words"].tolist()))
+            return np.array([t in bad for t in texts.to_pylist()], bool)
+
+        return run
+
+    texts, base = pa.array(["a", "b", "c", "d", "e"]), {"n_words": np.arange(5)}
+    ordered = [rule("first", "b"), rule("second", "cb"), rule("third", "ade"), rule("never", "")]
+    got = rules.rejected_by(texts, base, np.array([True, True, True, False, True]), ordered)
+    assert got.tolist() == [2, 0, 1, -1, 2]
+    assert seen == [("first", ["a", "b", "c", "e"], [0, 1, 2, 4]), ("second", ["a", "c", "e"], [0, 2, 4]), ("third", ["a", "e"], [0, 4])]
+
+
 def test_every_count_and_verdict_of_the_rules(spark):
     rng = random.Random(7)
     pieces = ["word", "other", "WORD", "a", "#", "x" * 30, "é", "naïve", "line\n", "\n", "\t", "same same", "𝒳"]
