@@ -1,8 +1,10 @@
 """Quality classifier by positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives are the labelled good documents, the unlabelled text is every document, and the class prior is
-estimated from the training labels. For the logistic loss l and a linear score z over counts of the text, the risk is
-prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)]).
+Trusted positives are the labelled good documents and the unlabelled text is every document; labels of other documents
+are never read. For the logistic loss l and a linear score z over counts of the text, the risk is
+prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)]). The class prior is estimated from positives and unlabelled
+text: where scores are high enough all documents are good, so there the share of all documents over the share of
+positives is the prior.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import types as T
 from groundspark.llm.common import full_text, prepare, written
 from groundspark.llm.textstats import COUNTS, counts
 
-#: Newton steps at most, halvings at the risk's edge at most, ridge, and the bound on standardised features.
-STEPS, HALVINGS, RIDGE, BOUND = 12, 6, 1e-3, 8.0
+#: Newton steps at most, halvings of the weight at the risk's edge, ridge, and the bound on standardised features.
+STEPS, HALVINGS, RIDGE, BOUND = 12, 8, 1e-3, 8.0
+#: The prior that the first scores are made with, bins of scores, and the chance that the estimate's bound fails.
+START, BINS, DELTA = 0.5, 1024, 0.1
 
 
 def held_out() -> Column:
@@ -67,34 +71,114 @@ class Model:
     def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, prior: float):
         self.mean, self.scale, self.weights, self.prior = mean, scale, weights, prior
 
-    def score(self) -> Column:
+    def linear(self) -> Column:
         z = F.lit(float(self.weights[0]))
         for k in range(N):
             x = (F.col(f"_f{k}") - F.lit(float(self.mean[k]))) / F.lit(float(self.scale[k]))
             z = z + F.lit(float(self.weights[k + 1])) * F.least(F.greatest(x, F.lit(-BOUND)), F.lit(BOUND))
-        return F.round(1 / (1 + F.exp(-z)), 6)
+        return z
 
+    def score(self) -> Column:
+        return F.round(1 / (1 + F.exp(-self.linear())), 6)
 
-def _sums(table: DataFrame, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Sums over all rows that risk, gradient and curvature need; added up by Spark, a few hundred numbers in all."""
-    k = N + 1
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(4 + 2 * k + k * k)
-        for batch in batches:
-            x = np.stack([np.asarray(batch.column(f"_f{i}")) for i in range(N)], 1)
-            x = np.concatenate([np.ones((len(x), 1)), np.clip((x - mean) / scale, -BOUND, BOUND)], 1)
-            p = np.asarray(batch.column("_positive"), float)
-            z = x @ weights
-            s, loss = 1 / (1 + np.exp(-z)), np.logaddexp(0, z)
-            total += np.concatenate([[len(x), p.sum(), loss.sum(), p @ loss], p @ x, s @ x, ((x * (s * (1 - s))[:, None]).T @ x).ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["k", "v"])
+def _inputs(batch: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    x = np.stack([np.asarray(batch.column(f"_f{i}")) for i in range(N)], 1)
+    x = np.concatenate([np.ones((len(x), 1)), np.clip((x - model.mean) / model.scale, -BOUND, BOUND)], 1)
+    return x, np.asarray(batch.column("_positive"), float)
+
+
+class Sums:
+    """What risk, gradient and curvature need at one model: means over all rows and over the positives."""
+
+    def __init__(self, table: DataFrame, model: Model):
+        k = N + 1
 
-    rows = table.mapInArrow(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(4 + 2 * k + k * k)
-    for r in rows:
-        out[r["k"]] = r["v"]
-    return out
+        def one(x: np.ndarray, weight: np.ndarray, s: np.ndarray, loss: np.ndarray) -> list:
+            return [[weight.sum(), weight @ loss], weight @ x, (weight * s) @ x, ((x * (weight * s * (1 - s))[:, None]).T @ x).ravel()]
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2 * (2 + 2 * k + k * k))
+            for batch in batches:
+                x, positive = _inputs(batch, model)
+                z = x @ model.weights
+                s, loss = 1 / (1 + np.exp(-z)), np.logaddexp(0, z)
+                total += np.concatenate(one(x, np.ones(len(x)), s, loss) + one(x, positive, s, loss))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["k", "v"])
+
+        rows = table.mapInArrow(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # a few hundred numbers
+        flat = np.zeros(2 * (2 + 2 * k + k * k))
+        for r in rows:
+            flat[r["k"]] = r["v"]
+        self.n, self.positives = flat[0], flat[len(flat) // 2]
+        self.all, self.good = ({"loss": f[1], "x": f[2 : 2 + k], "s": f[2 + k : 2 + 2 * k], "h": f[2 + 2 * k :].reshape(k, k)} for f in (
+            flat[: len(flat) // 2] / max(self.n, 1), flat[len(flat) // 2 :] / max(self.positives, 1)
+        ))
+
+    def negative_risk(self, prior: float) -> float:
+        return self.all["loss"] - prior * self.good["loss"]
+
+    def step(self, prior: float, share: float, weights: np.ndarray) -> np.ndarray:
+        """Newton's step on prior * E_p[l(z)] + share * (E_u[l(-z)] - prior * E_p[l(-z)]), convex for shares from 0 to 1."""
+        gradient = prior * ((1 - share) * self.good["s"] - self.good["x"]) + share * self.all["s"] + RIDGE * weights
+        curvature = prior * (1 - share) * self.good["h"] + share * self.all["h"] + RIDGE * np.eye(N + 1)
+        return np.linalg.solve(curvature, gradient)
+
+
+def minimised(table: DataFrame, start: Model, prior: float) -> Model:
+    """The model of least non-negative risk at this prior.
+
+    That risk is the larger of two convex functions, prior * E_p[l(z)] and the unbiased risk. Where the latter's minimum
+    has a negative part below 0, the minimum of both lies where that part is 0, and minimises their mix at some share of
+    the latter; halving finds the share.
+    """
+
+    def at(share: float, model: Model) -> tuple[Model, Sums]:
+        for _ in range(STEPS):
+            sums = Sums(table, model)
+            step = sums.step(prior, share, model.weights)
+            if np.abs(step).max() < 1e-3:
+                return model, sums
+            model = Model(model.mean, model.scale, model.weights - step * min(1.0, 4.0 / np.abs(step).max()), prior)
+        return model, Sums(table, model)
+
+    model, sums = at(1.0, Model(start.mean, start.scale, start.weights, prior))
+    low, high = 0.0, 1.0
+    for _ in range(HALVINGS if sums.negative_risk(prior) < 0 else 0):
+        share = (low + high) / 2
+        model, sums = at(share, model)
+        edge = sums.negative_risk(prior)
+        if abs(edge) < 1e-3:
+            break
+        low, high = (share, high) if edge > 0 else (low, share)
+    return model
+
+
+def prior_from(shares: np.ndarray, n_all: float, n_positive: float) -> float:
+    """The prior from shares (bins, 2) of all rows and of positives by score, highest first.
+
+    Among all thresholds it takes the one with the least upper bound of (share of all above) / (share of positives above),
+    where the bound widens as few positives are above (Dvoretzky, Kiefer and Wolfowitz, at chance DELTA).
+    """
+    above = np.cumsum(shares, 0)
+    above = above[above[:, 1] > 0]
+    slack = np.sqrt(np.log(4 / DELTA) / 2 / n_all) + np.sqrt(np.log(4 / DELTA) / 2 / n_positive)
+    best = int(np.argmin((above[:, 0] + slack) / above[:, 1]))
+    return float(np.clip(above[best, 0] / above[best, 1], 0.01, 0.99))
+
+
+def estimated_prior(table: DataFrame, model: Model) -> float:
+    """The share of good documents among all, from the scores of positives and of all rows in BINS bins."""
+    z = model.linear()
+    ends = table.agg(F.min(z).alias("lo"), F.max(z).alias("hi")).first()
+    wide = max(ends["hi"] - ends["lo"], 1e-9)
+    at = F.least(F.floor((F.lit(ends["hi"]) - z) * (BINS / wide)), F.lit(BINS - 1)).alias("at")
+    found = table.select(at, "_positive").groupBy("at").agg(F.count("*").alias("n"), F.sum("_positive").alias("p")).collect()
+    count = np.zeros((BINS, 2))
+    for r in found:
+        count[r["at"]] = r["n"], r["p"]
+    n_all, n_positive = count.sum(0)
+    return prior_from(count / count.sum(0), n_all, n_positive)
 
 
 def fit(features: DataFrame, labels: DataFrame) -> Model:
@@ -103,34 +187,18 @@ def fit(features: DataFrame, labels: DataFrame) -> Model:
     Without a labelled positive every weight is 0 and every score 0.5. A document labelled both ways isn't trusted.
     """
     trusted = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    trusted = trusted.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    prior = trusted.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    positive = trusted.where("quality = 1").select(F.col("doc_id").alias("_id"), F.lit(1).alias("_positive"))
+    trusted = trusted.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
+    positive = trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_positive"))
     joined = features.join(positive, F.col("doc_id") == F.col("_id"), "left")
     table = written(joined.select(*(f"_f{k}" for k in range(N)), F.coalesce("_positive", F.lit(0)).alias("_positive")))
-    stats = table.agg(*(F.avg(f"_f{k}").alias(f"a{k}") for k in range(N)), *(F.stddev_pop(f"_f{k}").alias(f"s{k}") for k in range(N))).first()
+    stats = table.agg(*(F.avg(f"_f{k}").alias(f"a{k}") for k in range(N)), *(F.stddev_pop(f"_f{k}").alias(f"s{k}") for k in range(N)), F.sum("_positive").alias("positives")).first()
     mean = np.array([stats[f"a{k}"] or 0.0 for k in range(N)])
     scale = np.array([max(stats[f"s{k}"] or 0.0, 1e-6) for k in range(N)])
-    weights, last, halved, k = np.zeros(N + 1), None, 0, N + 1
-    for _ in range(STEPS + HALVINGS):
-        sums = _sums(table, mean, scale, weights)
-        n, n_p = sums[0], sums[1]
-        if not n or not n_p:
-            break
-        negative_risk = sums[2] / n - prior * sums[3] / n_p
-        if negative_risk < 0 and last is not None:  # the unbiased risk overfits here: step back to where it isn't negative
-            if halved == HALVINGS:
-                break
-            halved, weights = halved + 1, (last + weights) / 2
-            continue
-        if halved:
-            break
-        gradient = -prior * sums[4 : 4 + k] / n_p + sums[4 + k : 4 + 2 * k] / n + RIDGE * weights
-        step = np.linalg.solve(sums[4 + 2 * k :].reshape(k, k) / n + RIDGE * np.eye(k), gradient)
-        last, weights = weights, weights - step
-        if np.abs(step).max() < 1e-3:
-            break
-    return Model(mean, scale, weights, prior or 0.5)
+    model = Model(mean, scale, np.zeros(N + 1), START)
+    if not stats["positives"]:
+        return model
+    first = minimised(table, model, START)
+    return minimised(table, first, estimated_prior(table, first))
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -221,3 +221,44 @@ def test_the_classifiers_stage_keeps_any_columns(spark):
     for empty in (docs.limit(0), wide.limit(0)):
         assert classifier.good_documents(empty, labels).count() == 0 and classifier.classified(empty, labels).count() == 0
     assert {r["score"] for r in classifier.classified(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_the_prior_comes_from_positives_and_unlabelled_rows():
+    """Scores of 30,000 good and 20,000 other rows that overlap below: the prior is theirs, whatever the share of labels."""
+    rng = np.random.default_rng(5)
+    good, other = rng.normal(1, 1, 30_000), rng.normal(-2, 1, 20_000)
+    for labelled in (500, 10_000):
+        both = [np.histogram(-x, 1024, (-6, 6))[0] for x in (np.concatenate((good, other)), rng.choice(good, labelled, replace=False))]
+        found = classifier.prior_from(np.stack([b / b.sum() for b in both], 1), 50_000, labelled)
+        assert abs(found - 0.6) < 0.06
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.95])
+def test_no_weights_nearby_have_less_risk(spark, prior):
+    """The non-negative risk written out; at the highest prior the unbiased risk's negative part falls below 0."""
+    rng = np.random.default_rng(6)
+    x, positive = rng.normal(0, 1, (600, classifier.N)), np.zeros(600)
+    x[:360, 0] += 2
+    positive[:120] = 1
+    rows = [(*map(float, v), int(p)) for v, p in zip(x, positive, strict=True)]
+    table = spark.createDataFrame(rows, ", ".join(f"_f{k} double" for k in range(classifier.N)) + ", _positive int").repartition(3)
+    start = classifier.Model(np.zeros(classifier.N), np.ones(classifier.N), np.zeros(classifier.N + 1), prior)
+    x1 = np.concatenate((np.ones((600, 1)), x), 1)
+
+    def risk(w):
+        z = x1 @ w
+        good, bad = np.logaddexp(0, -z), np.logaddexp(0, z)
+        own = prior * good[positive > 0].mean()
+        return own + max(0.0, bad.mean() - prior * bad[positive > 0].mean()) + classifier.RIDGE / 2 * (w @ w)
+
+    w = classifier.minimised(table, start, prior).weights
+    least = risk(w)
+    assert least < risk(np.zeros(classifier.N + 1))
+    assert all(least < risk(w + rng.normal(0, size, classifier.N + 1)) + 2e-3 for size in (0.01, 0.1, 0.5) for _ in range(200))
+
+
+def test_labels_of_other_documents_change_no_score(spark):
+    docs = spark.createDataFrame([(i, f"number {i} of some plain words in a row" if i % 4 else f"BUY!! {i} " * 9) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 200)], "doc_id long, quality int")
+    scores = lambda some: sorted((r["doc_id"], r["score"]) for r in classifier.classified(docs, some).collect())
+    assert scores(labels) == scores(labels.where("quality = 1"))
