@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import full_text, prepare, written
+from groundspark.llm.common import full_text, prepare, slices, written
 
 #: Bytes of text whose words are coded together: what a task holds beside its batch.
 CHUNK = 16 << 20
@@ -28,6 +28,8 @@ CHUNK = 16 << 20
 LONG = 128
 #: Distinct words in a row of a chunk's words.
 HELD = 1024
+#: Bytes of documents' places that are put together at once, as what they stand for takes some 50 times as much.
+PLACES = 1 << 18
 #: Words that are folded once for all chunks, and their bytes at most: the bound of what is broadcast.
 COMMON, SHORT = 1 << 20, 32
 #: Bytes of a row group: so many that a file of chunks has one, as a task has to read all rows of a chunk.
@@ -196,19 +198,21 @@ def _chunked(pattern: str):
     """Documents' words by chunk: rows with a chunk's distinct words in the order of frequency, then a row for each document (at: its words' places in that order)."""
 
     def coded(chunk: int, docs: list, counts: list, pieces: list) -> Iterator[pa.RecordBatch]:
-        found = pa.concat_arrays(pieces).dictionary_encode()
+        found = pa.chunked_array(pieces).unify_dictionaries().combine_chunks()
+        found = found if isinstance(found, pa.DictionaryArray) else pa.concat_arrays(found.chunks)
         index = found.indices.to_numpy(zero_copy_only=False)
         order = np.argsort(-np.bincount(index, minlength=len(found.dictionary)), kind="stable")
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         cuts = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-        ids, at, words = pa.concat_arrays(docs), packed(place[index], cuts), found.dictionary.cast(pa.binary()).take(pa.array(order))
+        ids, words = pa.concat_arrays(docs), found.dictionary.cast(pa.binary()).take(pa.array(order))
         starts = np.arange(0, len(words), HELD, dtype=np.int32)
         if len(starts):
             lists = pa.ListArray.from_arrays(pa.array(np.append(starts, np.int32(len(words)))), words)
             yield _rows(_CHUNK, chunk, len(starts), k=pa.array(starts), words=lists)
-        for lo in range(0, len(ids), 256):
-            yield _rows(_CHUNK, chunk, len(ids[lo : lo + 256]), doc_id=ids[lo : lo + 256], at=at[lo : lo + 256])
+        for lo in range(0, len(ids), 256):  # a few documents at a time, as numbers take many times the bytes of what is packed
+            own = cuts[lo : lo + 257]
+            yield _rows(_CHUNK, chunk, len(own) - 1, doc_id=ids[lo : lo + 256], at=packed(place[index[own[0] : own[-1]]], own - own[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, counts, pieces, size, chunk = [], [], [], 0, TaskContext.get().partitionId() << 32
@@ -223,11 +227,12 @@ def _chunked(pattern: str):
             flat = found.flatten()
             docs.append(batch.column("doc_id"))
             counts.append(np.diff(found.offsets.to_numpy()))
-            pieces.append(flat)
+            pieces.append(flat.dictionary_encode())
             size += flat.nbytes
             if size > 2 * CHUNK:  # pieces' offsets count too
                 yield from coded(chunk, docs, counts, pieces)
                 docs, counts, pieces, size, chunk = [], [], [], 0, chunk + 1
+                pa.default_memory_pool().release_unused()
         if docs:
             yield from coded(chunk, docs, counts, pieces)
 
@@ -339,8 +344,8 @@ def _assembled(tokens: list[bytes], common):
         if (where < 0).any():
             raise ValueError("rows of one chunk are in different places")
         for batch in docs:
-            for lo in range(0, len(batch), 64):
-                own = batch.slice(lo, 64)
+            for lo, hi in slices(_binary(batch.column("at"))[1], PLACES):
+                own = batch.slice(lo, hi - lo)
                 data, offsets = _binary(own.column("at"))
                 words_before = np.concatenate(([0], np.cumsum(data < 128)))[offsets]
                 taken = ids.take(pa.array(where[unpacked(data)]))
