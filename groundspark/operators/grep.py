@@ -50,9 +50,11 @@ def candidates(needles: DataFrame, index: DataFrame) -> DataFrame:
     return rarest.where("m.df > 0").select("needle_id", "needle", F.col("m.gram").alias("gram")).join(postings, "gram").drop("gram")
 
 
-def grep(needles: DataFrame, docs: DataFrame, accents: bool = False, width: int = 300, marks: tuple[str, str] = ("»", "«"), index: DataFrame | None = None) -> DataFrame:
+def grep(needles: DataFrame, docs: DataFrame, accents: bool = False, width: int = 300, marks: tuple[str, str] = ("»", "«"), index: DataFrame | None = None, overlapping: bool = True) -> DataFrame:
     """(needle_id, doc_id, s, e, excerpt): every occurrence of each needle (needle_id, needle) in docs (doc_id, body), overlapping ones too.
 
+    Without overlapping, of those that overlap the ones that a search from the left takes, each beginning where the one before has ended.
+
     Case never counts, accents and other marks only with `accents`. s and e are offsets in the body, also where folding
     drops or adds characters. Needles that fold to nothing have no hits. docs may be `folded_documents` already, with
     their `gram_index`; both are made here otherwise. Only documents that hold a needle's rarest gram are searched, and
@@ -62,11 +64,13 @@ def grep(needles: DataFrame, docs: DataFrame, accents: bool = False, width: int
     sought = needles.select("needle_id", (lowered if accents else folded)(F.col("needle")).getField("text").alias("needle"))
     pairs = candidates(sought, index if index is not None else gram_index(documents))
     found = pairs.join(documents.select("doc_id", "folded"), "doc_id").where(F.contains("folded", F.col("needle")))
-    pieces = F.split("folded", F.concat(F.lit("(?="), literal_pattern(F.col("needle")), F.lit(")")), -1)
-    cut = found.select("needle_id", "doc_id", F.length("needle").alias("n"), F.startswith("folded", "needle").alias("at_once"), F.posexplode_outer(pieces).alias("i", "piece"))
+    pattern = literal_pattern(F.col("needle"))
+    pattern = F.concat(F.lit("(?="), pattern, F.lit(")")) if overlapping else pattern  # pieces hold the needle, or lie between needles
+    at_once, skipped = (F.startswith("folded", "needle"), 0) if overlapping else (F.lit(False), F.col("i") * F.col("n") - F.col("n"))
+    cut = found.select("needle_id", "doc_id", F.length("needle").alias("n"), at_once.alias("at_once"), F.posexplode_outer(F.split("folded", pattern, -1)).alias("i", "piece"))
     sizes = cut.select("needle_id", "doc_id", "n", "at_once", "i", F.length("piece").alias("size"))
     before = Window.partitionBy("needle_id", "doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    hits = sizes.withColumn("p", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int")).where((F.col("i") > 0) | F.col("at_once"))
+    hits = sizes.withColumn("p", (F.coalesce(F.sum("size").over(before), F.lit(0)) + skipped).cast("int")).where((F.col("i") > 0) | F.col("at_once"))
     placed = hits.join(documents.select("doc_id", "body", "at", "by"), "doc_id")
     place = lambda p: source_offset(F.col("at"), F.col("by"), p).cast("int")
     rows = placed.select("needle_id", "doc_id", place(F.col("p")).alias("s"), (place(F.col("p") + F.col("n") - 1) + 1).alias("e"), "body")

@@ -2,13 +2,16 @@
 
 import json
 import random
+import re
 import unicodedata
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from groundspark.functions import text as tx
 from groundspark.operators import grep, structure
+from groundspark.plans import retrieval
 
 
 def slow_fold(text, accents):
@@ -73,6 +76,23 @@ def test_search_against_brute_force(spark, accents):
     assert grep.grep(n, d.limit(0), accents=accents).count() == 0 and grep.grep(n.limit(0), d, accents=accents).count() == 0
 
 
+def test_search_without_overlapping_hits(spark):
+    docs, needles = [(1, "aaaaa"), (2, "xÁbabáb abab"), (3, "aa"), (4, "b\\Ea\\Ea")], [(1, "aa"), (2, "abab"), (3, "\\Ea"), (4, "ab")]
+    want = {(i, d, m.start(), m.end()) for i, n in needles for d, t in docs for m in re.finditer(re.escape(slow_fold(n, False)[0]), slow_fold(t, False)[0])}
+    rows = grep.grep(spark.createDataFrame(needles, "needle_id int, needle string"), spark.createDataFrame(docs, "doc_id int, body string"), overlapping=False).collect()
+    assert sorted((r["needle_id"], r["doc_id"], r["s"], r["e"]) for r in rows) == sorted(want) and (1, 1, 1, 3) not in want
+
+
+def test_corpus_grep_counts_hits_as_its_sql_does(spark, tmp_path):
+    spark.createDataFrame([(0, "banana na na na na na"), (8, "abababab")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "ababababababababab"), (2, "na na na na na na na")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for table in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    want = con.execute(retrieval.SQL["corpus_grep"]).fetchall()
+    assert sorted(map(tuple, retrieval.q_corpus_grep(spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 2
+
+
 def test_hits_in_clauses_fragment_and_view(spark):
     body = "Chương I\nCHUNG\nĐiều 1. Phạm vi\nVăn bản này.\nĐiều 2. Giải thích\nLời dẫn.\n1. Một văn bản.\n2. Hai văn bản, văn bản.\n"
     bodies = spark.createDataFrame([("d", body)], "doc_id string, body string")
