@@ -37,9 +37,9 @@ def shared_folder(spark: SparkSession) -> str:
     return shared or _own_folder()
 
 
-def materialized(df: DataFrame) -> DataFrame:
+def materialized(df: DataFrame, **options: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
